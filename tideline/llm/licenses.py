@@ -73,7 +73,8 @@ def minimum(hashes: Column, seed: int) -> Column:
 def window_keys(m: int) -> Column:
     """The band keys of a text's windows for templates of m shingles."""
     window, stride, minima = bands_for(m)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("shingles") - window + stride, F.lit(1)), F.lit(stride))
+    first = F.greatest(F.col("lo") - window + 1, F.lit(1))
+    starts = F.sequence(first, F.greatest(F.col("hi"), first), F.lit(stride))
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[minimum(F.slice("shingles", i, window), s) for s in range(minima)]))))
 
 
@@ -99,7 +100,11 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("_text"))
     low = F.lower("_text")
     likely = rows.where(reduce(lambda a, b: a | b, [low.contains(w) for w in must], F.lit(False)))
-    hashed = likely.select("doc_id", shingles_of(words_of(F.col("_text"))).alias("shingles")).where(F.size("shingles") > 0)
+    # Windows without any shingle of a template cannot share a minimum with one; only those between the first and the last are made.
+    every = F.array(*map(F.lit, sorted({h for x in held for h in x[1]})))
+    hashed = likely.select("doc_id", shingles_of(words_of(F.col("_text"))).alias("shingles")).withColumn("shared", F.array_intersect("shingles", every)).where(F.size("shared") > 0)
+    at = F.filter(F.transform("shingles", lambda h, i: F.when(F.array_contains("shared", h), i + 1)), lambda i: i.isNotNull())
+    hashed = hashed.withColumn("at", at).select("doc_id", "shingles", F.array_min("at").alias("lo"), F.array_max("at").alias("hi"))
     # The templates' own bands: a bounded table. A minimum's seed is its band, so equal keys are of one band.
     known = spark.createDataFrame([x[:3] for x in held], "license string, wanted array<long>, m int")
     bands = known.select("license", "wanted", "m", F.explode(F.array(*[minimum(F.col("wanted"), s) for s in range(max((bands_for(x[2])[2] for x in held), default=1))])).alias("key"))
