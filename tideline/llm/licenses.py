@@ -33,6 +33,11 @@ LONG = 6
 SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+def once(name: str, value: Column) -> Column:
+    """value as a column that is computed once a row: a generator, unlike a projection, is not written into what uses it."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words without what stands around letters and digits; words of neither are dropped."""
     bare = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}])[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?![\p{L}\p{N}])", " ")
@@ -48,7 +53,7 @@ def shingles_of(words: Column) -> Column:
 
 def template_table(templates: DataFrame) -> DataFrame:
     """(license, shingles, m) of (license, text) rows; templates without words are left out."""
-    t = templates.select("license", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("shingles"))
+    t = templates.select("license", once("words", words_of(F.col("text")))).select("license", F.array_distinct(shingles_of(F.col("words"))).alias("shingles"))
     return t.select("license", "shingles", F.size("shingles").alias("m")).where("m > 0")
 
 
@@ -102,9 +107,10 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, i
     likely = rows.where(reduce(lambda a, b: a | b, [low.contains(w) for w in must], F.lit(False)))
     # Windows without any shingle of a template cannot share a minimum with one; only those between the first and the last are made.
     every = F.array(*map(F.lit, sorted({h for x in held for h in x[1]})))
-    hashed = likely.select("doc_id", shingles_of(words_of(F.col("_text"))).alias("shingles")).withColumn("shared", F.array_intersect("shingles", every)).where(F.size("shared") > 0)
+    hashed = likely.select("doc_id", once("words", words_of(F.col("_text")))).select("doc_id", once("shingles", shingles_of(F.col("words"))))
+    hashed = hashed.select("doc_id", "shingles", once("shared", F.array_intersect("shingles", every))).where(F.size("shared") > 0)
     at = F.filter(F.transform("shingles", lambda h, i: F.when(F.array_contains("shared", h), i + 1)), lambda i: i.isNotNull())
-    hashed = hashed.withColumn("at", at).select("doc_id", "shingles", F.array_min("at").alias("lo"), F.array_max("at").alias("hi"))
+    hashed = hashed.select("doc_id", "shingles", once("at", at)).select("doc_id", "shingles", once("lo", F.array_min("at")), F.array_max("at").alias("hi"))
     # The templates' own bands: a bounded table. A minimum's seed is its band, so equal keys are of one band.
     known = spark.createDataFrame([x[:3] for x in held], "license string, wanted array<long>, m int")
     bands = known.select("license", "wanted", "m", F.explode(F.array(*[minimum(F.col("wanted"), s) for s in range(max((bands_for(x[2])[2] for x in held), default=1))])).alias("key"))
@@ -120,7 +126,7 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, i
     found = retrieved.join(F.broadcast(bands.select("license", "wanted", "m", "key")), (F.col("hit.m") == bands["m"]) & (F.col("hit.key") == bands["key"])).select("doc_id", "shingles", "license", "wanted", bands["m"].alias("m")).dropDuplicates(["doc_id", "license", "shingles"])
     span = F.ceil(F.col("m") * SLACK).cast("int")
     places = F.filter(F.transform("shingles", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda x: F.array_contains("wanted", x["h"]))
-    placed = found.select("doc_id", "license", "m", places.alias("places"))
+    placed = found.select("doc_id", "license", "m", once("places", places))
     counts = F.transform("places", lambda p: F.struct(F.size(F.array_distinct(F.transform(F.filter("places", lambda q: (q["at"] >= p["at"]) & (q["at"] < p["at"] + span)), lambda q: q["h"]))).alias("n"), (-p["at"]).alias("back")))
     best = placed.select("doc_id", "license", "m", F.array_max(counts).alias("best"))
     kept = best.where(F.col("best.n") >= CONTAINMENT * F.col("m"))
