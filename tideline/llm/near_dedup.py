@@ -4,7 +4,9 @@ Each text keeps, of the minima of its shingle hashes under many permutations, a
 key for each band of minima and the low bits of all of them, packed. Texts that
 share a band key are candidates; counting equal low bits of two packed signatures
 and taking off the bits that are equal by chance estimates their similarity, and
-every candidate that could reach the threshold is decided on the full sets.
+every candidate that could reach the threshold is decided on the full sets. A
+second sketch, of the parities of hashed shingles, bounds the difference of two
+sets for certain and spares most of those decisions.
 
 Texts with equal sets are one node. Within a band key, first every node is
 compared with the key's smallest node only; then only nodes that this left in
@@ -35,6 +37,8 @@ DEVIATIONS = 7.0
 #: Members of one band key that are paired in one task.
 KEY_ROWS = 512
 PER_LONG = 64 // BITS
+#: Bits of a set's odd sketch: bit i says whether an odd number of its shingles hash to i.
+SKETCH_BITS = 2048
 SCHEMA = "n_shingles long, digest_a long, digest_b long, band_keys array<long>, packed array<long>"
 
 
@@ -128,6 +132,29 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("text", "id").mapInArrow(run, "id long, shingles array<long>")
 
 
+def odd_sketches(rows: DataFrame, n: int) -> DataFrame:
+    """(id, odd) of (text, id) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                sets, at = shingle_sets(b, n)
+                place = (mix(sets) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+                odd = np.zeros((b.n, SKETCH_BITS), np.uint8)
+                for d in range(b.n):
+                    odd[d] = np.bincount(place[at[d] : at[d + 1]], minlength=SKETCH_BITS) & 1
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(b.first, b.n), _lists(np.packbits(odd, axis=1, bitorder="little").view(np.uint64))], names=["id", "odd"])
+
+    return rows.select("text", "id").mapInArrow(run, "id long, odd array<long>")
+
+
+def could_reach(size_x: str, size_y: str, odd_x: str, odd_y: str, percent: int) -> F.Column:
+    """False only if the sets' similarity is below percent for certain: each bit in which the sketches differ is a shingle that one set lacks."""
+    differ = sum((F.bit_count(F.col(odd_x)[w].bitwiseXOR(F.col(odd_y)[w])) for w in range(SKETCH_BITS // 64)), F.lit(0))
+    total = F.col(size_x) + F.col(size_y)
+    return 100 * (total - differ) >= percent * (total + differ)
+
+
 def equal_low_bits(x: str, y: str, count: int) -> F.Column:
     """In how many of the count packed places x and y have equal low bits."""
     longs = -(-count // PER_LONG)
@@ -183,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # The only time that texts are moved; later joins read the candidates' alone.
     texts = stored(docs.select(F.col(text).alias("text"), F.col(id_col).cast("long").alias("id")).join(candidates, "id", "left_semi"))
     low = least_estimate(percent / 100, count)
+    odd = stored(odd_sketches(texts, n).dropDuplicates(["id"]))
 
     def fits(a: str, b: str) -> F.Column:
         return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
@@ -206,11 +234,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         label = components(links)
         now = members.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held")).where("c0 < c1")
-        rows = stored(now.join(mixed.select("key", "held"), "key"))
+        rows = stored(now.join(mixed.select("key", "held"), "key").join(odd, "id"))
         shares = F.ceil(F.col("held") / KEY_ROWS).cast("int")
-        left = rows.select("key", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("za"), F.col("packed").alias("pa"))
-        right = rows.select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("zb"), F.col("packed").alias("pb"))
-        found = left.join(right, ["key", "share"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("za", "zb") & (estimate("pa", "pb", count) >= low))
+        left = rows.select("key", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("za"), F.col("packed").alias("pa"), F.col("odd").alias("oa"))
+        right = rows.select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("zb"), F.col("packed").alias("pb"), F.col("odd").alias("ob"))
+        found = left.join(right, ["key", "share"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("za", "zb") & (estimate("pa", "pb", count) >= low) & could_reach("za", "zb", "oa", "ob", percent))
         pairs = found.select("a", "b", "ca", "cb", estimate("pa", "pb", count).alias("e")).distinct().join(tried, ["a", "b"], "left_anti")
         if most:
             # Of a node's partners in one component, the likeliest first: one link joins all.
