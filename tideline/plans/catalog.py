@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import numeric as N
-from tideline.operators import align, bars, events, flow, indicators, labels, models, regime, sim, splits, stats
+from tideline.operators import align, bars, events, flow, indicators, labels, models, regime, research, sim, splits, stats
 from tideline.operators import recursions as R
 from tideline.plans.inputs import DAILY, HOURLY, TAPE, daily, ewm_sql, funding, hourly, one_series, positioned, rolling_sql, rounded, sql, tape
 from tideline.sources import readers
@@ -591,3 +591,75 @@ def leakage_audit(spark, d):
     x, y = (indicators.features(t.drop("pos")) for t in (b, broken))
     before = b.where("pos < 400").select("symbol", "ts")
     return models.largest_difference(x.join(before, ["symbol", "ts"]), y, indicators.feature_names(x), ["symbol", "ts"])
+
+
+# --- studies ------------------------------------------------------------------------------------
+
+
+@query("paths_by_confidence", sql(HOURLY + """,
+ ev AS (SELECT symbol, pos, close AS entry, trades AS score FROM bars WHERE pos % 7 = 3),
+ q AS (SELECT quantile_cont(score, 0.25) AS lo, quantile_cont(score, 0.75) AS hi FROM ev),
+ b AS (SELECT ev.*, CASE WHEN score >= hi THEN 'top' WHEN score <= lo THEN 'bottom' ELSE 'middle' END AS bucket FROM ev, q)""", """
+SELECT bucket, (x.pos - b.pos)::BIGINT AS bar_no, round(avg(x.close / b.entry - 1), 6) + 0.0 AS mean_return, count(*)::BIGINT AS n FROM b JOIN bars x ON x.symbol = b.symbol AND x.pos BETWEEN b.pos + 1 AND b.pos + 20 GROUP BY ALL"""))
+def paths_by_confidence(spark, d):
+    b = positioned(spark, d)
+    ev = b.where("pos % 7 = 3").select("symbol", "pos", F.col("close").alias("entry_price"), F.col("trades").alias("score"))
+    return research.paths_by_confidence(ev, b).withColumn("bar_no", F.col("bar_no").cast("long"))
+
+
+@query("bootstrap_gap")
+def bootstrap_gap(spark, d):
+    df = hourly(spark, d).withColumn("r", N.Rolling().log_return(F.col("close"), 1)).select("symbol", "ts", "r")
+    return research.bootstrap_gap(df, "r", "symbol", "click", "view")
+
+
+@query("effective_size", sql(_SPANS + ", u AS (SELECT s.s, avg(1.0 / c.n_concurrent) AS u FROM spans s JOIN conc c ON c.pos BETWEEN s.s AND s.e GROUP BY s.s)", "SELECT (SELECT count(*) FROM u)::BIGINT AS n, round((SELECT sum(u) FROM u), 6) AS effective_n, round((SELECT avg(n_concurrent) FROM conc WHERE n_concurrent > 0), 6) AS mean_concurrency"))
+def effective_size(spark, d):
+    return research.effective_size(spans_of(spark, d), one_series(spark, d))
+
+
+@query("weight_schemes")
+def weight_schemes(spark, d):
+    return research.weight_schemes(spans_of(spark, d), one_series(spark, d))
+
+
+@query("purge_by_exit", sql(HOURLY, "SELECT symbol, pos FROM bars WHERE pos % 7 = 3 AND pos + 10 < 300"))
+def purge_by_exit(spark, d):
+    df = positioned(spark, d).where("pos % 7 = 3").withColumn("bars_to_exit", F.lit(10))
+    return research.purge_by_exit(df, 300).select("symbol", "pos")
+
+
+@query("input_search")
+def input_search(spark, d):
+    """Entries of a small grid, scored by a plain mean-reversion probability."""
+    b = positioned(spark, d)
+    r = N.Rolling()
+    pred = labels.direction(b, (1,)).withColumn("pred", N.sigmoid(-r.log_return(F.col("close"), 1) * 5)).select("symbol", "pos", "pred", F.col("label_dir_1").alias("actual"))
+    fired = grid_trades(spark, d).select("symbol", "config_id", F.col("entry_idx").alias("pos"), "dir")
+    return research.input_search(fired, pred, 30.0, 30, (0.0, 1e9))
+
+
+@query("generalization")
+def generalization(spark, d):
+    g = small_grid(spark)
+    whole = sim.summary(sim.run_grid(hourly(spark, d), g), ["symbol", "config_id"])
+    late = sim.summary(sim.run_grid(hourly(spark, d), g, since="2024-01-15"), ["symbol", "config_id"])
+    return research.generalization(whole, late)
+
+
+@query("leakage_comparison")
+def leakage_comparison(spark, d):
+    f = ["logret_1", "logret_20", "vol_10"]
+    df = labels.direction(indicators.window_features(positioned(spark, d)), (20,)).where("symbol = 'click'").select("pos", "label_dir_20", *f)
+    return research.leakage_comparison(df, f, "label_dir_20", 20, 2, iterations=3, depth=3)
+
+
+@query("pearson_series", sql(_TWO, "SELECT round(corr(s.close, p.close), 6) + 0.0 AS r, count(*)::BIGINT AS n FROM spot s JOIN perp p USING (ts)"))
+def pearson_series(spark, d):
+    df = align.side_by_side(*_two(spark, d), ["ts"], ("_spot", "_perp"))
+    return df.agg(F.corr("close_spot", "close_perp").alias("r"), F.count("*").alias("n"))
+
+
+@query("tail_thresholds", sql(RETURNS, "SELECT round(quantile_cont(r, 1 - 2.0 / 24 / 2), 6) + 0.0 AS buy, round(quantile_cont(r, 2.0 / 24 / 2), 6) + 0.0 AS sell FROM rets WHERE r IS NOT NULL"))
+def tail_thresholds(spark, d):
+    return models.tail_thresholds(hourly(spark, d).withColumn("pred", N.Rolling().log_return(F.col("close"), 1)))
