@@ -17,7 +17,7 @@ from tideline.llm.storage import with_fields
 from tideline.llm.words import Block, blocks, mix, ranges, windows
 
 #: A text is repetitive if more of its word characters than this lie in n-grams of n words that occur twice or more.
-MAX_DUPLICATED = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
+MAX_DUPLICATED = {5: 0.32, 6: 0.31, 7: 0.30, 8: 0.29, 9: 0.28, 10: 0.27}
 #: ... or more than this in lines equal to an earlier line.
 MAX_DUPLICATED_LINES = 0.30
 #: The share rules need some text to be meaningful.
