@@ -111,3 +111,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        (3 + sum(n + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 20 + len(role) END))::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id""",
 }
+
+_upper, _lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL["op2_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_upper}', '{_lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+ m AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m::BIGINT AS component_id, m.m = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id"""
+_shares = {n: round(100 * share) for n, share in quality.MAX_DUPLICATED.items()}
+_leads = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(1, 10))
+_covered = ",\n".join(f""" g{n} AS (SELECT doc_id, k, hash(word, {", ".join(f"w{i}" for i in range(1, n))}) AS h FROM v WHERE w{n - 1} IS NOT NULL),
+ k{n} AS (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM g{n} JOIN (SELECT doc_id, h FROM g{n} GROUP BY ALL HAVING count(*) > 1) USING (doc_id, h)),
+ c{n} AS (SELECT doc_id, count(*) AS words, sum(len(word)) AS chars FROM k{n} JOIN v USING (doc_id, k) GROUP BY doc_id)""" for n in _shares)
+SQL["op4_quality"] = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ z AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+ v AS MATERIALIZED (SELECT *, {_leads} FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+ ln AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS later FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ dl AS (SELECT doc_id, count(*) AS n, sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM ln WHERE later GROUP BY doc_id),
+{_covered},
+ b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(c5.words, 0)::BIGINT AS n_repeat_words, coalesce(dl.chars, 0) AS lc, {", ".join(f"coalesce(c{n}.chars, 0) AS x{n}" for n in _shares)}
+       FROM d LEFT JOIN dl USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _shares)}),
+ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lc <= {round(100 * quality.MAX_DUPLICATED_LINES)} * greatest(word_chars, 1) AND {" AND ".join(f"100 * x{n} <= {s} * greatest(word_chars, 1)" for n, s in _shares.items())} AS kept FROM f"""
