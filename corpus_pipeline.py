@@ -26,9 +26,9 @@ def drop_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
