@@ -127,6 +127,12 @@ def test_weights(spark):
     assert (frame(splits.time_decay(ones, -0.5), "start")["decay"] == 0).sum() > 10
 
 
+def test_running_sums_in_blocks(spark):
+    df = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("v"))
+    got = frame(splits.running_sum(df, "v", "x", ["pos"], block=64), "pos")
+    assert got["x"].tolist() == np.cumsum(np.arange(1000) % 7).tolist()
+
+
 def test_purge_overlaps(spark):
     train = spark.createDataFrame([(0, 5), (4, 8), (9, 12), (20, 30), (13, 14)], "t0 long, t1 long")
     test = spark.createDataFrame([(10, 12), (22, 25)], "t0 long, t1 long")

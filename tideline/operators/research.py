@@ -62,8 +62,9 @@ def purge_by_exit(train: DataFrame, first_test_pos: int) -> DataFrame:
 
 
 def inner_split(rows: DataFrame, share: float = 0.85) -> DataFrame:
-    """inner: the first share of rows trains, the rest stops early."""
-    return rows.withColumn("inner", F.when(F.percent_rank().over(Window.orderBy("pos")) < share, "fit").otherwise("stop"))
+    """inner: the first share of positions trains, the rest stops early."""
+    cut = rows.agg((F.min("pos") + (F.max("pos") - F.min("pos")) * share).alias("_c"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("inner", F.when(F.col("pos") < F.col("_c"), "fit").otherwise("stop")).drop("_c")
 
 
 def weight_schemes(spans: DataFrame, bars: DataFrame) -> DataFrame:

@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one series that a task sums along; longer series run in blocks.
+BLOCK = 100_000
+
+
+def running_sum(df: DataFrame, value: str, out: str, order: list[str], block: int = BLOCK) -> DataFrame:
+    """df with value summed along order, whose first column is a position from 0. Blocks of positions are summed apart and start from the sums of those before, so no task holds a series."""
+    rows = df.withColumn("_b", F.floor(F.col(order[0]) / block))
+    before = F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    starts = rows.groupBy("_b").agg(F.sum(value).alias("_t")).select("_b", F.coalesce(before, F.lit(0)).alias("_s"))
+    within = F.sum(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, within).join(starts, "_b").withColumn(out, F.col(out) + F.col("_s")).drop("_b", "_s")
+
+
 def purge(train: DataFrame, tests: DataFrame, t0: str = "t0", t1: str = "t1") -> DataFrame:
     """train without rows whose span meets a test span. tests are intervals, few enough to broadcast by Spark's own size check."""
     test = tests.select(F.col(t0).alias("_a"), F.col(t1).alias("_b"))
@@ -16,11 +29,10 @@ def purge(train: DataFrame, tests: DataFrame, t0: str = "t0", t1: str = "t1") ->
 
 
 def embargo_times(bars: DataFrame, share: float) -> DataFrame:
-    """until: the time int(n * share) bars on, the last at the end."""
-    n = bars.count()
-    over = Window.orderBy("ts")
-    last = bars.agg(F.max("ts").alias("last"))
-    return bars.crossJoin(last).withColumn("until", F.coalesce(F.lead("ts", int(n * share)).over(over), F.col("last"))).drop("last")
+    """until: the time int(n * share) bars on, the last at the end. bars: pos, ts; a lookup by position, not a sort of all bars."""
+    last = bars.agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+    moved = bars.crossJoin(F.broadcast(last)).withColumn("_to", F.col("pos") + F.floor(F.col("n") * share))
+    return moved.join(bars.select(F.col("pos").alias("_to"), F.col("ts").alias("_at")), "_to", "left").withColumn("until", F.coalesce("_at", "last")).drop("_to", "_at", "last", "n")
 
 
 def block_bounds(n: int, k: int) -> list[tuple[int, int]]:
@@ -84,13 +96,13 @@ def shuffled_kfold(rows: DataFrame, k: int, seed: int, label: str | None = None)
 def concurrency(spans: DataFrame, bars: DataFrame) -> DataFrame:
     """bars (pos) with how many spans (start, end) cover each: steps up and down, summed along."""
     steps = spans.select(F.col("start").alias("pos"), F.lit(1).alias("s")).unionAll(spans.select((F.col("end") + 1).alias("pos"), F.lit(-1).alias("s"))).groupBy("pos").agg(F.sum("s").alias("s"))
-    return bars.join(steps, "pos", "left").withColumn("n_concurrent", F.coalesce(F.sum("s").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("s")
+    stepped = bars.join(steps, "pos", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    return running_sum(stepped, "s", "n_concurrent", ["pos"]).drop("s")
 
 
 def span_sums(spans: DataFrame, per_bar: DataFrame, value: str) -> DataFrame:
     """spans with the sum of value over start..end: two lookups in running sums."""
-    running = F.sum(value).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    c = per_bar.withColumn("c", running).select("pos", "c")
+    c = running_sum(per_bar, value, "c", ["pos"]).select("pos", "c")
     upper, lower = c.select(F.col("pos").alias("end"), F.col("c").alias("ce")), c.select((F.col("pos") + 1).alias("start"), F.col("c").alias("cs"))
     return spans.join(upper, "end").join(lower, "start", "left").withColumn("total", F.col("ce") - F.coalesce("cs", F.lit(0.0))).drop("ce", "cs")
 
@@ -110,8 +122,7 @@ def return_weights(spans: DataFrame, bars: DataFrame, ret: str = "logret") -> Da
 
 def time_decay(unique: DataFrame, last: float, order: str = "start") -> DataFrame:
     """Weights linear in running uniqueness, 1 for the newest; last is that of the oldest, negative leaves the oldest part 0."""
-    over = Window.orderBy(order, "end").rowsBetween(Window.unboundedPreceding, 0)
-    df = unique.withColumn("x", F.sum("uniqueness").over(over))
+    df = running_sum(unique, "uniqueness", "x", [order, "end"])
     top = df.agg(F.max("x").alias("t"))
     slope = (1 - last) / F.col("t") if last >= 0 else 1 / ((last + 1) * F.col("t"))
     return df.crossJoin(F.broadcast(top)).withColumn("decay", F.greatest(1 - slope * (F.col("t") - F.col("x")), F.lit(0.0))).drop("x", "t")

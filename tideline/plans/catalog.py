@@ -486,7 +486,7 @@ def cpcv_splits(spark, d):
 
 @query("embargo_times", sql(_ONE, "SELECT ts, coalesce(lead(ts, (SELECT floor(n * 0.05)::INT FROM n)) OVER (ORDER BY ts), max(ts) OVER ()) AS until FROM one").replace("lead(ts, (SELECT floor(n * 0.05)::INT FROM n)) OVER (ORDER BY ts)", "(SELECT o2.ts FROM one o2, n WHERE o2.pos = one.pos + floor(n * 0.05))"))
 def embargo_times(spark, d):
-    return splits.embargo_times(one_series(spark, d).select("ts"), 0.05)
+    return splits.embargo_times(one_series(spark, d).select("pos", "ts"), 0.05).select("ts", "until")
 
 
 @query("walk_forward_roles", sql(_ONE + ", f AS (SELECT k, floor(n * 0.4)::BIGINT + k * ((n - floor(n * 0.4)::BIGINT) // 5) AS a, CASE WHEN k = 4 THEN n ELSE floor(n * 0.4)::BIGINT + (k + 1) * ((n - floor(n * 0.4)::BIGINT) // 5) END AS b FROM n, (SELECT unnest(range(5)) AS k))", "SELECT k::BIGINT AS fold, pos, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM one, f WHERE (pos >= a AND pos < b) OR pos < a - 20"))
