@@ -663,3 +663,33 @@ def pearson_series(spark, d):
 @query("tail_thresholds", sql(RETURNS, "SELECT round(quantile_cont(r, 1 - 2.0 / 24 / 2), 6) + 0.0 AS buy, round(quantile_cont(r, 2.0 / 24 / 2), 6) + 0.0 AS sell FROM rets WHERE r IS NOT NULL"))
 def tail_thresholds(spark, d):
     return models.tail_thresholds(hourly(spark, d).withColumn("pred", N.Rolling().log_return(F.col("close"), 1)))
+
+
+@query("purge_overlaps", sql(_SPANS + ", t AS (SELECT s AS a, e AS b FROM spans WHERE s >= 200 AND s < 240)", 'SELECT s AS "start", e AS "end" FROM spans WHERE NOT EXISTS (SELECT 1 FROM t WHERE s <= b AND a <= e)'))
+def purge_overlaps(spark, d):
+    spans = spans_of(spark, d).select("start", "end")
+    return splits.purge(spans, spans.where("start >= 200 and start < 240"), "start", "end")
+
+
+@query("forward_path", sql(HOURLY, "SELECT e.symbol, e.pos, (b.pos - e.pos)::BIGINT AS bar_no, round(b.close / e.close - 1, 6) + 0.0 AS gain FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.pos BETWEEN e.pos + 1 AND e.pos + 5 WHERE e.pos % 7 = 3"))
+def forward_path(spark, d):
+    b = positioned(spark, d)
+    ev = b.where("pos % 7 = 3").select("symbol", "pos", F.col("close").alias("entry"))
+    return align.forward_path(ev, b, 5).select("symbol", "pos", F.col("bar_no").cast("long"), (F.col("bar.close") / F.col("entry") - 1).alias("gain"))
+
+
+@query("htf_return_4h", sql(COARSE + ", h AS (SELECT symbol, ts, CASE WHEN close > 0 AND lag(close, 5) OVER w > 0 THEN ln(close / lag(close, 5) OVER w) END AS l FROM full4 WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT symbol, ts, lag(l) OVER (PARTITION BY symbol ORDER BY ts) AS l FROM h)", "SELECT b.symbol, b.ts, round(s.l, 6) + 0.0 AS htf_4h_logret5 FROM hourly b LEFT JOIN s ON s.symbol = b.symbol AND s.ts = time_bucket(INTERVAL 4 HOUR, b.ts)"))
+def htf_return_4h(spark, d):
+    b = hourly(spark, d)
+    return b.withColumn("bin", bars.floor_to("ts", "4 hours")).join(indicators.higher_frame(b, "4 hours", "4h"), ["symbol", "bin"], "left").select("symbol", "ts", "htf_4h_logret5")
+
+
+@query("seeded_sample", None)
+def seeded_sample(spark, d):
+    """A sampling operator: the limit is the feature."""
+    return research.sample(tape(spark, d), 100, 7, "trade_id").select("symbol", "trade_id", "price")
+
+
+@query("effective_inner_split", sql(_ONE, "SELECT pos, CASE WHEN pos < (SELECT min(pos) + (max(pos) - min(pos)) * 0.85 FROM one) THEN 'fit' ELSE 'stop' END AS \"inner\" FROM one"))
+def effective_inner_split(spark, d):
+    return research.inner_split(one_series(spark, d).select("pos"))
