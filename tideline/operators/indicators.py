@@ -36,13 +36,13 @@ def recursive(bars: DataFrame) -> DataFrame:
 
 
 def stochastic(df: DataFrame, value: str, n: int = 14, smooth_k: int = 3, smooth_d: int = 3, prefix: str = "stochrsi") -> DataFrame:
-    """StochRSI: 0 without a range or before there are n values; k and d are its running means."""
+    """StochRSI: 0 without a range or before there are n values; k is its running mean, d that of k, null until they have enough."""
     r = Rolling()
     x = F.col(value)
     low, high = r.min(x, n), r.max(x, n)
     df = df.withColumn("_s", F.coalesce((x - low) / nullif0(high - low), F.lit(0.0)) * 100)
-    df = df.withColumn(f"{prefix}_k", F.coalesce(r.mean(F.col("_s"), smooth_k), F.lit(0.0)))
-    return df.withColumn(f"{prefix}_d", F.coalesce(r.mean(F.col(f"{prefix}_k"), smooth_d), F.lit(0.0))).drop("_s")
+    df = df.withColumn(f"{prefix}_k", r.mean(F.col("_s"), smooth_k))
+    return df.withColumn(f"{prefix}_d", r.mean(F.col(f"{prefix}_k"), smooth_d)).drop("_s")
 
 
 def htf_part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:

@@ -85,10 +85,10 @@ def supertrend_bands(high, low, close, width, factor: float = 3.0) -> tuple[np.n
             was_top, was_bottom = top, bottom
             top = up[i] if up[i] < was_top or c[i - 1] > was_top else was_top
             bottom = down[i] if down[i] > was_bottom or c[i - 1] < was_bottom else was_bottom
-            if state == 1 and c[i] < was_bottom:
-                state = -1
-            elif state == -1 and c[i] > was_top:
-                state = 1
+        if state == 1 and c[i] < bottom:
+            state = -1
+        elif state == -1 and c[i] > top:
+            state = 1
         trend[i], line[i] = state, bottom if state == 1 else top
     return trend, line
 

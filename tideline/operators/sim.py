@@ -27,8 +27,8 @@ def stochastic(value: np.ndarray, n: int, k: int = 3, d: int = 3) -> tuple[np.nd
     s = pd.Series(value)
     low, high = s.rolling(n).min(), s.rolling(n).max()
     raw = (100 * (s - low) / (high - low).where(high > low)).fillna(0.0)
-    fast = raw.rolling(k).mean().fillna(0.0)
-    return fast.to_numpy(), fast.rolling(d).mean().fillna(0.0).to_numpy()
+    fast = raw.rolling(k).mean()
+    return fast.to_numpy(), fast.rolling(d).mean().to_numpy()
 
 
 def signals(k: np.ndarray, d: np.ndarray, strength: np.ndarray, adx_th: float, os_th: float, k_th: float, d_th: float, cross: str = "strict") -> tuple[np.ndarray, np.ndarray]:

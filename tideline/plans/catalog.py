@@ -185,8 +185,8 @@ def rsi_14(spark, d):
 
 @query("stoch_rsi", sql(_RSI + """,
  s AS (SELECT symbol, pos, coalesce(CASE WHEN count(*) OVER v >= 14 THEN 100 * (rsi_14 - min(rsi_14) OVER v) / nullif(max(rsi_14) OVER v - min(rsi_14) OVER v, 0) END, 0) AS raw FROM rsi WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 13 PRECEDING)),
- k AS (SELECT symbol, pos, coalesce(CASE WHEN count(*) OVER v >= 3 THEN avg(raw) OVER v END, 0) AS stochrsi_k FROM s WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING)),
- d AS (SELECT symbol, pos, stochrsi_k, coalesce(CASE WHEN count(*) OVER v >= 3 THEN avg(stochrsi_k) OVER v END, 0) AS stochrsi_d FROM k WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING))""", f"SELECT symbol, pos, {r6('stochrsi_k', 'stochrsi_d', digits=4)} FROM d", True), 4)
+ k AS (SELECT symbol, pos, CASE WHEN count(*) OVER v >= 3 THEN avg(raw) OVER v END AS stochrsi_k FROM s WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING)),
+ d AS (SELECT symbol, pos, stochrsi_k, CASE WHEN count(stochrsi_k) OVER v >= 3 THEN avg(stochrsi_k) OVER v END AS stochrsi_d FROM k WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING))""", f"SELECT symbol, pos, {r6('stochrsi_k', 'stochrsi_d', digits=4)} FROM d", True), 4)
 def stoch_rsi(spark, d):
     return indicators.stochastic(indicators.recursive(positioned(spark, d)), "rsi_14").select("symbol", "pos", "stochrsi_k", "stochrsi_d")
 
@@ -199,7 +199,12 @@ def atr_adx(spark, d):
     return indicators.recursive(positioned(spark, d)).select("symbol", "pos", "atr_14", "adx_14", "plus_di_14", "minus_di_14")
 
 
-@query("supertrend_v1")
+@query("supertrend_v1", sql(_MOVES + ", " + ewm_sql("e", "src", {"atr": ("tr", _A14)}) + """,
+ bands AS (SELECT s.symbol, s.pos, s.close, s.close - s.m AS before, CASE WHEN s.pos >= 13 THEN (s.high + s.low) / 2 + 3 * e.atr END AS up, CASE WHEN s.pos >= 13 THEN (s.high + s.low) / 2 - 3 * e.atr END AS dn FROM src s JOIN e USING (symbol, pos)),
+ t AS (SELECT symbol, pos, up AS top, dn AS bottom, 1 AS side FROM bands WHERE pos = 0
+       UNION ALL SELECT symbol, pos, top, bottom, CASE WHEN side = 1 AND close < bottom THEN -1 WHEN side = -1 AND close > top THEN 1 ELSE side END FROM
+         (SELECT b.symbol, b.pos, b.close, t.side, CASE WHEN t.top IS NULL OR b.up < t.top OR b.before > t.top THEN b.up ELSE t.top END AS top, CASE WHEN t.bottom IS NULL OR b.dn > t.bottom OR b.before < t.bottom THEN b.dn ELSE t.bottom END AS bottom FROM t JOIN bands b ON b.symbol = t.symbol AND b.pos = t.pos + 1))""", """
+SELECT symbol, pos, side::DOUBLE AS supertrend_trend, round(CASE WHEN side = 1 THEN bottom ELSE top END, 4) + 0.0 AS supertrend_line FROM t""", True), 4)
 def supertrend_v1(spark, d):
     return indicators.recursive(positioned(spark, d)).select("symbol", "pos", "supertrend_trend", "supertrend_line")
 
