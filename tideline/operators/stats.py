@@ -105,9 +105,9 @@ def expected_max_sharpe(trials: int, variance: float = 1.0) -> float:
     return math.sqrt(variance) * ((1 - EULER) * _N.inv_cdf(1 - 1 / trials) + EULER * _N.inv_cdf(1 - 1 / (trials * math.e)))
 
 
-def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, kurt: float = 3.0, variance: float | None = None) -> float:
-    """Chance that the Sharpe ratio is above what the best of so many trials shows without skill; variance across trials, 1 / n by default."""
-    bar = expected_max_sharpe(trials, 1.0 / n if variance is None else variance)
+def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, kurt: float = 3.0, variance: float = 1.0) -> float:
+    """Chance that the Sharpe ratio is above what the best of so many trials shows without skill; variance of the ratio across trials, on the same scale."""
+    bar = expected_max_sharpe(trials, variance)
     spread = math.sqrt(max(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2))
     return _N.cdf((sharpe - bar) * math.sqrt(n - 1) / spread)
 
@@ -120,16 +120,19 @@ def overfitting(returns: DataFrame, chunks: int = 12) -> DataFrame:
     """
     spark = returns.sparkSession
     n = returns.agg(F.max("obs_no").alias("n")).first()["n"] + 1
-    size = n // chunks
-    part = returns.where(F.col("obs_no") < size * chunks).groupBy("strategy_id", F.floor(F.col("obs_no") / size).cast("int").alias("chunk")).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    size, longer = divmod(n, chunks)
+    edge = longer * (size + 1)  # the first chunks are one longer
+    chunk = F.when(F.col("obs_no") < edge, F.floor(F.col("obs_no") / (size + 1))).otherwise(longer + F.floor((F.col("obs_no") - edge) / max(size, 1))).cast("int")
+    part = returns.groupBy("strategy_id", chunk.alias("chunk")).agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     halves = list(combinations(range(chunks), chunks // 2))
     member = spark.createDataFrame([(i, c, c in h) for i, h in enumerate(halves) for c in range(chunks)], "split int, chunk int, inside boolean")
     sums = part.join(F.broadcast(member), "chunk").groupBy("split", "strategy_id", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    sharpe = sums.withColumn("v", F.when(spread > 0, mean / spread).otherwise(0.0))
+    sharpe = sums.withColumn("v", F.when(spread > 1e-15, mean / spread))
     wide = sharpe.groupBy("split", "strategy_id").agg(F.max(F.when(F.col("inside"), F.col("v"))).alias("is_v"), F.max(F.when(~F.col("inside"), F.col("v"))).alias("oos_v"))
-    ranked = rank_in(wide, "oos_v", "rk", ["split"]).withColumn("total", F.count("*").over(Window.partitionBy("split")))
+    known = wide.where("is_v is not null and oos_v is not null")
+    ranked = known.withColumns({"rk": F.rank().over(Window.partitionBy("split").orderBy("oos_v")), "total": F.count("*").over(Window.partitionBy("split"))})
     best = ranked.groupBy("split").agg(F.max_by(F.struct("rk", "total"), F.struct("is_v", -F.col("strategy_id"))).alias("b"))
     w = F.col("b.rk") / (F.col("b.total") + 1)
     return best.withColumn("logit", F.log(w / (1 - w))).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"), F.avg("logit").alias("mean_logit"))
