@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.pieces import BYTE_CHARS, Pieces, split, unusual
-from tideline.llm.storage import with_fields
+from tideline.llm.storage import narrow_batches, with_fields
 from tideline.llm.words import LOWER, blocks
 
 END = "</w>"
@@ -206,6 +206,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     Null and empty texts have no ids and decode to the empty text. Rows that
     repeat an id are returned once each; an empty table gives none.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
     schema = with_fields(rows.select("doc_id").schema, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components
-from tideline.llm.storage import stored
+from tideline.llm.storage import narrow_batches, stored
 from tideline.llm.words import Block, blocks, mix, windows
 
 #: Minima in a band, and low bits kept of each.
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     gives an empty result. n_links: confirmed links to other sets that were
     tried (not all that exist), plus rows with the same set.
     """
+    narrow_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
     count = bands * ROWS
     signed = stored(signatures(docs, id_col, text, n, bands))

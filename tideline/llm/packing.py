@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.pieces import BYTE_CHARS, Pieces, split, unusual
 from tideline.llm.ranking import parts_for, ranked
-from tideline.llm.storage import stored
+from tideline.llm.storage import narrow_batches, stored
 from tideline.llm.words import blocks
 
 WINDOW = 2048
@@ -161,6 +161,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     repeated rows and ids give pieces of their own. An empty table gives none.
     Sequences hold no more than window ids; offsets in one run without gaps.
     """
+    narrow_batches(docs.sparkSession)
     pieces = stored(cut(docs, path, id_col, text, window))
     have = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.storage import with_fields
+from tideline.llm.storage import narrow_batches, with_fields
 from tideline.llm.words import Block, blocks, mix, ranges, windows
 
 #: A text is repetitive if more of its word characters than this lie in n-grams of n words that occur twice or more.
@@ -102,6 +102,7 @@ def repetition(docs: DataFrame, text: str = "text", prefix: str = "", carry: lis
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     new = [prefix + x for x in names]
+    narrow_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if carry is None else carry) if c not in new]
     old = docs.select(*[f"`{c}`" for c in dict.fromkeys([text, *carried])])
     schema = with_fields(docs.select(*[f"`{c}`" for c in carried]).schema, ", ".join(prefix + x for x in SCHEMA.split(", ")))

@@ -26,6 +26,17 @@ def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts sent to a Python worker at once. Ten thousand, the default, are tens of megabytes on both sides of the hop.
+BATCH_ROWS = 1_000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """A new schema with more fields; StructType.add would change the given one."""
     return T.StructType([*schema.fields, *T.DataType.fromDDL(ddl).fields])

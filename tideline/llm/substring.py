@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.storage import stored, with_fields
+from tideline.llm.storage import narrow_batches, stored, with_fields
 from tideline.llm.words import Block, blocks, mix, windows
 
 WINDOW, ANCHOR = 13, 4
@@ -151,6 +151,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spans are (start, end) word places, whole says that all words go because an
     earlier text has the same words. Documents without any are not returned.
     """
+    narrow_batches(docs.sparkSession)
     size = min(ANCHOR, window)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).cast("long").alias("id")).where("id is not null")
 
