@@ -37,8 +37,8 @@ DEVIATIONS = 7.0
 #: Members of one band key that are paired in one task.
 KEY_ROWS = 512
 PER_LONG = 64 // BITS
-#: Bits of a set's odd sketch: bit i says whether an odd number of its shingles hash to i.
-SKETCH_BITS = 2048
+#: Bits of a set's odd sketch: bit i says whether an odd number of its shingles hash to i. Few, so that the join's condition stays small enough to be compiled.
+SKETCH_BITS = 512
 SCHEMA = "n_shingles long, digest_a long, digest_b long, band_keys array<long>, packed array<long>"
 
 
