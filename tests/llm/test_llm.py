@@ -318,6 +318,26 @@ def test_substrings_equal_brute_force(docs, window, hot, monkeypatch):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == expected
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_substrings_in_documents_that_repeat_a_shared_passage(spark, hot, monkeypatch):
+    """The same stretch at several places of one document; an earlier one holds its windows among other words."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 500)
+    rng = random.Random(5)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    texts = []
+    for _ in range(20):
+        passage, around = fresh(20), fresh(20)
+        inner = passage[rng.randint(0, 3) : rng.randint(15, 20)]
+        texts.append(" ".join(fresh(15) + inner + fresh(15)))
+        line = around[:10] + passage + around[10:]
+        texts.append(" ".join(fresh(3) + line + fresh(5) + line + line + fresh(2)))
+        texts.append(" ".join(line + fresh(4) + line))
+    got = by_id(substring.remove_duplicates(make(spark, texts)))
+    for i, expected in enumerate(brute_removed(texts, 13)):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == expected
+
+
 def test_substrings_full_text_and_empty(spark, docs):
     full = substring.remove_duplicates(docs, full=True, carry=["doc_id", "score"])
     texts = corpus()

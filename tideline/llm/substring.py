@@ -203,38 +203,43 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 raw = b.data.tobytes()
                 ids = batch.column(1).slice(b.first, b.n).to_numpy(zero_copy_only=False)
                 place = s - b.word_offsets[b.doc[s]]
+                # A document's equal stretches are one row with all their places.
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for k, (d, i, j) in enumerate(zip(b.doc[s].tolist(), s.tolist(), e.tolist(), strict=True)):
+                    found.setdefault((d, b" ".join([raw[x:y] for x, y in zip(b.start[i:j].tolist(), b.end[i:j].tolist(), strict=True)])), []).append(k)
+                one = np.array([at[0] for at in found.values()], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[b.doc[s]]), pa.array(anchor[first].view(np.int64)), pa.array(place), pa.array(e - s), pa.array([b" ".join(raw[x:y] for x, y in zip(b.start[i:j].tolist(), b.end[i:j].tolist(), strict=True)).decode("utf-8") for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.string())],
-                    names=["id", "anchor", "place", "words", "stretch"],
+                    [pa.array(ids[b.doc[s[one]]]), pa.array(anchor[first][one].view(np.int64)), pa.array([place[at].tolist() for at in found.values()], pa.list_(pa.int64())), pa.array((e - s)[one]), pa.array([w.decode("utf-8") for _, w in found], pa.string())],
+                    names=["id", "anchor", "places", "words", "stretch"],
                 )
 
-    stretches = stored(rows.join(wanted, "id").select("text", "id", "wanted").mapInArrow(cut, "id long, anchor long, place long, words long, stretch string"))
+    stretches = stored(rows.join(wanted, "id").select("text", "id", "wanted").mapInArrow(cut, "id long, anchor long, places array<long>, words long, stretch string"))
     per_anchor = stretches.groupBy("anchor").agg(F.approx_count_distinct("stretch").alias("n")).where(F.col("n") > HOT)
     hot = stored(per_anchor.select("anchor"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, str]] = []
-            for i, place, stretch in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            out: list[tuple[int, list[int], str]] = []
+            for i, at, stretch in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = stretch.split(" ")
-                out += [(i, place + k, " ".join(words[k : k + window])) for k in range(len(words) - window + 1)]
+                out += [(i, [place + k for place in at], " ".join(words[k : k + window])) for k in range(len(words) - window + 1)]
             ids, places, texts = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array([window] * len(ids), pa.int64()), pa.array(texts, pa.string())], names=["id", "place", "words", "stretch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array([window] * len(ids), pa.int64()), pa.array(texts, pa.string())], names=["id", "places", "words", "stretch"])
 
-    # Classes of equal stretches: of these only the earliest document's is searched for; in the others every window has occurred.
-    usual = stretches.join(hot, "anchor", "left_anti").select("id", "place", "words", "stretch", "anchor", F.lit(False).alias("hot"))
-    cut_up = stretches.join(hot, "anchor", "left_semi").select("id", "place", "stretch").mapInArrow(single, "id long, place long, words long, stretch string").withColumn("anchor", F.xxhash64("stretch")).withColumn("hot", F.lit(True))
+    # Classes of equal stretches: of these only the earliest document's is searched for, and what is found holds at all its places there; in the others every window has occurred.
+    usual = stretches.join(hot, "anchor", "left_anti").select("id", "places", "words", "stretch", "anchor", F.lit(False).alias("hot"))
+    cut_up = stretches.join(hot, "anchor", "left_semi").select("id", "places", "stretch").mapInArrow(single, "id long, places array<long>, words long, stretch string").withColumn("anchor", F.xxhash64("stretch")).withColumn("hot", F.lit(True))
     parts = stored(usual.unionByName(cut_up).withColumn("h1", F.xxhash64("stretch")).withColumn("h2", F.xxhash64("stretch", F.lit(1))))
     key = ["h1", "h2", "hot"]
-    classes = stored(parts.groupBy(*key).agg(F.min_by(F.struct("id", "place", "words", "anchor", "stretch"), F.struct("id", "place")).alias("own")).select(*key, "own.*"))
-    later = parts.select("id", "place", "words", *key).join(classes.select(*key, F.col("id").alias("owner")), key).where("id > owner").select("id", F.col("place").alias("start"), (F.col("place") + F.col("words")).alias("end"))
+    classes = stored(parts.groupBy(*key).agg(F.min_by(F.struct("id", "places", "words", "anchor", "stretch"), F.struct("id", "places")).alias("own")).select(*key, "own.*"))
+    later = parts.select("id", "places", "words", *key).join(classes.select(*key, F.col("id").alias("owner")), key).where("id > owner").select("id", "words", F.explode("places").alias("start")).select("id", "start", (F.col("start") + F.col("words")).alias("end"))
     asked = classes.where("not hot")
     total = asked.agg(F.sum("words").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_WORDS))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         got = earlier_windows(pdf["id"].to_numpy(), [s.encode("utf-8").split(b" ") for s in pdf["stretch"]], window)
-        out = [(i, p + int(k), p + int(k) + window) for i, p, hit in zip(pdf["id"], pdf["place"], got, strict=True) for k in np.flatnonzero(hit)]
+        out = [(i, int(p) + k, int(p) + k + window) for i, at, hit in zip(pdf["id"], pdf["places"], got, strict=True) for k in np.flatnonzero(hit).tolist() for p in at]
         return pd.DataFrame(out, columns=["id", "start", "end"]).astype("int64")
 
     found = asked.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(2)), F.lit(shards))).groupBy("shard").applyInPandas(search, "id long, start long, end long")
