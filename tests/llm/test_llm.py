@@ -476,6 +476,25 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def sharp():
+    """A model that knows three words, with letters counted over a few sentences."""
+    text = " ".join(["you are a man and he is the one who said that this is not what i am to do with it"] * 20 + ["an assignment of the class"] * 5).encode()
+    code = np.array([toxicity._CODE[b] for b in text], np.int64)
+    counts = np.bincount(code[:-2] * toxicity.SYMBOLS**2 + code[1:-1] * toxicity.SYMBOLS + code[2:], minlength=toxicity.SYMBOLS**3)
+    return toxicity.Model(toxicity.log_model(counts), {"=stupid": 8.0, "=idiot": 8.0, "=ass": 8.0}, -4.0)
+
+
+@pytest.mark.parametrize("text", ["you are a s t u p i d man", "y o u i d i o t", "s t u p i d i d i o t", "i   d   i   o   t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "a 1 d 1 0 t b", "y o u   s t u p i d   m a n", "so i i d d i i o t t i am", "x i.d.i.o.t x", "x i_d_i_o_t x", "you $ t u p ! d"])
+def test_toxicity_parts_spaced_runs_into_words(sharp, text):
+    assert sharp.score(text) > 0.5
+
+
+@pytest.mark.parametrize("text", ["a n a s s i g n m e n t", "x + y = 3", "1 2 3 4 5 6", "a b c d e f g", "- - - ! ! !", ""])
+def test_toxicity_leaves_other_runs(sharp, text):
+    assert sharp.score(text) < 0.5
+
+
 def test_toxicity_without_labels(spark):
     docs = make(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -3,7 +3,9 @@
 A writer's word reaches us through a channel that swaps letters for look-alikes,
 spaces letters out and repeats them. Each suspicious word becomes a lattice of
 what every character may have been; Viterbi under a character trigram model,
-counted over the whole corpus, decodes the likeliest word. A classifier on the
+counted over the whole corpus, decodes the likeliest word. In a run of single
+characters every gap may be a border of words, so that Viterbi (with the words
+that the classifier knows) parts the run into words. A classifier on the
 restored words (and their beginnings, as stems inflect) then scores the text.
 """
 
@@ -33,12 +35,16 @@ STEMS = (4, 5, 6)
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Log-probabilities of a swapped, a dropped and a repeated character.
 SWAP, DROP, REPEAT = -1.0, -2.0, -0.5
+#: Of a border of words at a usual gap of a run, of no border at a gap wider than that, and of a word that the classifier knows.
+BORDER, JOIN, KNOWN = -1.0, -2.0, -6.0
 SYMBOLS = 28  # the border of a word, a to z, any other letter
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = 27
 _FOLD = str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-SPACED = re.compile(r"(?<!\w)(?:[^\s\w]|_)*(?:[^\W_][ ._\-*~]{1,2}){3,}[^\W_](?!\w)")
+_ONE = r"(?:[^\W_]|[@$!|+(€£¡])(?![^\W_])"
+SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[\s._\-*~]++{_ONE}){{2,}}")
+GAP = re.compile(r"[\s._\-*~]+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 REPEATED = re.compile(r"(.)\1\1")
 #: Words remembered in a task.
@@ -76,6 +82,10 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((c + 4 * p2[None]) / (c.sum(axis=2, keepdims=True) + 4))
 
 
+def _code(letter: str) -> int:
+    return ord(letter) - 96 if "a" <= letter <= "z" else 27
+
+
 @dataclass
 class Model:
     language: np.ndarray
@@ -133,7 +143,6 @@ class Model:
         known = self.listed(steps)
         if known is not None:
             return known
-        code = lambda x: ord(x) - 96 if "a" <= x <= "z" else 27
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         p = self.language
         for options in steps:
@@ -142,7 +151,7 @@ class Model:
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
                     for letter in letters:
-                        z = code(letter)
+                        z = _code(letter)
                         s += p[x, y, z]
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
@@ -150,6 +159,86 @@ class Model:
             best = after
         return max((s + p[a, b, 0], out) for (a, b), (s, out) in best.items())[1]
 
+    def known_from(self, steps: list[list[tuple[str, float]]], at: int) -> Iterator[tuple[int, str, float]]:
+        """(step after it, word, cost) of each word of the classifier's that begins at a step."""
+        for word in (w for c in sorted({x[0] for x, _ in steps[at] if x}) for w in self.lexicon.get(c, ())):
+            plain, ends = word.translate(_FOLD), {0: 0.0}
+            for k in range(at, len(steps)):
+                after: dict[int, float] = {}
+                for e, cost in ends.items():
+                    for x, more in steps[k]:
+                        if plain.startswith(x, e) and cost + more > after.get(e + len(x), -math.inf):
+                            after[e + len(x)] = cost + more
+                ends = after
+                if not ends:
+                    break
+                if len(plain) in ends:
+                    yield k + 1, word, ends[len(plain)]
+
+    def segmented(self, chars: str, border: list[float | None], join: list[float]) -> list[str]:
+        """The likeliest words behind characters in a row.
+
+        border: the cost of a border of words before each of them, None where there can
+        be none; join: that of none. A repeated character may stand for nothing.
+        """
+        chars, n = chars.translate(_FOLD), len(chars)
+        steps: list[list[tuple[str, float]]] = []
+        for i, c in enumerate(chars):
+            steps.append([(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKS.get(c, "")] + [("", DROP * (1 + (c in LOOKS)))] * (not c.isdigit()))
+            if i and c == chars[i - 1] and (c.isalpha() or c.isdigit()):
+                steps[-1].append(("", REPEAT))
+        joined = np.concatenate([[0.0], np.cumsum(join)])
+        p = self.language
+        # Of the best words up to each border, and of each state of the word since: score and links back.
+        ends: list[tuple | None] = [(0.0, None)] + [None] * n
+        inside: dict[tuple[int, int], tuple] = {}
+
+        def close(at: int, score: float, link: tuple) -> None:
+            cost = 0.0 if at == n else border[at]
+            if cost is not None and (ends[at] is None or score + cost > ends[at][0]):
+                ends[at] = (score + cost, link)
+
+        for i, options in enumerate(steps):
+            before = [(a, b, s + join[i], since, letters) for (a, b), (s, since, letters) in inside.items()]
+            if ends[i] is not None:
+                score, since = ends[i]
+                before.append((0, 0, score, since, None))
+                for j, word, cost in self.known_from(steps, i) if self.lexicon else ():
+                    close(j, score + KNOWN + cost + joined[j] - joined[i + 1], (since, word))
+            inside = {}
+            for a, b, score, since, letters in before:
+                for x, cost in options:
+                    s, y, z = score + cost, a, b
+                    if x:
+                        z = _code(x)
+                        s += p[a, b, z]
+                        y = b
+                    if (y, z) not in inside or s > inside[y, z][0]:
+                        inside[y, z] = (s, since, (letters, x) if x else letters)
+            full = [(s + p[a, b, 0], since, letters) for (a, b), (s, since, letters) in inside.items() if letters is not None]
+            if full:
+                score, since, letters = max(full, key=lambda x: x[0])
+                close(i + 1, score, (since, letters))
+        out, link = [], ends[n][1] if ends[n] is not None else None
+        while link is not None:
+            link, word = link
+            if not isinstance(word, str):
+                letters, parts = word, []
+                while letters is not None:
+                    letters, x = letters
+                    parts.append(x)
+                word = "".join(reversed(parts))
+            out.append(word)
+        return out[::-1]
+
+    def of_run(self, run: str) -> list[str]:
+        """The words of a run of single characters; without a letter in it, those that the classifier knows."""
+        chars, gaps = GAP.sub("", run), [len(g) for g in GAP.findall(run)]
+        usual = min(gaps)
+        wide = [False] + [g > usual for g in gaps]
+        words = self.segmented(chars, [0.0 if w else BORDER for w in wide], [JOIN * w for w in wide])
+        return [*words, self.restored(chars)] if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
+
     def restored(self, raw: str) -> str:
         """A word as it was meant; '' if nothing of it is letters."""
         if raw.isalpha() and not REPEATED.search(raw):
@@ -179,9 +268,9 @@ class Model:
     def features(self, text: str) -> set[str]:
         """All features of a text."""
         low = text.lower()
-        words = set(low.split())
-        words.update(re.sub(r"[ ._\-*~]", "", m) for m in SPACED.findall(low))
-        return {f for w in words for f in self.of_word(self.restored(w))}
+        words = {self.restored(w) for w in set(low.split())}
+        words.update(w for run in set(SPACED.findall(low)) for w in self.of_run(run))
+        return {f for w in words for f in self.of_word(w)}
 
     def hits(self, text: str) -> set[str]:
         """The features of a text that have a weight."""
@@ -189,11 +278,11 @@ class Model:
         out: set[str] = set()
         known = self.known
         words = set(low.split())
-        words.update(re.sub(r"[ ._\-*~]", "", m) for m in SPACED.findall(low))
+        words.update(" " + run for run in SPACED.findall(low))
         for w in words:
             got = known.get(w)
             if got is None:
-                got = tuple(f for f in self.of_word(self.restored(w)) if f in self.weights)
+                got = tuple({f: 0 for x in (self.of_run(w[1:]) if w[0] == " " else [self.restored(w)]) for f in self.of_word(x) if f in self.weights})
                 if len(known) > CACHE:
                     known.clear()
                 known[w] = got
