@@ -495,6 +495,18 @@ def test_toxicity_leaves_other_runs(sharp, text):
     assert sharp.score(text) < 0.5
 
 
+LONG_TOKENS = ["idi" + "o" * 100 + "t", "idi" + "o" * 50 + "t/" + "x" * 50, "/".join(["some", "plain", "words", "stupid", "and", "others", "more", "than", "forty"]), "first-second-third-fourth-fifth-sixth-1d10t-seventh", "one,two,three,four,five,six,seven,eight,nine,ten,id!ot", "first-second-third-fourth-fifth-sixth-455-seventh", "word1idiot2word3other4word5other6word7other8w", "455-" * 20, "idiot/stupid", "ab" * 30_000 + "-1d1ot"]
+
+
+@pytest.mark.parametrize("text", LONG_TOKENS)
+def test_toxicity_decodes_long_and_joined_tokens(sharp, text):
+    assert sharp.score(text) > 0.5
+
+
+def test_toxicity_leaves_long_tokens_of_other_words(sharp):
+    assert all(sharp.score(t) < 0.5 for t in ["https://some.where.net/class/assignment/of/the/man/and/0123", "0123" * 30, "-" * 100, "ab12" * 20])
+
+
 def test_toxicity_without_labels(spark):
     docs = make(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -47,6 +47,11 @@ SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[\s._\-*~]++{_ONE}){{2,}}")
 GAP = re.compile(r"[\s._\-*~]+")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 REPEATED = re.compile(r"(.)\1\1")
+RUN = re.compile(r"(.)\1{3,}")
+#: What parts words that are joined: all but letters, digits and look-alikes.
+JOINT = re.compile(rf"(?:[^\w{re.escape(''.join(LOOKS))}]|_)+")
+#: Characters beyond which a token is taken to be more than one word.
+LONG = 40
 #: Words remembered in a task.
 CACHE = 100_000
 
@@ -237,7 +242,7 @@ class Model:
         usual = min(gaps)
         wide = [False] + [g > usual for g in gaps]
         words = self.segmented(chars, [0.0 if w else BORDER for w in wide], [JOIN * w for w in wide])
-        return [*words, self.restored(chars)] if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
+        return [*words, *self.of_token(chars)] if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
 
     def restored(self, raw: str) -> str:
         """A word as it was meant; '' if nothing of it is letters."""
@@ -252,8 +257,8 @@ class Model:
                 got = outer
             elif word.isalpha() and not REPEATED.search(word):
                 got = word
-            elif not any(map(str.isalpha, raw)) or len(raw) > 40:
-                got = ""
+            elif not any(map(str.isalpha, raw)):
+                got = self.listed(self.lattice(raw)) or ""
             else:
                 got = self.decode(word)
             if len(self.decoded) > CACHE:
@@ -261,6 +266,19 @@ class Model:
             self.decoded[raw] = got
         return got
 
+    def of_token(self, raw: str) -> list[str]:
+        """The words of a token: itself, and those that punctuation joins; of a long one those that Viterbi parts it into."""
+        if raw.isalpha() and not REPEATED.search(raw):
+            return [raw]
+        if len(raw) > LONG:
+            raw = RUN.sub(r"\1\1\1", raw)  # three are still marked as a repetition
+        out = [self.restored(p) for p in JOINT.split(raw) if 1 < len(p) <= LONG and p != raw]
+        if len(raw) <= LONG:
+            return [self.restored(raw), *out]
+        plain = [c.isalpha() for c in raw]
+        words = self.segmented(raw, [None, *[None if a and b else BORDER for a, b in zip(plain, plain[1:], strict=False)]], [0.0] * len(raw))
+        return out + (words if any(plain) else [w for w in words if "=" + w in self.weights])
+
     @staticmethod
     def of_word(word: str) -> tuple[str, ...]:
         return ("=" + word, *(word[:k] for k in STEMS if len(word) >= k)) if word else ()
@@ -268,7 +286,7 @@ class Model:
     def features(self, text: str) -> set[str]:
         """All features of a text."""
         low = text.lower()
-        words = {self.restored(w) for w in set(low.split())}
+        words = {x for w in set(low.split()) for x in self.of_token(w)}
         words.update(w for run in set(SPACED.findall(low)) for w in self.of_run(run))
         return {f for w in words for f in self.of_word(w)}
 
@@ -282,7 +300,7 @@ class Model:
         for w in words:
             got = known.get(w)
             if got is None:
-                got = tuple({f: 0 for x in (self.of_run(w[1:]) if w[0] == " " else [self.restored(w)]) for f in self.of_word(x) if f in self.weights})
+                got = tuple({f: 0 for x in (self.of_run(w[1:]) if w[0] == " " else self.of_token(w)) for f in self.of_word(x) if f in self.weights})
                 if len(known) > CACHE:
                     known.clear()
                 known[w] = got
