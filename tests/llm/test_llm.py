@@ -281,6 +281,30 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_decode(make(spark, []), path).count() == 0
 
 
+def test_a_block_with_more_pieces_than_are_kept(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tideline.llm import pieces
+
+    monkeypatch.setattr(pieces, "KEPT", 50)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)) for n in (40, 400, 3, 170, 1000)] + ["few words"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = vocabulary(name)
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        engine = bpe.Codec(path) if name.startswith("word") else None
+        packing._encoder.cache_clear()
+        for t in texts:
+            rows = engine.run(pa.array([t])) if engine else packing.token_ids(path, pa.array([t]))
+            assert next(iter(rows))[1].tolist() == library.encode(t, add_special_tokens=False).ids
+        table = engine.table if engine else packing._encoder(path)[1]
+        assert len(table.at) == 50  # the larger table is dropped
+    packing._encoder.cache_clear()
+
+
 def test_trie_equals_plain_merges():
     trie = bpe.codec(vocabulary("word_bpe_49k.json")).trie
     rng = random.Random(0)

@@ -21,7 +21,7 @@ CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write a byte that is no printable character as one beyond 255, in order.
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
-#: Pieces kept in a process before it starts anew.
+#: Pieces kept in a process before it starts anew; a block with more distinct ones has a table of its own size, dropped after it.
 KEPT = 400_000
 
 
@@ -99,18 +99,21 @@ def split(b: Block, text: np.ndarray, joins_space: bool) -> tuple[np.ndarray, np
 
 
 class Pieces:
-    """Ids (and a string) of pieces by their 64-bit hash, in an open hash table of bounded size."""
+    """Ids (and a string) of pieces by their 64-bit hash, in an open hash table: bounded, unless one block needs more."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], list[str]]]):
         self.encode = encode
         self.clear()
 
-    def clear(self) -> None:
-        self.mask = np.uint64((1 << 21) - 1)
-        self.keys = np.zeros(1 << 21, np.uint64)
-        self.rows = np.full(1 << 21, -1, np.int32)
+    def clear(self, room: int = 0) -> None:
+        """An empty table for KEPT pieces, or for room if that is more."""
+        room = max(room, KEPT)
+        slots = max(1 << 21, 1 << (4 * room - 1).bit_length())
+        self.mask = np.uint64(slots - 1)
+        self.keys = np.zeros(slots, np.uint64)
+        self.rows = np.full(slots, -1, np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.int32), 0
-        self.at, self.count, self.n = np.zeros(KEPT, np.int64), np.zeros(KEPT, np.int64), 0
+        self.at, self.count, self.n = np.zeros(room, np.int64), np.zeros(room, np.int64), 0
         self.strings: list[str] = []
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -157,9 +160,10 @@ class Pieces:
                     every = np.argsort(h, kind="stable")
                     order = every[np.concatenate([[True], h[every][1:] != h[every][:-1]])]
                 if len(order) > KEPT:
-                    raise ValueError("a block with more distinct pieces than the table holds")
+                    self.clear(len(order))
             raw = text.tobytes()
-            self.add(h[order], [raw[s:e] for s, e in zip(start[order].tolist(), end[order].tolist(), strict=True)])
+            for part in (order[k : k + KEPT] for k in range(0, len(order), KEPT)):
+                self.add(h[part], [raw[s:e] for s, e in zip(start[part].tolist(), end[part].tolist(), strict=True)])
             found = self.find(h)
         return found
 
