@@ -509,7 +509,7 @@ def sharp():
     return toxicity.Model(toxicity.log_model(counts), {"=stupid": 8.0, "=idiot": 8.0, "=ass": 8.0}, -4.0)
 
 
-@pytest.mark.parametrize("text", ["you are a s t u p i d man", "y o u i d i o t", "s t u p i d i d i o t", "i   d   i   o   t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "a 1 d 1 0 t b", "y o u   s t u p i d   m a n", "so i i d d i i o t t i am", "x i.d.i.o.t x", "x i_d_i_o_t x", "you $ t u p ! d"])
+@pytest.mark.parametrize("text", ["you are a s t u p i d man", "y o u i d i o t", "s t u p i d i d i o t", "i   d   i   o   t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "a 1 d 1 0 t b", "y o u   s t u p i d   m a n", "so i i d d i i o t t i am", "x i.d.i.o.t x", "x i_d_i_o_t x", "you $ t u p ! d", "i d i " + "o " * 5000 + "t"])
 def test_toxicity_parts_spaced_runs_into_words(sharp, text):
     assert sharp.score(text) > 0.5
 

@@ -240,7 +240,9 @@ class Model:
         """The words of a run of single characters; without a letter in it, those that the classifier knows."""
         chars, gaps = GAP.sub("", run), [len(g) for g in GAP.findall(run)]
         usual = min(gaps)
-        wide = [False] + [g > usual for g in gaps]
+        # Of one character over and over four are enough: a word may end with two and the next begin with two.
+        kept = [i for i in range(len(chars)) if i < 4 or chars[i] * 4 != chars[i - 4 : i]]
+        chars, wide = "".join([chars[i] for i in kept]), [i > 0 and gaps[i - 1] > usual for i in kept]
         words = self.segmented(chars, [0.0 if w else BORDER for w in wide], [JOIN * w for w in wide])
         return [*words, *self.of_token(chars)] if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
 
