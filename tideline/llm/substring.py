@@ -1,16 +1,17 @@
-"""Substring deduplication over compressed FM-indexes.
+"""Substring deduplication over FM-indexes.
 
 A word goes if a window of WINDOW words that covers it also starts in a document
 with a smaller id. Every window holds an anchor: the one of its runs of ANCHOR
 words with the smallest hash, so equal windows have equal anchors. Only anchors
 that occur in different texts can hold such a window; the stretches of words
-around them are what the indexes are made of and what is streamed against them.
+around them are what the indexes are made of and what is looked up in them.
 
 Stretches go to shards by their anchor. A shard's distinct stretches form a text
 whose suffixes are sorted and whose Burrows-Wheeler transform is kept as a wavelet
-matrix of packed bits; backward search gives the matching statistics of each
-place, and the documents in a suffix interval of length WINDOW or more say
-whether an earlier one holds the match. An anchor with very many stretches is
+matrix of packed bits; backward search of the WINDOW words at each place gives a
+suffix interval, whose documents say whether an earlier one holds the window (no
+matching statistics are needed). Copies and equal stretches are settled by hash
+classes before. An anchor with very many stretches is
 keyed by whole windows instead: each of those is its own distinct text.
 """
 
