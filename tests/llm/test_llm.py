@@ -414,8 +414,38 @@ def test_estimates_keep_within_their_bounds():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
     turn = ann.rotation(64)
-    guess, width = ann.estimates(q, turn, *ann.encode(x, turn))
-    assert (np.abs(guess - q @ x.T) <= width).mean() > 0.99
+    codes, norm, fit, power = ann.encode(x, turn)
+    columns = np.ascontiguousarray(codes.T)
+    for v in q:
+        guess, width = ann.estimates(v, turn, columns, ann.ones_of(columns), np.ldexp(norm, power), fit)
+        assert (np.abs(guess - x @ v) <= width).mean() > 0.99
+        assert np.abs(guess - x @ v).mean() < 0.3 * width.mean() * 3
+
+
+def plain_nearest(x, every, k):
+    """By loops over doubles: sums in order, ties to the smaller id, what is no number last."""
+    out = {}
+    with np.errstate(all="ignore"):
+        for i in range(0, len(x), every):
+            s = [(float(np.cumsum(x[i] * v)[-1]), j) for j, v in enumerate(x) if j != i]
+            s.sort(key=lambda t: (t[0] != t[0], -t[0] if t[0] == t[0] else 0, t[1]))
+            out[i] = [j for _, j in s[:k]]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e30, 1e-30, 1e160, 1e-160, 1e-170, 1e300, "mixed"])
+def test_neighbours_of_large_and_tiny_vectors(spark, scale):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 16))
+    x[60] = x[61] = x[3]  # ties
+    x = x * 10.0 ** rng.integers(-60, 60, size=(120, 1)) if scale == "mixed" else x * scale
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=20, k=10).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    expected = plain_nearest(x, 20, 10)
+    assert set(got) == set(expected) and all(len(v) == 10 for v in got.values())
+    hit = sum(len(set(got[i]) & set(expected[i])) for i in got)
+    assert hit >= 0.95 * 10 * len(got), hit
 
 
 # --- chats --------------------------------------------------------------------------------------

@@ -2,7 +2,12 @@
 
 Rolling hashes of several n-gram lengths, made for a block of texts at once in
 numpy, measure which share of a text's characters lies inside duplicated n-grams
-and duplicated lines. One narrow pass over the texts: no shuffle.
+and duplicated lines. One narrow pass over the texts: no shuffle. Short n-grams
+tell texts of stuttered words ("to to to to in in in in"), which hold no longer
+n-gram twice; long ones tell repeated passages.
+
+Shares are compared as integers, so a text exactly at a limit is kept. A text of
+any length is measured whole, in memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -16,10 +21,10 @@ from pyspark.sql import DataFrame
 from tideline.llm.storage import narrow_batches, with_fields
 from tideline.llm.words import Block, blocks, mix, ranges, windows
 
-#: A text is repetitive if more of its word characters than this lie in n-grams of n words that occur twice or more.
-MAX_DUPLICATED = {5: 0.32, 6: 0.31, 7: 0.30, 8: 0.29, 9: 0.28, 10: 0.27}
+#: A text is repetitive if more than this percentage of its word characters lies in n-grams of n words that occur twice or more.
+MAX_DUPLICATED = {2: 25, 3: 23, 4: 21, 5: 19, 6: 18, 7: 17, 8: 16, 9: 15, 10: 14}
 #: ... or more than this in lines equal to an earlier line.
-MAX_DUPLICATED_LINES = 0.30
+MAX_DUPLICATED_LINES = 14
 #: The share rules need some text to be meaningful.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 10, 20, 5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -86,9 +91,9 @@ def measure(b: Block) -> dict[str, np.ndarray]:
         out[f"dup_chars_{n}"] = count(b.doc[covered], word_chars[covered])
     n, chars_of = out["n_words"], np.maximum(out["word_chars"], 1)
     out["base_failed"] = (n < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-    bad = out["dup_line_chars"] > MAX_DUPLICATED_LINES * chars_of
+    bad = 100 * out["dup_line_chars"] > MAX_DUPLICATED_LINES * chars_of
     for k, most in MAX_DUPLICATED.items():
-        bad |= out[f"dup_chars_{k}"] > most * chars_of
+        bad |= 100 * out[f"dup_chars_{k}"] > most * chars_of
     out["kept"] = ~out["base_failed"] & ~bad
     return out
 

@@ -123,7 +123,7 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
  r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
  m AS (SELECT x, min(y) AS m FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m::BIGINT AS component_id, m.m = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id"""
-_shares = {n: round(100 * share) for n, share in quality.MAX_DUPLICATED.items()}
+_shares = quality.MAX_DUPLICATED
 _leads = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(1, 10))
 _covered = ",\n".join(f""" g{n} AS (SELECT doc_id, k, hash(word, {", ".join(f"w{i}" for i in range(1, n))}) AS h FROM v WHERE w{n - 1} IS NOT NULL),
  k{n} AS (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM g{n} JOIN (SELECT doc_id, h FROM g{n} GROUP BY ALL HAVING count(*) > 1) USING (doc_id, h)),
@@ -138,4 +138,9 @@ WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extrac
  b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(c5.words, 0)::BIGINT AS n_repeat_words, coalesce(dl.chars, 0) AS lc, {", ".join(f"coalesce(c{n}.chars, 0) AS x{n}" for n in _shares)}
        FROM d LEFT JOIN dl USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _shares)}),
  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lc <= {round(100 * quality.MAX_DUPLICATED_LINES)} * greatest(word_chars, 1) AND {" AND ".join(f"100 * x{n} <= {s} * greatest(word_chars, 1)" for n, s in _shares.items())} AS kept FROM f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lc <= {quality.MAX_DUPLICATED_LINES} * greatest(word_chars, 1) AND {" AND ".join(f"100 * x{n} <= {s} * greatest(word_chars, 1)" for n, s in _shares.items())} AS kept FROM f"""
+
+SQL["op9_ann"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY isnan(score), score DESC, vec_id) AS rank FROM p) WHERE rank <= 20"""
