@@ -535,7 +535,8 @@ def sharp():
     """A model that knows three words, with letters counted over a few sentences."""
     text = " ".join(["you are a man and he is the one who said that this is not what i am to do with it"] * 20 + ["an assignment of the class"] * 5).encode()
     code = np.array([toxicity._CODE[b] for b in text], np.int64)
-    counts = np.bincount(code[:-2] * toxicity.SYMBOLS**2 + code[1:-1] * toxicity.SYMBOLS + code[2:], minlength=toxicity.SYMBOLS**3)
+    grams = sum(code[k : len(code) - toxicity.ORDER + 1 + k] * toxicity.SYMBOLS ** (toxicity.ORDER - 1 - k) for k in range(toxicity.ORDER))
+    counts = np.bincount(grams, minlength=toxicity.SYMBOLS**toxicity.ORDER)
     return toxicity.Model(toxicity.log_model(counts), {"=stupid": 8.0, "=idiot": 8.0, "=ass": 8.0}, -4.0)
 
 
@@ -561,6 +562,79 @@ def test_toxicity_leaves_long_tokens_of_other_words(sharp):
     assert all(sharp.score(t) < 0.5 for t in ["https://some.where.net/class/assignment/of/the/man/and/0123", "0123" * 30, "-" * 100, "ab12" * 20])
 
 
+def plain_best(model, steps, border):
+    """The score of the best reading of a lattice, over all choices of letters and borders."""
+    from itertools import product
+
+    n = len(steps)
+
+    def word(letters):
+        at, s = 0, 0.0
+        for x in [*letters, ""]:
+            z = toxicity._code(x) if x else 0
+            s += float(model.language[at][z])
+            at = at % toxicity.SYMBOLS ** (toxicity.ORDER - 2) * toxicity.SYMBOLS + z
+        return s
+
+    best = [0.0] * n + [0.0]
+    for i in range(n - 1, -1, -1):
+        found = [best[i + 1]] if steps[i][0][0] == "" else []
+        for j in range(i + 1, n + 1):
+            if j < n and border[j] is None:
+                continue
+            for picked in product(*steps[i:j]):
+                letters = "".join(x for x, _ in picked)
+                if letters:
+                    found.append(sum(c for _, c in picked) + word(letters) + (border[j] if j < n else 0.0) + best[j])
+        best[i] = max(found, default=-np.inf)
+    return best[0]
+
+
+def test_viterbi_finds_the_best_reading_of_a_lattice(sharp):
+    rng = random.Random(4)
+    model = toxicity.Model(sharp.language)
+    for _ in range(150):
+        chars = "".join(rng.choices("aeinst104$!.-h", k=rng.randint(1, 6)))
+        border = [None, *[rng.choice([None, 0.0, toxicity.BORDER]) for _ in chars[1:]]]
+        steps = model.lattice(chars)
+        words, score = model.decode(steps, border)
+        assert score == pytest.approx(plain_best(model, steps, border), abs=1e-4), chars
+        assert not words or score > -np.inf
+
+
+@pytest.mark.parametrize(("raw", "word"), [("th1$", "this"), ("m@n", "man"), ("h3", "he"), ("a55ignm3nt", "assignment"), ("s4id", "said"), ("th*t", "that"), ("as$ignment", "assignment"), ("tttthis", "this"), ("wh4t", "what")])
+def test_viterbi_restores_words_that_the_classifier_does_not_know(sharp, raw, word):
+    assert toxicity.Model(sharp.language).of_token(raw) == [word] and sharp.of_token(raw) == [word]
+
+
+def test_words_passed_over_have_no_weight(sharp):
+    """What hits() skips: decoding it in full finds nothing of weight either."""
+    rng = random.Random(6)
+    for _ in range(400):
+        raw = "".join(rng.choices("idiotsup1045$!.-", k=rng.randint(2, 9)))
+        full = {f for w in sharp.of_token(raw) for f in sharp.of_word(w) if f in sharp.weights}
+        assert {f for w in sharp.of_token(raw, False) for f in sharp.of_word(w) if f in sharp.weights} == full
+
+
+@pytest.mark.parametrize("text", ["=" * 10**6, "o" * 10**6, ". " * 500_000, "1" * 10**6, "-" * 10**6 + "1d1ot", "! " * 300_000])
+def test_toxicity_of_a_megabyte_of_one_symbol(sharp, text):
+    import time
+
+    began = time.time()
+    assert (sharp.score(text) > 0.5) == text.endswith("ot")
+    assert time.time() - began < 5
+
+
+def test_fit_counts_only_labels_with_a_document(spark):
+    texts = [f"plain words here {i}" for i in range(40)] + ["you scumbag " + str(i) for i in range(20)]
+    labels = [(i, int(i >= 40)) for i in range(60)]
+    docs = make(spark, texts)
+    one = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    more = toxicity.fit(docs, spark.createDataFrame([*labels, *[(1000 + i, 1) for i in range(500)], (None, 1), (3, None)], "doc_id long, toxic int"))
+    assert one.weights == more.weights and one.bias == more.bias and "=scumbag" in one.weights
+    assert (one.language == more.language).all()
+
+
 def test_toxicity_without_labels(spark):
     docs = make(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -1,12 +1,18 @@
 """Toxicity behind a noisy channel.
 
 A writer's word reaches us through a channel that swaps letters for look-alikes,
-spaces letters out and repeats them. Each suspicious word becomes a lattice of
-what every character may have been; Viterbi under a character trigram model,
-counted over the whole corpus, decodes the likeliest word. In a run of single
-characters every gap may be a border of words, so that Viterbi (with the words
-that the classifier knows) parts the run into words. A classifier on the
-restored words (and their beginnings, as stems inflect) then scores the text.
+spaces letters out, joins words and repeats characters. Every stretch of a text
+that may have passed it (a token that is not plain letters, or a run of single
+characters with gaps between) becomes a lattice of what each character may have
+been, with optional borders of words. One Viterbi pass over the whole stretch,
+under a character 4-gram model counted over the whole corpus and a prior for the
+words that the classifier knows, decodes it. Nothing is looked up before: known
+words are arcs of the same lattice and win by their score only. A classifier on
+the restored words (and their beginnings, as stems inflect) then scores the text.
+
+A stretch whose lattice holds no word or beginning that has a weight cannot change
+a score; it is passed over, which a walk of the lattice along a trie of these tells
+exactly. Tokens and runs may have any length: the time is linear in it.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ STEMS = (4, 5, 6)
 #: What a character may stand for, besides itself if it is a letter.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Log-probabilities of a swapped, a dropped and a repeated character.
-SWAP, DROP, REPEAT = -1.0, -2.0, -0.5
-#: Of a border of words at a usual gap of a run, of no border at a gap wider than that, and of a word that the classifier knows.
+SWAP, DROP, REPEAT = -1.0, -4.0, -0.5
+#: Of a border of words inside a stretch, of none at a gap wider than usual, and of a word that the classifier knows.
 BORDER, JOIN, KNOWN = -1.0, -2.0, -6.0
-SYMBOLS = 28  # the border of a word, a to z, any other letter
+SYMBOLS, ORDER = 28, 4  # the border of a word, a to z, any other letter; characters of a gram
+CONTEXTS = SYMBOLS ** (ORDER - 1)
+_TAIL = SYMBOLS ** (ORDER - 2)
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = 27
@@ -45,46 +53,59 @@ _FOLD = str.maketrans("àâäáãåçèéêëìíîïñòóôöõùúûüýÿ",
 _ONE = r"(?:[^\W_]|[@$!|+(€£¡])(?![^\W_])"
 SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[\s._\-*~]++{_ONE}){{2,}}")
 GAP = re.compile(r"[\s._\-*~]+")
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 REPEATED = re.compile(r"(.)\1\1")
-RUN = re.compile(r"(.)\1{3,}")
-#: What parts words that are joined: all but letters, digits and look-alikes.
-JOINT = re.compile(rf"(?:[^\w{re.escape(''.join(LOOKS))}]|_)+")
-#: Characters beyond which a token is taken to be more than one word.
-LONG = 40
-#: Words remembered in a task.
-CACHE = 100_000
+RUN = re.compile(r"(.)\1{4,}")
+#: Punctuation around a token: neither letters, digits nor look-alikes; and the usual ones of these.
+_OUTER = rf"(?:[^\w{re.escape(''.join(LOOKS))}]|_)+"
+OUTER = re.compile(rf"^{_OUTER}|{_OUTER}\Z")
+USUAL = ".,;:?\"'`)]}[{<>=_-/\\#%&^~"
+#: Words remembered in a task, and bytes of a text counted at once.
+CACHE, SLICE = 100_000, 1 << 20
 
 
-def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of three characters in a row over every text: SYMBOLS ** 3 numbers."""
+def gram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Counts of ORDER characters in a row over every text: SYMBOLS ** ORDER numbers."""
     rows = docs.select(F.col(text).cast("string").alias("text"))
+    size = SYMBOLS**ORDER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for b in blocks(batch.column(0)):
-                low = LOWER[b.data]
-                low = low[(low < 0x80) | (low >= 0xC0)]  # one code for each letter
-                code = _CODE[low].astype(np.int32)
-                code = code[np.concatenate([[True], (code[1:] > 0) | (code[:-1] > 0)])] if len(code) else code
-                if len(code) > 2:
-                    total += np.bincount(code[:-2] * SYMBOLS**2 + code[1:-1] * SYMBOLS + code[2:], minlength=SYMBOLS**3)
+                edges, last = b.offsets[1:-1], np.zeros(1, np.int32)
+                for at in range(0, len(b.data), SLICE):  # one text may be far longer than a block
+                    part = b.data[at : at + SLICE]
+                    low = LOWER[part]
+                    code = _CODE[low].astype(np.int32)
+                    code[(low >= 0x80) & (low < 0xC0)] = -1  # one code for each letter
+                    inner = edges[(edges >= at) & (edges < at + len(part))] - at
+                    code = np.insert(code, inner, 0) if len(inner) else code  # texts do not run into each other
+                    code = np.concatenate([last, code[code >= 0]])
+                    code = code[np.concatenate([[True], (code[1:] > 0) | (code[:-1] > 0)])]
+                    if len(code) >= ORDER:
+                        gram = code[: len(code) - ORDER + 1].copy()
+                        for k in range(1, ORDER):
+                            gram = gram * SYMBOLS + code[k : len(code) - ORDER + 1 + k]
+                        total += np.bincount(gram, minlength=size)
+                    last = code[1 - ORDER :]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    out = np.zeros(SYMBOLS**3, np.int64)
-    for r in rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS ** 3 rows
-        out[r["gram"]] = r["n"]
+    out = np.zeros(size, np.int64)
+    got = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most SYMBOLS ** ORDER rows
+    out[got["gram"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
 def log_model(counts: np.ndarray) -> np.ndarray:
-    """log P(c | a, b), smoothed by the bigram and a uniform one."""
-    c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    pair = c.sum(axis=0)
-    p2 = (pair + 0.5) / (pair.sum(axis=1, keepdims=True) + 0.5 * SYMBOLS)
-    return np.log((c + 4 * p2[None]) / (c.sum(axis=2, keepdims=True) + 4))
+    """log P(c | the three before), each order smoothed by the next shorter one; a row for each context."""
+    c = counts.reshape((SYMBOLS,) * ORDER).astype(float)
+    pair = c.sum(axis=tuple(range(ORDER - 2)))
+    p = (pair + 0.5) / (pair.sum(axis=1, keepdims=True) + 0.5 * SYMBOLS)
+    for k in range(3, ORDER + 1):
+        part = c.sum(axis=tuple(range(ORDER - k)))
+        p = (part + 4 * p[None]) / (part.sum(axis=-1, keepdims=True) + 4)
+    return np.log(p).reshape(CONTEXTS, SYMBOLS).astype(np.float32)
 
 
 def _code(letter: str) -> int:
@@ -100,103 +121,89 @@ class Model:
     def __post_init__(self):
         self.fresh()
 
+    def __getstate__(self):
+        return {"language": self.language, "weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.fresh()
+
     def fresh(self) -> None:
         """After a change of the weights: nothing is known of any word."""
         self.known: dict[str, tuple[str, ...]] = {}
-        self.decoded: dict[str, str] = {}
-        self.lexicon: dict[str, list[str]] = {}
+        self.rows: list[list[float]] | None = None
+        self.beginnings = {f.lstrip("=")[: STEMS[0]] for f in self.weights}
+        # Tries of the words that the classifier knows (the word at the end), and of all features (True there).
+        self.lexicon: dict = {}
+        self.traces: dict = {}
         for f in self.weights:
-            if f[0] == "=":
-                self.lexicon.setdefault(f[1].translate(_FOLD), []).append(f[1:])
+            plain = f.lstrip("=").translate(_FOLD)
+            for trie, end in ((self.traces, True), *([(self.lexicon, f[1:])] if f[0] == "=" else [])):
+                for x in plain:
+                    trie = trie.setdefault(x, {})
+                trie.setdefault("", end)
 
     @staticmethod
-    def lattice(word: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character, what it may stand for and at what cost."""
-        word = word.translate(_FOLD)
+    def lattice(chars: str) -> list[list[tuple[str, float]]]:
+        """What each character may stand for ('' for nothing), and at what cost."""
         steps: list[list[tuple[str, float]]] = []
-        i = 0
-        while i < len(word):
-            c, j = word[i], i + 1
-            while j < len(word) and word[j] == c:
-                j += 1
-            run = j - i
-            if c.isalpha():
-                steps.append([(c * k, REPEAT * (k != run)) for k in range(1, min(run, 2) + 1)])
-            elif c in LOOKS:
-                steps.append([(x * k, SWAP + REPEAT * (k != run)) for x in LOOKS[c] for k in range(1, min(run, 2) + 1)] + [("", DROP * 2)] * (not c.isdigit()))
-            else:
-                steps.append([("", DROP)])
-            i = j
+        before = ""
+        for c in chars.translate(_FOLD):
+            options = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKS.get(c, "")] + [("", DROP)] * (not c.isdigit())
+            steps.append([*options, ("", REPEAT)] if c == before else options)
+            before = c
         return steps
 
-    def listed(self, steps: list[list[tuple[str, float]]]) -> str | None:
-        """A word of the classifier's that the lattice holds."""
-        starts = {x[0] for options in steps[:2] for x, _ in options if x}
-        for word in (w for c in sorted(starts) for w in self.lexicon.get(c, ())):
-            plain, ends = word.translate(_FOLD), {0}
-            for options in steps:
-                ends = {e + len(x) for e in ends for x, _ in options if plain.startswith(x, e)}
-                if not ends:
-                    break
-            if len(plain) in ends:
-                return word
-        return None
-
-    def decode(self, word: str) -> str:
-        """The likeliest word behind a lower-cased one: one that the classifier knows, if the lattice holds it, or what Viterbi finds."""
-        steps = self.lattice(word)
-        known = self.listed(steps)
-        if known is not None:
-            return known
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        p = self.language
+    def touched(self, steps: list[list[tuple[str, float]]]) -> bool:
+        """Whether some reading of the lattice holds a feature, beginning anywhere."""
+        live: dict[int, dict] = {}
         for options in steps:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, out) in best.items():
-                for letters, cost in options:
-                    x, y, s = a, b, score + cost
-                    for letter in letters:
-                        z = _code(letter)
-                        s += p[x, y, z]
-                        x, y = y, z
-                    if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = (s, out + letters)
-            best = after
-        return max((s + p[a, b, 0], out) for (a, b), (s, out) in best.items())[1]
+            after: dict[int, dict] = {}
+            for node in [self.traces, *live.values()]:
+                for x, _ in options:
+                    to = node.get(x) if x else node
+                    if to is not None and to is not self.traces:
+                        if "" in to:
+                            return True
+                        after[id(to)] = to
+            live = after
+        return False
 
     def known_from(self, steps: list[list[tuple[str, float]]], at: int) -> Iterator[tuple[int, str, float]]:
         """(step after it, word, cost) of each word of the classifier's that begins at a step."""
-        for word in (w for c in sorted({x[0] for x, _ in steps[at] if x}) for w in self.lexicon.get(c, ())):
-            plain, ends = word.translate(_FOLD), {0: 0.0}
-            for k in range(at, len(steps)):
-                after: dict[int, float] = {}
-                for e, cost in ends.items():
-                    for x, more in steps[k]:
-                        if plain.startswith(x, e) and cost + more > after.get(e + len(x), -math.inf):
-                            after[e + len(x)] = cost + more
-                ends = after
-                if not ends:
-                    break
-                if len(plain) in ends:
-                    yield k + 1, word, ends[len(plain)]
-
-    def segmented(self, chars: str, border: list[float | None], join: list[float]) -> list[str]:
-        """The likeliest words behind characters in a row.
-
-        border: the cost of a border of words before each of them, None where there can
-        be none; join: that of none. A repeated character may stand for nothing.
+        live = {id(self.lexicon): (self.lexicon, 0.0)}
+        for k in range(at, len(steps)):
+            after: dict[int, tuple[dict, float]] = {}
+            for node, cost in live.values():
+                for x, more in steps[k]:
+                    to = node.get(x) if x else node
+                    if to is not None and (k > at or x) and (id(to) not in after or cost + more > after[id(to)][1]):
+                        after[id(to)] = (to, cost + more)
+            live = after
+            if not live:
+                return
+            for node, cost in live.values():
+                if "" in node:
+                    yield k + 1, node[""], cost
+
+    def decode(self, steps: list[list[tuple[str, float]]], border: list[float | None], join: list[float] | None = None) -> tuple[list[str], float]:
+        """The likeliest words behind a lattice, and their score.
+
+        border: the cost of a border of words before each step, None where there can
+        be none; join: that of none. Between two words a step that can only be dropped
+        costs nothing.
         """
-        chars, n = chars.translate(_FOLD), len(chars)
-        steps: list[list[tuple[str, float]]] = []
-        for i, c in enumerate(chars):
-            steps.append([(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKS.get(c, "")] + [("", DROP * (1 + (c in LOOKS)))] * (not c.isdigit()))
-            if i and c == chars[i - 1] and (c.isalpha() or c.isdigit()):
-                steps[-1].append(("", REPEAT))
-        joined = np.concatenate([[0.0], np.cumsum(join)])
-        p = self.language
+        n = len(steps)
+        join = join or [0.0] * n
+        joined = [0.0]
+        for j in join:
+            joined.append(joined[-1] + j)
+        if self.rows is None:
+            self.rows = self.language.tolist()
+        p = self.rows
         # Of the best words up to each border, and of each state of the word since: score and links back.
         ends: list[tuple | None] = [(0.0, None)] + [None] * n
-        inside: dict[tuple[int, int], tuple] = {}
+        inside: dict[int, tuple] = {}
 
         def close(at: int, score: float, link: tuple) -> None:
             cost = 0.0 if at == n else border[at]
@@ -204,27 +211,33 @@ class Model:
                 ends[at] = (score + cost, link)
 
         for i, options in enumerate(steps):
-            before = [(a, b, s + join[i], since, letters) for (a, b), (s, since, letters) in inside.items()]
+            before = [(c, s + join[i], since, letters) for c, (s, since, letters) in inside.items()]
             if ends[i] is not None:
                 score, since = ends[i]
-                before.append((0, 0, score, since, None))
+                if options[0][0] == "" and (ends[i + 1] is None or score > ends[i + 1][0]):
+                    ends[i + 1] = ends[i]  # punctuation between two words is no part of either
+                before.append((0, score, since, None))
                 for j, word, cost in self.known_from(steps, i) if self.lexicon else ():
                     close(j, score + KNOWN + cost + joined[j] - joined[i + 1], (since, word))
             inside = {}
-            for a, b, score, since, letters in before:
+            for c, score, since, letters in before:
                 for x, cost in options:
-                    s, y, z = score + cost, a, b
+                    s, to = score + cost, c
                     if x:
                         z = _code(x)
-                        s += p[a, b, z]
-                        y = b
-                    if (y, z) not in inside or s > inside[y, z][0]:
-                        inside[y, z] = (s, since, (letters, x) if x else letters)
-            full = [(s + p[a, b, 0], since, letters) for (a, b), (s, since, letters) in inside.items() if letters is not None]
-            if full:
-                score, since, letters = max(full, key=lambda x: x[0])
-                close(i + 1, score, (since, letters))
-        out, link = [], ends[n][1] if ends[n] is not None else None
+                        s += p[c][z]
+                        to = c % _TAIL * SYMBOLS + z
+                    if to not in inside or s > inside[to][0]:
+                        inside[to] = (s, since, (letters, x) if x else letters)
+            best = None
+            for c, (s, since, letters) in inside.items():
+                if letters is not None and (best is None or s + p[c][0] > best[0]):
+                    best = (s + p[c][0], since, letters)
+            if best is not None:
+                close(i + 1, best[0], best[1:])
+        if ends[n] is None:
+            return [], -math.inf
+        out, link = [], ends[n][1]
         while link is not None:
             link, word = link
             if not isinstance(word, str):
@@ -234,52 +247,37 @@ class Model:
                     parts.append(x)
                 word = "".join(reversed(parts))
             out.append(word)
-        return out[::-1]
-
-    def of_run(self, run: str) -> list[str]:
-        """The words of a run of single characters; without a letter in it, those that the classifier knows."""
+        return out[::-1], ends[n][0]
+
+    def of_lattice(self, chars: str, border: list[float | None], join: list[float] | None, all_words: bool) -> list[str]:
+        """The words of a stretch. One without a letter is a number or a rule unless the classifier knows its words."""
+        steps = self.lattice(chars)
+        if not all_words and not self.touched(steps):
+            return []
+        words, _ = self.decode(steps, border, join)
+        return words if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
+
+    def of_run(self, run: str, all_words: bool = True) -> list[str]:
+        """The words of a run of single characters."""
         chars, gaps = GAP.sub("", run), [len(g) for g in GAP.findall(run)]
         usual = min(gaps)
         # Of one character over and over four are enough: a word may end with two and the next begin with two.
         kept = [i for i in range(len(chars)) if i < 4 or chars[i] * 4 != chars[i - 4 : i]]
-        chars, wide = "".join([chars[i] for i in kept]), [i > 0 and gaps[i - 1] > usual for i in kept]
-        words = self.segmented(chars, [0.0 if w else BORDER for w in wide], [JOIN * w for w in wide])
-        return [*words, *self.of_token(chars)] if any(map(str.isalpha, chars)) else [w for w in words if "=" + w in self.weights]
+        wide = [i > 0 and gaps[i - 1] > usual for i in kept]
+        return self.of_lattice("".join([chars[i] for i in kept]), [0.0 if w else BORDER for w in wide], [JOIN * w for w in wide], all_words)
 
-    def restored(self, raw: str) -> str:
-        """A word as it was meant; '' if nothing of it is letters."""
-        if raw.isalpha() and not REPEATED.search(raw):
-            return raw
-        got = self.decoded.get(raw)
-        if got is None:
-            word = EDGE.sub("", raw)
-            # Look-alikes at the edges are punctuation more often than letters: they count where they make a word that the classifier knows.
-            outer = self.listed(self.lattice(raw)) if raw != word and 0 < len(raw) - len(word) <= 3 and (raw[0] in LOOKS or raw[-1] in LOOKS) else None
-            if outer is not None:
-                got = outer
-            elif word.isalpha() and not REPEATED.search(word):
-                got = word
-            elif not any(map(str.isalpha, raw)):
-                got = self.listed(self.lattice(raw)) or ""
-            else:
-                got = self.decode(word)
-            if len(self.decoded) > CACHE:
-                self.decoded.clear()
-            self.decoded[raw] = got
-        return got
-
-    def of_token(self, raw: str) -> list[str]:
-        """The words of a token: itself, and those that punctuation joins; of a long one those that Viterbi parts it into."""
+    def of_token(self, raw: str, all_words: bool = True) -> list[str]:
+        """The words of a token; borders can be anywhere but between two letters."""
+        if not raw.isalpha():
+            raw = OUTER.sub("", raw)
         if raw.isalpha() and not REPEATED.search(raw):
             return [raw]
-        if len(raw) > LONG:
-            raw = RUN.sub(r"\1\1\1", raw)  # three are still marked as a repetition
-        out = [self.restored(p) for p in JOINT.split(raw) if 1 < len(p) <= LONG and p != raw]
-        if len(raw) <= LONG:
-            return [self.restored(raw), *out]
-        plain = [c.isalpha() for c in raw]
-        words = self.segmented(raw, [None, *[None if a and b else BORDER for a, b in zip(plain, plain[1:], strict=False)]], [0.0] * len(raw))
-        return out + (words if any(plain) else [w for w in words if "=" + w in self.weights])
+        if not raw:
+            return []
+        raw = RUN.sub(r"\1\1\1\1", raw)
+        # Punctuation that looks like no letter parts words at no cost.
+        kind = [0 if c.isalpha() else 1 if c.isdigit() or c in LOOKS else 2 for c in raw]
+        return self.of_lattice(raw, [None, *[0.0 if 2 in (a, b) else BORDER if a or b else None for a, b in zip(kind, kind[1:], strict=False)]], None, all_words)
 
     @staticmethod
     def of_word(word: str) -> tuple[str, ...]:
@@ -296,13 +294,19 @@ class Model:
         """The features of a text that have a weight."""
         low = text.lower()
         out: set[str] = set()
-        known = self.known
+        known, weights = self.known, self.weights
         words = set(low.split())
         words.update(" " + run for run in SPACED.findall(low))
         for w in words:
+            if not w.isalpha() and w[0] != " ":
+                w = w.strip(USUAL)
+                if not w:
+                    continue
+            if w.isalpha() and w[: STEMS[0]] not in self.beginnings and not REPEATED.search(w):
+                continue  # plain letters without a feature
             got = known.get(w)
             if got is None:
-                got = tuple({f: 0 for x in (self.of_run(w[1:]) if w[0] == " " else self.of_token(w)) for f in self.of_word(x) if f in self.weights})
+                got = tuple({f: 0 for x in (self.of_run(w[1:], False) if w[0] == " " else self.of_token(w, False)) for f in self.of_word(x) if f in weights})
                 if len(known) > CACHE:
                     known.clear()
                 known[w] = got
@@ -323,15 +327,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     weight and all scores are equal, near the share of label 1.
     """
     narrow_batches(docs.sparkSession)
-    model = Model(log_model(trigram_counts(docs, text)))
+    model = Model(log_model(gram_counts(docs, text)))
     kinds = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     sample = stored(kinds.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
-    n = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    # At most TRAIN_ROWS pairs of numbers are broadcast. Labels without a document do not count; a document that occurs twice does so twice.
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label"))
+    n = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         model.bias = 4.0 if n.get(1) else -4.0
         return model
-    # At most TRAIN_ROWS pairs of numbers are broadcast.
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: tuple[Counter, Counter] = (Counter(), Counter())
