@@ -371,15 +371,41 @@ def test_substrings_full_text_and_empty(spark, docs):
     assert substring.remove_duplicates(docs.limit(0)).count() == 0
 
 
-def test_fm_index_counts():
+def test_range_minimum():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 16, 17, 300, 2000):
+        v = rng.integers(0, 50, n)
+        r = substring.RangeMinimum(v)
+        lo = rng.integers(0, n, 500)
+        hi = np.minimum(lo + rng.integers(1, n + 1, 500), n)
+        assert r.of(lo, hi).tolist() == [v[a:b].min() for a, b in zip(lo, hi, strict=True)]
+
+
+def test_backward_search_counts():
     rng = np.random.default_rng(0)
     codes = np.append(rng.integers(1, 5, 300), 0)
-    index = substring.FMIndex(codes, 4)
-    places = np.arange(290)
-    lo, hi = index.search(places, 3)
-    for p in places:
-        same = sum(1 for q in range(298) if (codes[q : q + 3] == codes[p : p + 3]).all())
-        assert hi[p] - lo[p] == same
+    index = substring.FMIndex(codes, np.zeros(301, np.int64), 4)
+    for p in range(290):
+        lo, hi = np.zeros(1, np.int64), np.full(1, index.n)
+        for k in (2, 1, 0):
+            lo, hi = index.step(lo, hi, codes[p + k : p + k + 1])
+        assert hi[0] - lo[0] == sum(1 for q in range(298) if (codes[q : q + 3] == codes[p : p + 3]).all())
+
+
+def test_matching_statistics_equal_brute_force():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 4, rng.integers(1, 25)) for _ in range(40)]
+    owner = rng.integers(0, 12, 40)
+    codes = np.concatenate([np.append(t, 0) for t in texts])
+    at = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+    index = substring.FMIndex(codes, np.repeat(owner, [len(t) + 1 for t in texts]), 3)
+    of = np.repeat(np.arange(40), [len(t) for t in texts])
+    end = np.concatenate([a + 1 + np.arange(len(t)) for a, t in zip(at, texts, strict=True)])
+    got = index.matching_statistics(codes, at[of], end, owner[of])
+    held = lambda run, other: any(other[i : i + len(run)] == run for i in range(len(other) - len(run) + 1))
+    for k, e, n in zip(of, end - at[of], got, strict=True):
+        mine, before = texts[k].tolist(), [texts[j].tolist() for j in range(40) if owner[j] < owner[k]]
+        assert n == max([m for m in range(1, e + 1) if any(held(mine[e - m : e], t) for t in before)], default=0)
 
 
 # --- neighbours ---------------------------------------------------------------------------------

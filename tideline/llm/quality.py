@@ -55,10 +55,10 @@ def measure(b: Block) -> dict[str, np.ndarray]:
     b.find_words()
     salt = mix(np.arange(1, b.n + 1, dtype=np.uint64))
     points = (b.data & 0xC0) != 0x80  # the first byte of each code point
-    chars = np.zeros(len(b.data) + 1, np.int64)
+    chars = np.zeros(len(b.data) + 1, np.int32 if len(b.data) < 1 << 31 else np.int64)
     np.cumsum(points & b.inside, out=chars[1:])
     at = b.offsets
-    out = {"n_words": b.n_words, "word_chars": chars[at[1:]] - chars[at[:-1]], "n_symbols": b.sums(SYMBOLS[b.data])}
+    out = {"n_words": b.n_words, "word_chars": (chars[at[1:]] - chars[at[:-1]]).astype(np.int64), "n_symbols": b.sums(SYMBOLS[b.data])}
 
     # Lines: parted by \n and by the texts' ends; those without a word do not count.
     breaks = np.flatnonzero(b.data == 10)

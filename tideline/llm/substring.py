@@ -4,15 +4,20 @@ A word goes if a window of WINDOW words that covers it also starts in a document
 with a smaller id. Every window holds an anchor: the one of its runs of ANCHOR
 words with the smallest hash, so equal windows have equal anchors. Only anchors
 that occur in different texts can hold such a window; the stretches of words
-around them are what the indexes are made of and what is looked up in them.
-
-Stretches go to shards by their anchor. A shard's distinct stretches form a text
-whose suffixes are sorted and whose Burrows-Wheeler transform is kept as a wavelet
-matrix of packed bits; backward search of the WINDOW words at each place gives a
-suffix interval, whose documents say whether an earlier one holds the window (no
-matching statistics are needed). Copies and equal stretches are settled by hash
-classes before. An anchor with very many stretches is
-keyed by whole windows instead: each of those is its own distinct text.
+around them are what the indexes are made of and what is streamed against them.
+
+Stretches go to shards by their anchor. A shard's distinct stretches are indexed:
+their suffixes are sorted, and of these stay the Burrows-Wheeler transform, as a
+wavelet matrix of packed bits, and the smallest documents of ranges of suffixes.
+Each stretch is then streamed against the index: backward search gives for each of
+its places the longest run of words up to there that an earlier document holds (its
+matching statistic), and runs of WINDOW words and more are reported as intervals.
+
+Before anything is shuffled to a shard, equals are made one: texts that are whole
+copies count once, and so do equal stretches, of which the earliest document's is
+the one that is indexed and streamed (in the others every word of it has occurred).
+An anchor with over HOT distinct stretches would outgrow a shard; its stretches are
+parted into their windows, which are made one likewise.
 """
 
 from __future__ import annotations
@@ -51,29 +56,76 @@ def anchors_of(b: Block, window: int, size: int) -> tuple[np.ndarray, np.ndarray
     return inside, best[inside], inside + at[inside]
 
 
+def suffix_order(codes: np.ndarray, alphabet: int) -> np.ndarray:
+    """Places of all suffixes, sorted, by prefix doubling; each 0 is a symbol of its own, so no comparison runs past one."""
+    n, parts = len(codes), codes == 0
+    rank = codes.astype(np.int64) + int(parts.sum())
+    rank[parts] = np.arange(int(parts.sum()))
+    step = 1
+    while True:
+        after = np.full(n, -1, np.int64)
+        after[: n - step] = rank[step:] if step < n else rank[:0]
+        key = rank * (n + alphabet + 2) + after + 1
+        order = np.argsort(key, kind="stable")
+        changed = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        rank = np.empty(n, np.int64)
+        rank[order] = changed
+        if changed[-1] == n - 1 or step >= n:
+            return order
+        step *= 2
+
+
+class RangeMinimum:
+    """The least of any range of an array: minima from and to the borders of blocks, and of runs of whole blocks."""
+
+    BLOCK = 16
+
+    def __init__(self, values: np.ndarray):
+        n, size = len(values), self.BLOCK
+        self.values = values.astype(np.int32)
+        padded = np.full((-(-n // size), size), np.iinfo(np.int32).max, np.int32)
+        padded.ravel()[:n] = self.values
+        self.up_to = np.minimum.accumulate(padded, axis=1).ravel()
+        self.on_from = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.runs = [padded.min(axis=1)]
+        while 2 ** len(self.runs) <= len(padded):
+            half = 2 ** (len(self.runs) - 1)
+            self.runs.append(np.minimum(self.runs[-1][:-half], self.runs[-1][half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of ranges [lo, hi), none of them empty."""
+        first, last = lo // self.BLOCK, (hi - 1) // self.BLOCK
+        out = np.minimum(self.on_from[lo], self.up_to[hi - 1])
+        between = np.flatnonzero(last - first > 1)
+        if len(between):
+            a, b = first[between] + 1, last[between]
+            level = np.frexp(b - a)[1] - 1
+            for k in np.unique(level):
+                at = level == k
+                i = between[at]
+                out[i] = np.minimum(out[i], np.minimum(self.runs[k][a[at]], self.runs[k][b[at] - 2**k]))
+        same = np.flatnonzero(first == last)
+        if len(same):
+            a, b = lo[same], hi[same]
+            least = self.values[a]
+            for k in range(1, int((b - a).max())):
+                least = np.minimum(least, self.values[np.minimum(a + k, b - 1)])
+            out[same] = least
+        return out
+
+
 class FMIndex:
-    """Backward search over word codes 1.. (0 parts the stretches)."""
-
-    def __init__(self, codes: np.ndarray, alphabet: int):
-        self.codes, n = codes, len(codes)
-        parts = codes == 0
-        rank = codes.astype(np.int64) + int(parts.sum())
-        rank[parts] = np.arange(int(parts.sum()))  # each end is a symbol of its own, so no comparison runs past it
-        step = 1
-        while True:  # prefix doubling
-            after = np.full(n, -1, np.int64)
-            after[: n - step] = rank[step:] if step < n else rank[:0]
-            key = rank * (n + alphabet + 2) + after + 1
-            order = np.argsort(key, kind="stable")
-            changed = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = changed
-            if changed[-1] == n - 1 or step >= n:
-                break
-            step *= 2
-        self.suffixes = order
+    """Texts of word codes 1.. as the wavelet matrix of their Burrows-Wheeler transform, and whose each suffix is.
+
+    Neither the texts nor the suffix array stay: a code takes its bits (and half as
+    much for ranks), a suffix the smallest owner of ranges around it.
+    """
+
+    def __init__(self, codes: np.ndarray, owner: np.ndarray, alphabet: int):
+        n, order = len(codes), suffix_order(codes, alphabet)
+        self.n, self.owners = n, RangeMinimum(owner[order])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=alphabet + 1))])
-        # The transform as a wavelet matrix: for each bit of the codes a packed row, and ones up to each word of it.
+        # The transform: for each bit of the codes a packed row, and ones up to each word of it.
         bwt = codes[order - 1]
         self.levels = max(1, int(alphabet).bit_length())
         self.bits, self.ones, self.zeros = [], [], []
@@ -83,36 +135,61 @@ class FMIndex:
             padded[:n] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             self.bits.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))]))
+            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)]).astype(np.int32))
             self.zeros.append(int(n - bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+        # Where each code's places begin on the last level.
+        every = np.arange(alphabet + 1)
+        self.first = self.descend(np.zeros(alphabet + 1, np.int64), every)
 
     def rank_one(self, level: int, at: np.ndarray) -> np.ndarray:
         word, low = at >> 6, (at & 63).astype(np.uint64)
         mask = (np.uint64(1) << low) - np.uint64(1)
         return self.ones[level][word] + np.bitwise_count(self.bits[level][word] & mask)
 
-    def step(self, lo: np.ndarray, hi: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of suffixes that begin with code and go on as those of [lo, hi)."""
-        start = np.zeros_like(lo)
+    def descend(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
             one = (code >> (self.levels - 1 - k)) & 1 == 1
-            lo1, hi1, start1 = (self.rank_one(k, x) for x in (lo, hi, start))
-            lo, hi, start = (np.where(one, self.zeros[k] + r, x - r) for r, x in ((lo1, lo), (hi1, hi), (start1, start)))
-        first = self.before[code]
-        return first + lo - start, first + hi - start
-
-    def search(self, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of codes[place : place + length], all places at once."""
-        lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(self.codes), np.int64)
-        for k in range(length - 1, -1, -1):
-            lo, hi = self.step(lo, hi, self.codes[places + k].astype(np.int64))
-        return lo, hi
-
+            r = self.rank_one(k, at)
+            at = np.where(one, self.zeros[k] + r, at - r)
+        return at
 
-def earlier_windows(doc: np.ndarray, stretches: list[list[bytes]], window: int) -> list[np.ndarray]:
-    """For each stretch (of the document at the same place), which of its windows also occur in one of a smaller document."""
+    def step(self, lo: np.ndarray, hi: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of suffixes that begin with code and go on as those of [lo, hi)."""
+        both = self.descend(np.concatenate([lo, hi]), np.concatenate([code, code]))
+        shift = self.before[code] - self.first[code]
+        return both[: len(lo)] + shift, both[len(lo) :] + shift
+
+    def matching_statistics(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each place of a streamed text, how many words before its end also follow each other in a text of a smaller owner.
+
+        codes: the streamed words; of a place the text begins at begin, the word
+        before end is the last, and own is its owner. Backward search goes on for a
+        place as long as its interval holds a smaller owner; at each step all places
+        left go together.
+        """
+        length = np.zeros(len(end), np.int64)
+        left = np.flatnonzero(end > begin)
+        lo, hi = np.zeros(len(left), np.int64), np.full(len(left), self.n, np.int64)
+        while len(left):
+            lo, hi = self.step(lo, hi, codes[end[left] - 1 - length[left]])
+            found = np.flatnonzero(hi > lo)
+            found = found[self.owners.of(lo[found], hi[found]) < own[left[found]]]
+            left, lo, hi = left[found], lo[found], hi[found]
+            length[left] += 1
+            more = end[left] - length[left] > begin[left]
+            left, lo, hi = left[more], lo[more], hi[more]
+        return length
+
+
+def earlier_intervals(doc: np.ndarray, stretches: list[list[bytes]], window: int) -> list[list[tuple[int, int]]]:
+    """For each stretch (of the document at the same place) its intervals, of window words or more, that one of a smaller document holds.
+
+    All stretches make the index; each is then streamed against it.
+    """
     sizes = np.array([len(s) for s in stretches], np.int64)
+    if not len(sizes):
+        return []
     flat = [w for s in stretches for w in s]
     code_of = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}
     at = np.cumsum(sizes + 1) - sizes - 1
@@ -120,23 +197,22 @@ def earlier_windows(doc: np.ndarray, stretches: list[list[bytes]], window: int)
     words = np.ones(len(codes), bool)
     words[at + sizes] = False
     codes[words] = [code_of[w] for w in flat]
-    index = FMIndex(codes, len(code_of))
     _, dense = np.unique(doc, return_inverse=True)
-    owner = np.repeat(dense, sizes + 1)
+    index = FMIndex(codes, np.repeat(dense, sizes + 1), len(code_of))
+    # Only from the window-th word on can a statistic reach the threshold.
     per = np.maximum(sizes - window + 1, 0)
-    places = np.concatenate([np.arange(a, a + k) for a, k in zip(at, per, strict=True)]) if per.sum() else np.zeros(0, np.int64)
-    lo, hi = index.search(places, window)
-    # Intervals of equal length are equal or apart: the smallest document of each by one reduction.
-    starts, back = np.unique(lo, return_inverse=True)
-    ends = np.zeros(len(starts), np.int64)
-    ends[back] = hi
-    smallest = np.zeros(len(starts), np.int64)
-    if len(starts):
-        cuts = np.column_stack([starts, ends]).ravel()
-        padded = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
-        smallest = np.minimum.reduceat(padded, cuts)[::2]
-    hit = smallest[back] < owner[places]
-    return np.split(hit, np.cumsum(per)[:-1]) if len(per) else []
+    of = np.repeat(np.arange(len(sizes)), per)
+    end = at[of] + window + np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+    length = index.matching_statistics(codes, at[of], end, dense[of])
+    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+    hit = np.flatnonzero(length >= window)
+    for k, e, m in zip(of[hit].tolist(), (end - at[of])[hit].tolist(), length[hit].tolist(), strict=True):
+        mine = out[k]
+        if mine and e - m <= mine[-1][1]:  # one grows out of the one before
+            mine[-1] = (min(mine[-1][0], e - m), e)
+        else:
+            mine.append((e - m, e))
+    return out
 
 
 def covered(starts: list[int], ends: list[int], n: int) -> np.ndarray:
@@ -239,8 +315,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shards = max(1, -(-total // SHARD_WORDS))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = earlier_windows(pdf["id"].to_numpy(), [s.encode("utf-8").split(b" ") for s in pdf["stretch"]], window)
-        out = [(i, int(p) + k, int(p) + k + window) for i, at, hit in zip(pdf["id"], pdf["places"], got, strict=True) for k in np.flatnonzero(hit).tolist() for p in at]
+        got = earlier_intervals(pdf["id"].to_numpy(), [s.encode("utf-8").split(b" ") for s in pdf["stretch"]], window)
+        out = [(i, int(p) + a, int(p) + b) for i, at, found in zip(pdf["id"], pdf["places"], got, strict=True) for a, b in found for p in at]
         return pd.DataFrame(out, columns=["id", "start", "end"]).astype("int64")
 
     found = asked.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(2)), F.lit(shards))).groupBy("shard").applyInPandas(search, "id long, start long, end long")

@@ -3,7 +3,8 @@
 A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r, which on
 UTF-8 is the pattern ``[^\\x20\\x09-\\x0D]+``. Texts are handled in blocks of about
 a megabyte so that a task's memory does not depend on the size of its batches;
-one longer text makes a block of its own.
+one longer text makes a block of its own, whose marks take a few bytes for each of
+its own and whose words some tens each.
 """
 
 from __future__ import annotations
@@ -85,12 +86,29 @@ class Block:
         self.doc = np.repeat(np.arange(self.n), self.n_words)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges: equal bytes, equal hashes, anywhere in the corpus."""
+        """64-bit hashes of byte ranges, given in order: equal bytes, equal hashes, anywhere in the corpus.
+
+        A long text is gone through in slices of ranges, so that the eight-byte sums
+        are of a slice at a time.
+        """
         if not len(self.data):
             return np.zeros(len(start), np.uint64)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[getattr(self, "text", self.data)] * powers(_BASE, len(self.data))[: len(self.data)], out=total[1:])
-        h = (total[end] - total[start]) * powers(_BASE_INVERSE, len(self.data))[start]
+        text = getattr(self, "text", self.data)
+        if len(text) <= 2 * BLOCK_BYTES:
+            return self._hashed(text, start, end)
+        out, at = np.zeros(len(start), np.uint64), 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(start, start[at] + BLOCK_BYTES)))
+            low, high = int(start[at]), int(end[at:to].max())
+            out[at:to] = self._hashed(text[low:high], start[at:to] - low, end[at:to] - low)
+            at = to
+        return out
+
+    @staticmethod
+    def _hashed(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum(_BYTE[text] * powers(_BASE, len(text))[: len(text)], out=total[1:])
+        h = (total[end] - total[start]) * powers(_BASE_INVERSE, len(text))[start]
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def word_hashes(self) -> np.ndarray:
