@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.stats import auc
+from tideline.sources.shared import stored
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -43,9 +44,10 @@ def predict(models: list[Model], df: DataFrame, features: list[str], out: str =
     return data.withColumn(out, mean).drop("features", "rawPrediction", "prediction", "probability", *[f"_p{i}" for i in range(len(models))])
 
 
-def out_of_fold(df: DataFrame, folds: DataFrame, features: list[str], label: str, seeds: list[int], **settings) -> DataFrame:
-    """Predictions of each fold's test rows by models of its train rows. folds: (fold, role) per row of df joined on pos."""
-    rows = df.join(folds, "pos").where(F.col(label).isNotNull())
+def out_of_fold(df: DataFrame, folds: DataFrame, features: list[str], label: str, seeds: list[int], on: tuple[str, ...] = ("pos",), **settings) -> DataFrame:
+    """Predictions of each fold's test rows by models of its train rows. folds: (fold, role) per row of df."""
+    folds = stored(folds)
+    rows = stored(df.join(folds, list(on)).where(F.col(label).isNotNull()))
     out = None
     for (fold,) in sorted(folds.select("fold").distinct().collect()):  # a handful of folds, each a training job
         part = rows.where(F.col("fold") == fold)

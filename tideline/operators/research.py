@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +23,37 @@ def paths_by_confidence(events: DataFrame, bars: DataFrame, n: int = 20, score:
     return path.groupBy("bucket", "bar_no").agg(F.avg(F.col("bar.close") / F.col("entry_price") - 1).alias("mean_return"), F.count("*").alias("n"))
 
 
+#: P(X <= 0), P(X <= 1), ... of a Poisson variable of mean 1: fixed values.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+def uniform(rows: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each row key and draw, the same wherever the row is."""
+    x = rows[:, None].astype(np.uint64) + np.arange(1, draws + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
 def bootstrap_gap(values: DataFrame, value: str, group: str, a: str, b: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Mean difference of two groups with a 95 % interval: each row counts a Poisson(1) number of times in each draw, which is a distributed bootstrap."""
-    u = F.pmod(F.xxhash64("_row", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    rows = values.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("_row", F.xxhash64(*values.columns))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_t", times)
-    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col(value) * F.col("_t"))) / F.sum(F.when(F.col(group) == g, F.col("_t")))
-    gaps = drawn.groupBy("draw").agg((mean(a) - mean(b)).alias("gap"))
+    """Mean difference of two groups with a 95 % interval: each row counts a Poisson(1) number of times in each draw, which is a distributed bootstrap.
+
+    Rows that are equal in all columns are drawn apart. A batch of rows adds a
+    number of values and a sum for each draw and group; no row is copied.
+    """
+    copies = Window.partitionBy(*values.columns).orderBy(F.lit(0))
+    rows = values.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("_copy", F.row_number().over(copies))
+    rows = rows.select(F.xxhash64(*values.columns, "_copy").alias("row"), (F.col(group) == a).alias("first"), F.col(value).cast("double").alias("v"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            times = np.searchsorted(np.array(POISSON), uniform(batch["row"].to_numpy().view(np.uint64), draws, seed), side="right")
+            for first in (True, False):
+                at = (batch["first"] == first).to_numpy()
+                yield pd.DataFrame({"draw": range(draws), "first": first, "n": times[at].sum(axis=0), "s": batch["v"].to_numpy()[at] @ times[at]})
+
+    sums = rows.mapInPandas(part, "draw int, first boolean, n long, s double").groupBy("draw", "first").agg((F.sum("s") / F.sum("n")).alias("m"))
+    gaps = sums.groupBy("draw").agg((F.max(F.when(F.col("first"), F.col("m"))) - F.max(F.when(~F.col("first"), F.col("m")))).alias("gap"))
     return gaps.agg(F.avg("gap").alias("gap"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
 
 
@@ -49,11 +75,11 @@ def generalization(search: DataFrame, check: DataFrame, by: str = "win_rate") ->
     return search.sparkSession.createDataFrame(rows, "top int, found double, held double, both_profitable double, by_chance double, p_value double")
 
 
-def effective_size(spans: DataFrame, bars: DataFrame) -> DataFrame:
-    """(n, effective_n, mean_concurrency): labels, the sum of their uniqueness, and how many cover a bar that any covers."""
-    u = splits.average_uniqueness(spans, bars).agg(F.count("*").alias("n"), F.sum("uniqueness").alias("effective_n"))
-    c = splits.concurrency(spans, bars).where("n_concurrent > 0").agg(F.avg("n_concurrent").alias("mean_concurrency"))
-    return u.crossJoin(c)
+def effective_size(spans: DataFrame, bars: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, n, effective_n, mean_concurrency) of each series: labels, the sum of their uniqueness, and how many cover a bar that any covers."""
+    profile = splits.bar_profile(spans, bars, key=key)
+    u = splits.uniqueness_of(spans, profile, key).groupBy(key).agg(F.count("*").alias("n"), F.sum("uniqueness").alias("effective_n"))
+    return u.join(profile.where("n_concurrent > 0").groupBy(key).agg(F.avg("n_concurrent").alias("mean_concurrency")), key)
 
 
 def purge_by_exit(train: DataFrame, first_test_pos: int) -> DataFrame:
@@ -61,35 +87,45 @@ def purge_by_exit(train: DataFrame, first_test_pos: int) -> DataFrame:
     return train.where(F.col("pos") + F.col("bars_to_exit") < first_test_pos)
 
 
-def inner_split(rows: DataFrame, share: float = 0.85) -> DataFrame:
-    """inner: the first share of positions trains, the rest stops early."""
-    cut = rows.agg((F.min("pos") + (F.max("pos") - F.min("pos")) * share).alias("_c"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("inner", F.when(F.col("pos") < F.col("_c"), "fit").otherwise("stop")).drop("_c")
-
-
-def weight_schemes(spans: DataFrame, bars: DataFrame) -> DataFrame:
-    """Weights A to E of spans: none, uniqueness, returns, uniqueness with decay, uniqueness with recency."""
-    u = splits.average_uniqueness(spans, bars)
-    d = splits.time_decay(u, 0.5).select("start", "end", "uniqueness", "decay")
-    r = splits.return_weights(spans, bars).select("start", "end", F.col("weight").alias("C"))
-    age = splits.recency_by_bars(spans.withColumn("pos", F.col("start"))).select("start", "end", F.col("weight").alias("recency"))
-    all_ = d.join(r, ["start", "end"]).join(age, ["start", "end"])
-    return all_.select("start", "end", F.lit(1.0).alias("A"), F.col("uniqueness").alias("B"), "C", (F.col("uniqueness") * F.col("decay")).alias("D"), (F.col("uniqueness") * F.col("recency")).alias("E"))
-
-
-def leakage_comparison(df: DataFrame, features: list[str], label: str, horizon: int, k: int = 3, **settings) -> DataFrame:
-    """AUC under shuffled and under purged folds: what the first shows above the second is leakage. df: pos, features, label."""
-    n = df.count()
-    spans = df.select("pos", F.least(F.col("pos") + horizon, F.lit(n - 1)).alias("end"))
-    purged = splits.purged_kfold(spans, n, k, 0.01).select(F.col("split_id").alias("fold"), "pos", "role")
-    mixed = splits.shuffled_kfold(df.select("pos"), k, 0)
-    fold = df.sparkSession.createDataFrame([(i,) for i in range(k)], "f int")
-    shuffled = mixed.crossJoin(F.broadcast(fold)).select(F.col("f").alias("fold"), "pos", F.when(F.col("fold") == F.col("f"), "test").otherwise("train").alias("role"))
+def inner_split(rows: DataFrame, share: float = 0.85, key: str = "symbol") -> DataFrame:
+    """inner: the first share of each series' positions trains, the rest stops early."""
+    over = Window.partitionBy(key)
+    first, last = F.min("pos").over(over), F.max("pos").over(over)
+    return rows.withColumn("inner", F.when(F.col("pos") < first + (last - first) * share, "fit").otherwise("stop"))
+
+
+def weight_schemes(spans: DataFrame, bars: DataFrame, key: str = "symbol") -> DataFrame:
+    """Weights A to E of spans: none, uniqueness, returns, uniqueness with decay, uniqueness with recency; all from one profile of the bars."""
+    profile = splits.bar_profile(spans, bars, "logret", key)
+    both = splits.span_sums(spans, profile, {"_u": "unique_to", "_r": "return_to"}, key).withColumn("uniqueness", F.col("_u") / (F.col("end") - F.col("start") + 1))
+    weighed = splits.time_decay(splits.of_mean_one(both, F.abs("_r"), "C", key, F.lit(1.0)), 0.5, key=key)
+    aged = splits.recency_by_bars(weighed, pos="start", key=key)
+    return aged.select(key, "start", "end", F.lit(1.0).alias("A"), F.col("uniqueness").alias("B"), "C", (F.col("uniqueness") * F.col("decay")).alias("D"), (F.col("uniqueness") * F.col("weight")).alias("E"))
+
+
+def schemes_of_folds(df: DataFrame, label: str, horizon: int, k: int, key: str = "symbol") -> dict[str, DataFrame]:
+    """Four ways to part the rows of each series (key, pos): shuffled, in blocks, purged, and purged with an embargo; each (key, pos, fold, role)."""
+    last = F.max("pos").over(Window.partitionBy(key))
+    spans = df.select(key, "pos", F.least(F.col("pos") + horizon, last).alias("end"))
+    fold = df.sparkSession.range(k).select(F.col("id").cast("int").alias("_f"))  # k rows
+    every = lambda folds: folds.crossJoin(F.broadcast(fold)).select(key, "pos", F.col("_f").alias("fold"), F.when(F.col("fold") == F.col("_f"), "test").otherwise("train").alias("role"))
+    blocks = splits.purged_kfold(spans.withColumn("end", F.col("pos")), None, k, 0.0, key)
+    named = lambda folds: folds.withColumnRenamed("split_id", "fold")
+    return {
+        "shuffled": every(splits.shuffled_kfold(df.select(key, "pos", label), k, 0, label, key).select(key, "pos", "fold")),
+        "blocks": named(blocks),
+        "purged": named(splits.purged_kfold(spans, None, k, 0.0, key)),
+        "purged_embargo": named(splits.purged_kfold(spans, None, k, 0.01, key)),
+    }
+
+
+def leakage_comparison(df: DataFrame, features: list[str], label: str, horizon: int, k: int = 3, key: str = "symbol", **settings) -> DataFrame:
+    """Mean and spread of fold AUCs under four schemes: what shuffled folds show above purged ones is leakage. df: key, pos, features, label."""
     out = None
-    for name, folds in (("shuffled", shuffled), ("purged", purged)):
-        got = models.fold_aucs(models.out_of_fold(df, folds, features, label, [0], **settings), label).withColumn("scheme", F.lit(name))
+    for name, folds in schemes_of_folds(df, label, horizon, k, key).items():
+        got = models.fold_aucs(models.out_of_fold(df, folds, features, label, [0], on=(key, "pos"), **settings), label).withColumn("scheme", F.lit(name))
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("scheme").agg(F.avg("auc").alias("auc"))
+    return out.groupBy("scheme").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.count("*").alias("folds"))
 
 
 def ablation(df: DataFrame, folds: DataFrame, sets: dict[str, list[str]], label: str, **settings) -> DataFrame:
@@ -103,7 +139,7 @@ def ablation(df: DataFrame, folds: DataFrame, sets: dict[str, list[str]], label:
 
 def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows by hash: the same on every run, whatever the partitioning. The limit is the feature."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def assert_aligned(a: DataFrame, b: DataFrame, on: list[str]) -> None:

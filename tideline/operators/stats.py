@@ -133,7 +133,7 @@ def overfitting(returns: DataFrame, chunks: int = 12) -> DataFrame:
     wide = sharpe.groupBy("split", "strategy_id").agg(F.max(F.when(F.col("inside"), F.col("v"))).alias("is_v"), F.max(F.when(~F.col("inside"), F.col("v"))).alias("oos_v"))
     known = wide.where("is_v is not null and oos_v is not null")
     ranked = known.withColumns({"rk": F.rank().over(Window.partitionBy("split").orderBy("oos_v")), "total": F.count("*").over(Window.partitionBy("split"))})
-    best = ranked.groupBy("split").agg(F.max_by(F.struct("rk", "total"), F.struct("is_v", -F.col("strategy_id"))).alias("b"))
+    best = ranked.groupBy("split").agg(F.min_by(F.struct("rk", "total"), F.struct(-F.col("is_v"), F.col("strategy_id"))).alias("b"))
     w = F.col("b.rk") / (F.col("b.total") + 1)
     return best.withColumn("logit", F.log(w / (1 - w))).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"), F.avg("logit").alias("mean_logit"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tideline.functions import numeric as N
 from tideline.operators import align, bars, events, flow, indicators, labels, models, regime, research, sim, splits, stats
 from tideline.operators import recursions as R
-from tideline.plans.inputs import DAILY, HOURLY, TAPE, daily, ewm_sql, funding, hourly, one_series, positioned, rolling_sql, rounded, sql, tape
+from tideline.plans.inputs import DAILY, HOURLY, TAPE, daily, ewm_sql, funding, hourly, positioned, rolling_sql, rounded, series, spans_to, sql, tape
 from tideline.sources import readers
+from tideline.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +34,8 @@ def r6(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0 AS {n.split('.')[-1]}" for n in names)
 
 
+#: The types of events, which stand for symbols.
+SYMBOLS = ("click", "error", "purchase", "signup", "view")
 ret = "CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END"
 RETURNS = HOURLY + f", rets AS (SELECT *, {ret} AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
 RANKED = "rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0"
@@ -385,9 +388,9 @@ def quartile_buckets(spark, d):
     return models.quartiles(df, "r", F.col("pos") < 400).select("symbol", "pos", F.col("r_quarter").cast("long").alias("quarter"))
 
 
-@query("top_and_pivot", sql(HOURLY, "SELECT hour(ts)::BIGINT AS hour, " + ", ".join(f"coalesce(count(*) FILTER (symbol = '{s}'), 0)::BIGINT AS {s}" for s in ("click", "view")) + " FROM hourly GROUP BY 1"))
+@query("top_and_pivot", sql(HOURLY, "SELECT hour(ts)::BIGINT AS hour, " + ", ".join(f"coalesce(count(*) FILTER (symbol = '{s}'), 0)::BIGINT AS {s}" for s in SYMBOLS) + " FROM hourly GROUP BY 1"))
 def top_and_pivot(spark, d):
-    return hourly(spark, d).groupBy(F.hour("ts").cast("long").alias("hour")).pivot("symbol", ["click", "view"]).agg(F.count(F.lit(1))).fillna(0)
+    return hourly(spark, d).groupBy(F.hour("ts").cast("long").alias("hour")).pivot("symbol", list(SYMBOLS)).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("top_k", sql(HOURLY, "SELECT symbol, ts, round(volume, 6) AS volume FROM hourly ORDER BY volume DESC, symbol, ts LIMIT 25"))
@@ -416,12 +419,12 @@ def label_ends(spark, d):
 
 
 def signal_events(spark, d):
-    """Every seventh bar as a signal, buys and sells in turn."""
-    return positioned(spark, d).where("pos % 7 = 3").select("symbol", "pos", F.col("close").alias("entry_price"), F.when(F.col("pos") % 2 == 0, "Buy ").otherwise("sell").alias("signal"), ((F.col("high") - F.col("low")) / F.col("close") * 100).alias("atr_pct"))
+    """Every bar as a signal, buys and sells in turn."""
+    return positioned(spark, d).select("symbol", "pos", F.col("close").alias("entry_price"), F.when(F.col("pos") % 2 == 0, "Buy ").otherwise("sell").alias("signal"), ((F.col("high") - F.col("low")) / F.col("close") * 100).alias("atr_pct"))
 
 
 @query("triple_barrier", sql(HOURLY + """,
- ev AS (SELECT symbol, pos, close AS entry, pos % 2 = 0 AS long, greatest(2 * (high - low) / close * 100, 1.0) / 100 AS w FROM bars WHERE pos % 7 = 3),
+ ev AS (SELECT symbol, pos, close AS entry, pos % 2 = 0 AS long, greatest(2 * (high - low) / close * 100, 1.0) / 100 AS w FROM bars),
  path AS (SELECT e.*, b.pos - e.pos AS k, CASE WHEN long THEN b.high >= entry * (1 + w) ELSE b.low <= entry * (1 - w) END AS won, CASE WHEN long THEN b.low <= entry * (1 - w) ELSE b.high >= entry * (1 + w) END AS lost, CASE WHEN long THEN b.close / entry - 1 ELSE 1 - b.close / entry END AS ret FROM ev e JOIN bars b ON b.symbol = e.symbol AND b.pos BETWEEN e.pos + 1 AND e.pos + 10),
  got AS (SELECT symbol, pos, min(k) FILTER (won OR lost) AS hit, count(*) AS seen, max(ret) FILTER (k = 10) AS last_ret FROM path GROUP BY ALL),
  j AS (SELECT ev.symbol, ev.pos, ev.w, hit, seen, last_ret, p.won, p.lost FROM ev LEFT JOIN got USING (symbol, pos) LEFT JOIN path p ON p.symbol = ev.symbol AND p.pos = ev.pos AND p.k = got.hit),
@@ -433,77 +436,72 @@ def triple_barrier(spark, d):
     return got.select("symbol", "pos", "outcome", "ret", F.col("label").cast("long"), F.col("bars_to_exit").cast("long"))
 
 
-_ONE = RETURNS + ", one AS (SELECT pos, ts, r AS logret FROM rets WHERE symbol = 'click'), n AS (SELECT count(*) AS n FROM one)"
+_ONE = RETURNS + ", one AS (SELECT symbol, pos, ts, r AS logret FROM rets), n AS (SELECT symbol, count(*) AS n FROM one GROUP BY symbol)"
+_SPANS = _ONE + ", spans AS (SELECT symbol, pos AS s, least(pos + 5, n - 1) AS e FROM one JOIN n USING (symbol)), conc AS (SELECT o.symbol, o.pos, any_value(o.logret) AS logret, count(s.s)::BIGINT AS n_concurrent FROM one o LEFT JOIN spans s ON o.symbol = s.symbol AND o.pos BETWEEN s.s AND s.e GROUP BY o.symbol, o.pos), u AS (SELECT s.symbol, s.s AS start, s.e AS end_, avg(1.0 / c.n_concurrent) AS u, abs(sum(coalesce(c.logret, 0) / c.n_concurrent)) AS w FROM spans s JOIN conc c ON c.symbol = s.symbol AND c.pos BETWEEN s.s AND s.e GROUP BY ALL), x AS (SELECT *, sum(u) OVER (PARTITION BY symbol ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS x, sum(u) OVER (PARTITION BY symbol) AS t FROM u)"
 
 
-def spans_of(spark, d):
-    df = one_series(spark, d)
-    n = df.agg(F.max("pos").alias("last"))
-    return df.crossJoin(F.broadcast(n)).where("pos % 3 = 0").select(F.col("pos").alias("start"), F.least(F.col("pos") + 5, F.col("last")).alias("end"))
-
-
-_SPANS = _ONE + ", spans AS (SELECT pos AS s, least(pos + 5, n - 1) AS e FROM one, n WHERE pos % 3 = 0), conc AS (SELECT o.pos, o.logret, count(s.s)::BIGINT AS n_concurrent FROM one o LEFT JOIN spans s ON o.pos BETWEEN s.s AND s.e GROUP BY o.pos, o.logret)"
-
-
-@query("concurrency", sql(_SPANS, "SELECT pos, n_concurrent FROM conc"))
+@query("concurrency", sql(_SPANS, "SELECT symbol, pos, n_concurrent FROM conc"))
 def concurrency(spark, d):
-    return splits.concurrency(spans_of(spark, d), one_series(spark, d)).select("pos", "n_concurrent")
+    b = series(spark, d)
+    return splits.concurrency(spans_to(b, 5), b, "symbol").select("symbol", "pos", "n_concurrent")
 
 
-@query("uniqueness_decay", sql(_SPANS + ", u AS (SELECT s.s AS start, s.e AS end_, avg(1.0 / c.n_concurrent) AS u FROM spans s JOIN conc c ON c.pos BETWEEN s.s AND s.e GROUP BY ALL), x AS (SELECT *, sum(u) OVER (ORDER BY start, end_ ROWS UNBOUNDED PRECEDING) AS x, sum(u) OVER () AS t FROM u)", "SELECT start, end_ AS \"end\", round(u, 6) AS uniqueness, round(greatest(1 - (1 - 0.5) / t * (t - x), 0), 6) AS decay FROM x"))
+@query("uniqueness_decay", sql(_SPANS, "SELECT symbol, start, end_ AS \"end\", round(u, 6) AS uniqueness, round(greatest(1 - (1 - 0.5) / t * (t - x), 0), 6) AS decay FROM x"))
 def uniqueness_decay(spark, d):
-    u = splits.average_uniqueness(spans_of(spark, d), one_series(spark, d))
-    return splits.time_decay(u, 0.5).select("start", "end", "uniqueness", "decay")
+    b = series(spark, d)
+    return splits.time_decay(splits.average_uniqueness(spans_to(b, 5), b, "symbol"), 0.5, key="symbol").select("symbol", "start", "end", "uniqueness", "decay")
 
 
-@query("return_weights", sql(_SPANS + ", w AS (SELECT s.s AS start, abs(sum(coalesce(c.logret, 0) / c.n_concurrent)) AS w FROM spans s JOIN conc c ON c.pos BETWEEN s.s AND s.e GROUP BY s.s, s.e)", "SELECT start, round(w / avg(w) OVER (), 6) AS weight FROM w"))
+@query("return_weights", sql(_SPANS, "SELECT symbol, start, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS weight FROM u"))
 def return_weights(spark, d):
-    return splits.return_weights(spans_of(spark, d), one_series(spark, d)).select("start", "weight")
+    b = series(spark, d)
+    return splits.return_weights(spans_to(b, 5), b, key="symbol").select("symbol", "start", "weight")
 
 
-@query("recency_weights", sql(_ONE + ", a AS (SELECT pos, exp(-ln(2) * floor(epoch(max(ts) OVER () - ts) / 86400) / 180) AS w, pow(0.5, (max(pos) OVER () - pos) / 4320.0) AS by_bars FROM one)", "SELECT pos, round(w / avg(w) OVER (), 6) AS by_days, round(by_bars, 6) AS by_bars FROM a"))
+@query("recency_weights", sql(_ONE + ", a AS (SELECT symbol, pos, exp(-ln(2) * floor(epoch(max(ts) OVER v - ts) / 86400) / 180) AS w, pow(0.5, (max(pos) OVER v - pos) / 4320.0) AS by_bars FROM one WINDOW v AS (PARTITION BY symbol))", "SELECT symbol, pos, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS by_days, round(by_bars, 6) AS by_bars FROM a"))
 def recency_weights(spark, d):
-    df = splits.recency_by_days(one_series(spark, d).select("pos", "ts")).withColumnRenamed("weight", "by_days")
-    return splits.recency_by_bars(df).select("pos", "by_days", F.col("weight").alias("by_bars"))
+    df = splits.recency_by_days(positioned(spark, d).select("symbol", "pos", "ts"), key="symbol").withColumnRenamed("weight", "by_days")
+    return splits.recency_by_bars(df, key="symbol").select("symbol", "pos", "by_days", F.col("weight").alias("by_bars"))
 
 
 def ends_of(spark, d):
-    df = one_series(spark, d).select("pos")
-    return df.crossJoin(F.broadcast(df.agg(F.max("pos").alias("last")))).select("pos", F.least(F.col("pos") + 10, F.col("last")).alias("end"))
+    return spans_to(series(spark, d), 10, "pos")
 
 
-_ENDS = _ONE + """, e AS (SELECT pos, least(pos + 10, n - 1) AS t1, n FROM one, n),
- f AS (SELECT k, k * (n // 5) + least(k, n % 5) AS a, (k + 1) * (n // 5) + least(k + 1, n % 5) AS b, n FROM n, (SELECT unnest(range(5)) AS k)),
- l AS (SELECT f.*, max(t1) AS te FROM f JOIN e ON pos >= a AND pos < b GROUP BY ALL)"""
+_ENDS = _ONE + """, e AS (SELECT symbol, pos, least(pos + 10, n - 1) AS t1 FROM one JOIN n USING (symbol)),
+ f AS (SELECT symbol, k, k * (n // 5) + least(k, n % 5) AS a, (k + 1) * (n // 5) + least(k + 1, n % 5) AS b, n FROM n, (SELECT unnest(range(5)) AS k)),
+ l AS (SELECT f.*, max(t1) AS te FROM f JOIN e ON e.symbol = f.symbol AND pos >= a AND pos < b GROUP BY ALL)"""
 
 
-@query("purged_kfold", sql(_ENDS, "SELECT k::BIGINT AS split_id, pos, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM e, l WHERE (pos >= a AND pos < b) OR (pos < a AND t1 < a) OR (pos >= b AND pos >= te + 1 + (l.n * 0.01)::DOUBLE // 1)").replace("(l.n * 0.01)::DOUBLE // 1", "floor(l.n * 0.01)"))
+@query("purged_kfold", sql(_ENDS, "SELECT e.symbol, k::BIGINT AS split_id, pos, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM e JOIN l ON l.symbol = e.symbol WHERE (pos >= a AND pos < b) OR (pos < a AND t1 < a) OR (pos >= b AND pos >= te + 1 + floor(l.n * 0.01))"))
 def purged_kfold(spark, d):
-    e = ends_of(spark, d)
-    return splits.purged_kfold(e, e.count(), 5, 0.01).withColumn("split_id", F.col("split_id").cast("long"))
+    return splits.purged_kfold(ends_of(spark, d), None, 5, 0.01, "symbol").withColumn("split_id", F.col("split_id").cast("long"))
 
 
-@query("cpcv_splits", sql(_ENDS + ", c AS (SELECT x.k AS k1, y.k AS k2, row_number() OVER (ORDER BY x.k, y.k) - 1 AS s FROM l x JOIN l y ON x.k < y.k), m AS (SELECT s, k1 AS k FROM c UNION ALL SELECT s, k2 FROM c), g AS (SELECT s, pos, bool_or(pos >= a AND pos < b) AS test, bool_or((pos <= te AND t1 >= a) OR (pos > te AND pos <= te + floor(l.n * 0.01))) AS near FROM e, m JOIN l USING (k) GROUP BY s, pos)", "SELECT s::BIGINT AS split_id, pos, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM g WHERE test OR NOT near"))
+@query("cpcv_splits", sql(_ENDS + ", c AS (SELECT x.k AS k1, y.k AS k2, row_number() OVER (ORDER BY x.k, y.k) - 1 AS s FROM range(5) x(k) JOIN range(5) y(k) ON x.k < y.k), m AS (SELECT s, k1 AS k FROM c UNION ALL SELECT s, k2 FROM c), g AS (SELECT e.symbol, s, pos, bool_or(pos >= a AND pos < b) AS test, bool_or((pos <= te AND t1 >= a) OR (pos > te AND pos <= te + floor(l.n * 0.01))) AS near FROM e JOIN l ON l.symbol = e.symbol JOIN m USING (k) GROUP BY e.symbol, s, pos)", "SELECT symbol, s::BIGINT AS split_id, pos, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM g WHERE test OR NOT near"))
 def cpcv_splits(spark, d):
-    e = ends_of(spark, d)
-    return splits.cpcv(e, e.count(), 5, 2, 0.01).withColumn("split_id", F.col("split_id").cast("long"))
+    return splits.cpcv(ends_of(spark, d), None, 5, 2, 0.01, "symbol").withColumn("split_id", F.col("split_id").cast("long"))
 
 
-@query("embargo_times", sql(_ONE, "SELECT ts, coalesce(lead(ts, (SELECT floor(n * 0.05)::INT FROM n)) OVER (ORDER BY ts), max(ts) OVER ()) AS until FROM one").replace("lead(ts, (SELECT floor(n * 0.05)::INT FROM n)) OVER (ORDER BY ts)", "(SELECT o2.ts FROM one o2, n WHERE o2.pos = one.pos + floor(n * 0.05))"))
+@query("embargo_times", sql(_ONE, "SELECT o.symbol, o.ts, coalesce(o2.ts, m.last) AS until FROM one o JOIN n USING (symbol) JOIN (SELECT symbol, max(ts) AS last FROM one GROUP BY symbol) m USING (symbol) LEFT JOIN one o2 ON o2.symbol = o.symbol AND o2.pos = o.pos + floor(n * 0.05)"))
 def embargo_times(spark, d):
-    return splits.embargo_times(one_series(spark, d).select("pos", "ts"), 0.05).select("ts", "until")
+    return splits.embargo_times(positioned(spark, d).select("symbol", "pos", "ts"), 0.05, "symbol").select("symbol", "ts", "until")
 
 
-@query("walk_forward_roles", sql(_ONE + ", f AS (SELECT k, floor(n * 0.4)::BIGINT + k * ((n - floor(n * 0.4)::BIGINT) // 5) AS a, CASE WHEN k = 4 THEN n ELSE floor(n * 0.4)::BIGINT + (k + 1) * ((n - floor(n * 0.4)::BIGINT) // 5) END AS b FROM n, (SELECT unnest(range(5)) AS k))", "SELECT k::BIGINT AS fold, pos, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM one, f WHERE (pos >= a AND pos < b) OR pos < a - 20"))
+@query("walk_forward_roles", sql(_ONE + ", f AS (SELECT symbol, k, floor(n * 0.4)::BIGINT + k * ((n - floor(n * 0.4)::BIGINT) // 5) AS a, CASE WHEN k = 4 THEN n ELSE floor(n * 0.4)::BIGINT + (k + 1) * ((n - floor(n * 0.4)::BIGINT) // 5) END AS b FROM n, (SELECT unnest(range(5)) AS k))", "SELECT o.symbol, k::BIGINT AS fold, pos, CASE WHEN pos >= a AND pos < b THEN 'test' ELSE 'train' END AS role FROM one o JOIN f ON f.symbol = o.symbol WHERE (pos >= a AND pos < b) OR pos < a - 20"))
 def walk_forward_roles(spark, d):
-    df = one_series(spark, d).select("pos")
-    return splits.walk_forward(df, splits.growing_folds(df.count()), 10).withColumn("fold", F.col("fold").cast("long"))
+    df = series(spark, d).select("symbol", "pos")
+    return splits.walk_forward(df, splits.growing_folds_of(df, "symbol"), 10, "symbol").select("symbol", F.col("fold").cast("long"), "pos", "role")
+
+
+@query("expanding_folds", sql(_ONE + ", f AS (SELECT symbol, k::BIGINT AS fold, (n * (0.5 + k * ((0.9 - 0.5) / 5)::DOUBLE))::DOUBLE AS a, (n * (0.5 + (k + 1) * ((0.9 - 0.5) / 5)::DOUBLE))::DOUBLE AS b FROM n, (SELECT unnest(range(5)) AS k))", "SELECT symbol, fold, floor(a)::BIGINT AS a, floor(b)::BIGINT AS b FROM f WHERE floor(a) >= 100 AND floor(b) - floor(a) >= 10"))
+def expanding_folds(spark, d):
+    return splits.expanding_folds_of(positioned(spark, d), "symbol", least_train=100, least_test=10).withColumn("fold", F.col("fold").cast("long"))
 
 
 @query("sequential_bootstrap")
 def sequential_bootstrap(spark, d):
-    df = one_series(spark, d)
-    return splits.bootstrap_replicates(spans_of(spark, d), df.count(), 50, [0, 1, 2])
+    return splits.bootstrap_replicates(spans_to(series(spark, d), 5), 50, [0, 1, 2])
 
 
 # --- simulation, search, models -----------------------------------------------------------------
@@ -540,8 +538,8 @@ def search_decay(spark, d):
 
 def returns_by_symbol_hour(spark, d):
     df = hourly(spark, d).withColumn("r", N.Rolling().log_return(F.col("close"), 1)).where("r is not null")
-    sid = F.pmod(F.xxhash64("symbol"), F.lit(1000)) * 10
-    return df.withColumn("obs_no", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).select((sid + F.length("symbol")).alias("strategy_id"), F.col("obs_no").cast("long"), F.col("r").alias("ret"))
+    numbered = df.withColumn("obs_no", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return numbered.select(F.col("symbol").alias("strategy_id"), F.col("obs_no").cast("long"), F.col("r").alias("ret"))
 
 
 @query("backtest_overfitting")
@@ -575,16 +573,15 @@ def regime_decode(spark, d):
 @query("model_walk_forward")
 def model_walk_forward(spark, d):
     f = ["logret_1", "logret_5", "vol_10", "bb_pos", "hl_range_pct"]
-    df = labels.direction(indicators.window_features(positioned(spark, d)), (1,)).where("symbol = 'click'").select("pos", "label_dir_1", *f)
-    df = splits.recency_by_bars(df)
-    n = df.count()
-    folds = splits.walk_forward(df.select("pos"), splits.growing_folds(n, 2), 1)
-    return models.fold_aucs(models.out_of_fold(df, folds, f, "label_dir_1", [0, 1], iterations=3, depth=3), "label_dir_1")
+    df = labels.direction(indicators.window_features(positioned(spark, d)), (1,)).where("label_dir_1 is not null").select("symbol", "pos", "label_dir_1", *f)
+    df = stored(splits.recency_by_bars(df, key="symbol"))
+    folds = splits.walk_forward(df.select("symbol", "pos"), splits.growing_folds_of(df, "symbol", 3), 1, "symbol")
+    return models.fold_aucs(models.out_of_fold(df, folds, f, "label_dir_1", [0, 1], on=("symbol", "pos"), iterations=5, depth=4), "label_dir_1")
 
 
-@query("sequence_windows")
+@query("sequence_windows", sql(HOURLY, "SELECT symbol, ts, 20::BIGINT AS n, round(lag(close, 19) OVER w, 6) AS first_close, round(close, 6) AS last_close FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY pos >= 19"))
 def sequence_windows(spark, d):
-    return models.windows(hourly(spark, d), 20).select("symbol", "ts", F.size("x").alias("n"), F.col("x")[0]["close"].alias("first_close"), F.col("x")[19]["close"].alias("last_close"))
+    return models.windows(hourly(spark, d), 20).select("symbol", "ts", F.size("x").cast("long").alias("n"), F.col("x")[0]["close"].alias("first_close"), F.col("x")[19]["close"].alias("last_close"))
 
 
 @query("leakage_audit")
@@ -602,13 +599,13 @@ def leakage_audit(spark, d):
 
 
 @query("paths_by_confidence", sql(HOURLY + """,
- ev AS (SELECT symbol, pos, close AS entry, trades AS score FROM bars WHERE pos % 7 = 3),
+ ev AS (SELECT symbol, pos, close AS entry, trades AS score FROM bars),
  q AS (SELECT quantile_cont(score, 0.25) AS lo, quantile_cont(score, 0.75) AS hi FROM ev),
  b AS (SELECT ev.*, CASE WHEN score >= hi THEN 'top' WHEN score <= lo THEN 'bottom' ELSE 'middle' END AS bucket FROM ev, q)""", """
 SELECT bucket, (x.pos - b.pos)::BIGINT AS bar_no, round(avg(x.close / b.entry - 1), 6) + 0.0 AS mean_return, count(*)::BIGINT AS n FROM b JOIN bars x ON x.symbol = b.symbol AND x.pos BETWEEN b.pos + 1 AND b.pos + 20 GROUP BY ALL"""))
 def paths_by_confidence(spark, d):
     b = positioned(spark, d)
-    ev = b.where("pos % 7 = 3").select("symbol", "pos", F.col("close").alias("entry_price"), F.col("trades").alias("score"))
+    ev = b.select("symbol", "pos", F.col("close").alias("entry_price"), F.col("trades").alias("score"))
     return research.paths_by_confidence(ev, b).withColumn("bar_no", F.col("bar_no").cast("long"))
 
 
@@ -618,20 +615,21 @@ def bootstrap_gap(spark, d):
     return research.bootstrap_gap(df, "r", "symbol", "click", "view")
 
 
-@query("effective_size", sql(_SPANS + ", u AS (SELECT s.s, avg(1.0 / c.n_concurrent) AS u FROM spans s JOIN conc c ON c.pos BETWEEN s.s AND s.e GROUP BY s.s)", "SELECT (SELECT count(*) FROM u)::BIGINT AS n, round((SELECT sum(u) FROM u), 6) AS effective_n, round((SELECT avg(n_concurrent) FROM conc WHERE n_concurrent > 0), 6) AS mean_concurrency"))
+@query("effective_size", sql(_SPANS, "SELECT u.symbol, count(*)::BIGINT AS n, round(sum(u), 6) AS effective_n, round(any_value(c.m), 6) AS mean_concurrency FROM u JOIN (SELECT symbol, avg(n_concurrent) AS m FROM conc WHERE n_concurrent > 0 GROUP BY symbol) c USING (symbol) GROUP BY u.symbol"))
 def effective_size(spark, d):
-    return research.effective_size(spans_of(spark, d), one_series(spark, d))
+    b = series(spark, d)
+    return research.effective_size(spans_to(b, 5), b)
 
 
-@query("weight_schemes")
+@query("weight_schemes", sql(_SPANS, "SELECT symbol, start, end_ AS \"end\", 1.0::DOUBLE AS A, round(u, 6) AS B, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS C, round(u * greatest(1 - (1 - 0.5) / t * (t - x), 0), 6) AS D, round(u * pow(0.5, (max(start) OVER (PARTITION BY symbol) - start) / 4320.0), 6) AS E FROM x"))
 def weight_schemes(spark, d):
-    return research.weight_schemes(spans_of(spark, d), one_series(spark, d))
+    b = series(spark, d)
+    return research.weight_schemes(spans_to(b, 5), b)
 
 
-@query("purge_by_exit", sql(HOURLY, "SELECT symbol, pos FROM bars WHERE pos % 7 = 3 AND pos + 10 < 300"))
+@query("purge_by_exit", sql(HOURLY, "SELECT symbol, pos FROM bars WHERE pos + 10 < 300"))
 def purge_by_exit(spark, d):
-    df = positioned(spark, d).where("pos % 7 = 3").withColumn("bars_to_exit", F.lit(10))
-    return research.purge_by_exit(df, 300).select("symbol", "pos")
+    return research.purge_by_exit(positioned(spark, d).withColumn("bars_to_exit", F.lit(10)), 300).select("symbol", "pos")
 
 
 @query("input_search")
@@ -654,9 +652,9 @@ def generalization(spark, d):
 
 @query("leakage_comparison")
 def leakage_comparison(spark, d):
-    f = ["logret_1", "logret_20", "vol_10"]
-    df = labels.direction(indicators.window_features(positioned(spark, d)), (20,)).where("symbol = 'click'").select("pos", "label_dir_20", *f)
-    return research.leakage_comparison(df, f, "label_dir_20", 20, 2, iterations=3, depth=3)
+    f = ["logret_1", "logret_20", "vol_10", "bb_pos"]
+    df = labels.direction(indicators.window_features(positioned(spark, d)), (20,)).select("symbol", "pos", "label_dir_20", *f).where("label_dir_20 is not null")
+    return research.leakage_comparison(stored(df), f, "label_dir_20", 20, 3, iterations=5, depth=3)
 
 
 @query("pearson_series", sql(_TWO, "SELECT round(corr(s.close, p.close), 6) + 0.0 AS r, count(*)::BIGINT AS n FROM spot s JOIN perp p USING (ts)"))
@@ -670,16 +668,16 @@ def tail_thresholds(spark, d):
     return models.tail_thresholds(hourly(spark, d).withColumn("pred", N.Rolling().log_return(F.col("close"), 1)))
 
 
-@query("purge_overlaps", sql(_SPANS + ", t AS (SELECT s AS a, e AS b FROM spans WHERE s >= 200 AND s < 240)", 'SELECT s AS "start", e AS "end" FROM spans WHERE NOT EXISTS (SELECT 1 FROM t WHERE s <= b AND a <= e)'))
+@query("purge_overlaps", sql(_SPANS + ", t AS (SELECT DISTINCT s AS a, e AS b FROM spans WHERE s >= 200 AND s < 240)", 'SELECT symbol, s AS "start", e AS "end" FROM spans WHERE NOT EXISTS (SELECT 1 FROM t WHERE s <= b AND a <= e)'))
 def purge_overlaps(spark, d):
-    spans = spans_of(spark, d).select("start", "end")
-    return splits.purge(spans, spans.where("start >= 200 and start < 240"), "start", "end")
+    spans = spans_to(series(spark, d), 5)
+    return splits.purge(spans, spans.where("start >= 200 and start < 240").select("start", "end").distinct(), "start", "end")
 
 
-@query("forward_path", sql(HOURLY, "SELECT e.symbol, e.pos, (b.pos - e.pos)::BIGINT AS bar_no, round(b.close / e.close - 1, 6) + 0.0 AS gain FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.pos BETWEEN e.pos + 1 AND e.pos + 5 WHERE e.pos % 7 = 3"))
+@query("forward_path", sql(HOURLY, "SELECT e.symbol, e.pos, (b.pos - e.pos)::BIGINT AS bar_no, round(b.close / e.close - 1, 6) + 0.0 AS gain FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.pos BETWEEN e.pos + 1 AND e.pos + 5"))
 def forward_path(spark, d):
     b = positioned(spark, d)
-    ev = b.where("pos % 7 = 3").select("symbol", "pos", F.col("close").alias("entry"))
+    ev = b.select("symbol", "pos", F.col("close").alias("entry"))
     return align.forward_path(ev, b, 5).select("symbol", "pos", F.col("bar_no").cast("long"), (F.col("bar.close") / F.col("entry") - 1).alias("gain"))
 
 
@@ -689,12 +687,12 @@ def htf_return_4h(spark, d):
     return b.withColumn("bin", bars.floor_to("ts", "4 hours")).join(indicators.higher_frame(b, "4 hours", "4h"), ["symbol", "bin"], "left").select("symbol", "ts", "htf_4h_logret5")
 
 
-@query("seeded_sample", None)
+@query("seeded_sample", sql(TAPE, "SELECT symbol, trade_id, round(price, 6) AS price FROM tape ORDER BY md5('7/' || trade_id), trade_id LIMIT 100"))
 def seeded_sample(spark, d):
     """A sampling operator: the limit is the feature."""
     return research.sample(tape(spark, d), 100, 7, "trade_id").select("symbol", "trade_id", "price")
 
 
-@query("effective_inner_split", sql(_ONE, "SELECT pos, CASE WHEN pos < (SELECT min(pos) + (max(pos) - min(pos)) * 0.85 FROM one) THEN 'fit' ELSE 'stop' END AS \"inner\" FROM one"))
+@query("effective_inner_split", sql(_ONE, "SELECT symbol, pos, CASE WHEN pos < min(pos) OVER w + (max(pos) OVER w - min(pos) OVER w) * 0.85 THEN 'fit' ELSE 'stop' END AS \"inner\" FROM one WINDOW w AS (PARTITION BY symbol)"))
 def effective_inner_split(spark, d):
-    return research.inner_split(one_series(spark, d).select("pos"))
+    return research.inner_split(positioned(spark, d).select("symbol", "pos"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import Rolling
 from tideline.operators import bars as B
 from tideline.sources import readers
+from tideline.sources.shared import stored
 
 
 def tape(spark: SparkSession, d: str) -> DataFrame:
@@ -31,10 +32,15 @@ def funding(spark: SparkSession, d: str) -> DataFrame:
     return tape(spark, d).groupBy("symbol", B.floor_to("ts", "8 hours").alias("fundingTime")).agg((F.avg("price") / 1e6).alias("fundingRate"))
 
 
-def one_series(spark: SparkSession, d: str) -> DataFrame:
-    """Bars of one symbol by position, with spans of six bars from every third."""
-    r = Rolling()
-    return positioned(spark, d).where("symbol = 'click'").withColumn("logret", r.log_return(F.col("close"), 1))
+def series(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of every symbol by position with their log returns, written once."""
+    return stored(positioned(spark, d).withColumn("logret", Rolling().log_return(F.col("close"), 1)))
+
+
+def spans_to(bars: DataFrame, n: int, start: str = "start") -> DataFrame:
+    """(symbol, start, end): a span from every bar to the n-th after it, or the last."""
+    last = F.max("pos").over(Window.partitionBy("symbol"))
+    return bars.select("symbol", F.col("pos").alias(start), F.least(F.col("pos") + n, last).alias("end"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
