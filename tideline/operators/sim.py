@@ -26,9 +26,17 @@ OFF = 1000.0
 def stochastic(value: np.ndarray, n: int, k: int = 3, d: int = 3) -> tuple[np.ndarray, np.ndarray]:
     s = pd.Series(value)
     low, high = s.rolling(n).min(), s.rolling(n).max()
-    raw = (100 * (s - low) / (high - low).where(high > low)).fillna(0.0)
-    fast = raw.rolling(k).mean()
-    return fast.to_numpy(), fast.rolling(d).mean().to_numpy()
+    raw = (100 * (s - low) / (high - low).where(high > low)).fillna(0.0).to_numpy()
+    fast = mean_of(raw, k)
+    return fast, mean_of(fast, d)
+
+
+def mean_of(x: np.ndarray, w: int) -> np.ndarray:
+    """Means of the last w values, each summed afresh: a running sum would leave residues that flip crossings of equal lines."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= w:
+        out[w - 1 :] = sum(x[i : len(x) - w + 1 + i] for i in range(w)) / w
+    return out
 
 
 def signals(k: np.ndarray, d: np.ndarray, strength: np.ndarray, adx_th: float, os_th: float, k_th: float, d_th: float, cross: str = "strict") -> tuple[np.ndarray, np.ndarray]:

@@ -253,12 +253,12 @@ def ffd_features(spark, d):
     return events.ffd_features(positioned(spark, d), least=1e-3).drop("open", "high", "low", "volume", "trades")
 
 
-@query("least_ffd")
+@query("least_ffd", digits=3)
 def least_ffd(spark, d):
     return events.least_ffd(hourly(spark, d), (0.0, 0.2, 0.4, 0.6, 0.8, 1.0), 1e-2)
 
 
-@query("features_full")
+@query("features_full", digits=4)
 def features_full(spark, d):
     return indicators.features(hourly(spark, d))
 
@@ -549,7 +549,7 @@ def backtest_overfitting(spark, d):
     return stats.overfitting(df.crossJoin(F.broadcast(shortest)).where("obs_no <= m").drop("m"), 8)
 
 
-@query("regime_inputs")
+@query("regime_inputs", digits=5)
 def regime_inputs(spark, d):
     return indicators.regime_inputs(daily(spark, d)).select("symbol", "ts", "ret_3", "vol_14", "adx", "autocorr_10")
 
