@@ -88,6 +88,11 @@ def clipped_below(x: Column, least: float = 0.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(x, F.lit(least)))
 
 
+def centred(x: Column, middle: float) -> Column:
+    """x as a share of its neutral value above or below it."""
+    return (x - middle) / middle
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.stats import auc
@@ -93,3 +95,45 @@ def windows(bars: DataFrame, n: int = 60, columns: tuple[str, ...] = ("open", "h
 
     over = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - n, 0)
     return bars.withColumn("x", F.collect_list(F.struct(*columns)).over(over)).where(F.size("x") == n).select("symbol", "ts", "x")
+
+
+def fit_stopping(train: DataFrame, stop: DataFrame, features: list[str], label: str, seed: int, iterations: int, depth: int, step: float = 0.1) -> Model:
+    """A boosted model of as many trees as give the best AUC on the rows of stop, of all the prefixes of one fit."""
+    whole = fit_seeds(train, features, label, [seed], iterations, depth, step)[0]
+    rows = assembled(stop, features)
+    margins = []
+    for tree in whole.trees:  # a score is the weighted sum of the trees' predictions; a column for each tree
+        rows = tree.transform(rows.drop("prediction")).withColumnRenamed("prediction", f"_t{len(margins)}")
+        margins.append(f"_t{len(margins)}")
+    weights = whole.treeWeights
+    prefixes = [sum((F.col(m) * w for m, w in zip(margins[:k], weights[:k], strict=True)), F.lit(0.0)) for k in range(1, len(margins) + 1)]
+    long = rows.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("s")) for k, p in enumerate(prefixes, 1)])).alias("p")).select("y", "p.*")
+    best = auc(long, "s", "y", ["k"]).orderBy(F.desc("auc"), "k").limit(1).collect()  # one row
+    trees = best[0]["k"] if best else iterations
+    return whole if trees == iterations else fit_seeds(train, features, label, [seed], trees, depth, step)[0]
+
+
+def frozen_holdout(df: DataFrame, features: list[str], label: str, cut: str, seeds: list[int], iterations: int = 20, depth: int = 4, inner: float = 0.85) -> DataFrame:
+    """One row (n_train, n, auc, least, most, mean, std): models of the rows before cut, each stopped early on the last part of these, are tried once on the rest."""
+    from tideline.operators.stats import distribution
+
+    early = F.col("ts") < F.lit(cut).cast("timestamp_ntz")
+    past, held = df.where(early), df.where(~early)
+    bounds = past.agg(F.percentile(F.unix_timestamp(F.col("ts").cast("timestamp")), F.lit(inner)).alias("t")).first()
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")) < bounds["t"]
+    fitted = [fit_stopping(past.where(at), past.where(~at), features, label, s, iterations, depth) for s in seeds]
+    scored = stored(predict(fitted, held, features).select(F.col("pred"), F.col(label).alias("y"), F.lit(1).alias("all")))
+    parts = auc(scored, "pred", "y", ["all"]).join(distribution(scored, "pred", ["all"]).drop("n"), "all").drop("all")
+    return parts.crossJoin(F.broadcast(past.agg(F.count("*").alias("n_train"))))
+
+
+def save(models: list[Model], path: str, spark: SparkSession, **config: object) -> None:
+    """Models in folders of their own beside a table of one JSON row."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/model-{i}")
+    spark.createDataFrame([(json.dumps({"models": len(models), **config}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load(path: str, spark: SparkSession) -> tuple[list[Model], dict]:
+    config = json.loads(spark.read.text(f"{path}/config").first()["value"])
+    return [GBTClassificationModel.load(f"{path}/model-{i}") for i in range(config["models"])], config

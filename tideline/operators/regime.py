@@ -1,4 +1,4 @@
-"""Regimes: Gaussian hidden Markov models with diagonal covariances, and their causal decoding."""
+"""Regimes: Gaussian hidden Markov models with diagonal or full covariances, and their causal decoding."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import argmax
-from tideline.operators import recursions as R
 from tideline.operators.align import asof_next_day
 
 FLOOR = 1e-300
@@ -21,7 +19,7 @@ class Hmm:
     start: np.ndarray
     trans: np.ndarray
     means: np.ndarray
-    variances: np.ndarray
+    variances: np.ndarray  # a row of variances for each state, or a matrix for each
     loglik: float = float("-inf")
 
     @property
@@ -30,6 +28,9 @@ class Hmm:
 
     def log_emissions(self, x: np.ndarray) -> np.ndarray:
         d = x[:, None, :] - self.means[None]
+        if self.variances.ndim == 3:
+            solved = np.einsum("kij,nkj->nki", np.linalg.inv(self.variances), d)
+            return -0.5 * (np.linalg.slogdet(2 * np.pi * self.variances)[1][None] + (d * solved).sum(axis=2))
         return -0.5 * (np.log(2 * np.pi * self.variances).sum(axis=1)[None] + (d * d / self.variances[None]).sum(axis=2))
 
 
@@ -89,10 +90,11 @@ def healthy(model: Hmm, x: np.ndarray, least: float = 0.01) -> bool:
     return np.bincount(viterbi(model, x), minlength=model.k).min() >= least * len(x)
 
 
-def fit(x: np.ndarray, k: int, seed: int, iterations: int = 500, tolerance: float = 1e-4) -> Hmm:
+def fit(x: np.ndarray, k: int, seed: int, iterations: int = 500, tolerance: float = 1e-4, full: bool = False) -> Hmm:
     """Baum-Welch from k random rows as means."""
     rng = np.random.default_rng(seed)
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), x[rng.choice(len(x), k, replace=False)].copy(), np.tile(x.var(axis=0) + 1e-6, (k, 1)))
+    spread = np.tile(np.cov(x.T).reshape(x.shape[1], -1) + 1e-6 * np.eye(x.shape[1]), (k, 1, 1)) if full else np.tile(x.var(axis=0) + 1e-6, (k, 1))
+    model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), x[rng.choice(len(x), k, replace=False)].copy(), spread)
     model.trans /= model.trans.sum(axis=1, keepdims=True)
     before = -np.inf
     for _ in range(iterations):
@@ -106,39 +108,55 @@ def fit(x: np.ndarray, k: int, seed: int, iterations: int = 500, tolerance: floa
         pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), FLOOR)
         weight = np.maximum(gamma.sum(axis=0), FLOOR)[:, None]
         means = gamma.T @ x / weight
-        model = Hmm(gamma[0], pair.sum(axis=0) / np.maximum(pair.sum(axis=(0, 2))[:, None], FLOOR), means, np.maximum(gamma.T @ (x * x) / weight - means**2, 1e-8), loglik)
+        if full:
+            d = x[:, None, :] - means[None]
+            spread = np.einsum("nk,nki,nkj->kij", gamma, d, d) / weight[:, :, None] + 1e-8 * np.eye(x.shape[1])
+        else:
+            spread = np.maximum(gamma.T @ (x * x) / weight - means**2, 1e-8)
+        model = Hmm(gamma[0], pair.sum(axis=0) / np.maximum(pair.sum(axis=(0, 2))[:, None], FLOOR), means, spread, loglik)
         if abs(loglik - before) < tolerance:
             break
         before = loglik
     return model
 
 
-def compare(rows: DataFrame, columns: list[str], ks: list[int], restarts: int = 3, test_share: float = 0.2, seed: int = 42, iterations: int = 200) -> DataFrame:
-    """(k, seed, healthy, loglik, test_loglik, bic, aic, model) of each restart, in parallel. rows: one daily series, small enough for a task, ordered by ts."""
+FITS = "k int, seed int, covariance string, healthy boolean, loglik double, test_loglik double, bic double, aic double, start array<double>, trans array<array<double>>, means array<array<double>>, variances array<array<array<double>>>"
+
+
+def compare(rows: DataFrame, columns: list[str], ks: list[int], restarts: int = 3, test_share: float = 0.2, seed: int = 42, iterations: int = 200, covariances: tuple[str, ...] = ("diag",), key: str = "symbol") -> DataFrame:
+    """(key, FITS) of each series, number of states, restart and kind of covariance, each in a task of its own. rows: daily series, each small enough for a task, ordered by ts."""
     spark = rows.sparkSession
-    x = rows.orderBy("ts").select(*columns).dropna().toPandas().to_numpy(float)
-    cut = int(len(x) * (1 - test_share))
-    train, test = x[:cut], x[cut:]
+    tasks = spark.createDataFrame([(k, seed + i, c) for k in ks for i in range(restarts) for c in covariances], "k int, seed int, covariance string")
+    kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.itertuples():
-                m = fit(train, int(r.k), int(r.seed), iterations)
-                p = n_params(int(r.k), train.shape[1])
-                yield pd.DataFrame({"k": [r.k], "seed": [r.seed], "healthy": [healthy(m, train)], "loglik": [m.loglik], "test_loglik": [forward(m, test)[1] if len(test) else 0.0], "bic": [-2 * m.loglik + p * np.log(len(train))], "aic": [-2 * m.loglik + 2 * p], "start": [m.start.tolist()], "trans": [m.trans.tolist()], "means": [m.means.tolist()], "variances": [m.variances.tolist()]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        k, full = int(first["k"]), first["covariance"] == "full"
+        x = pdf.sort_values("ts", kind="stable")[columns].to_numpy(float)
+        cut = int(len(x) * (1 - test_share))
+        train, test = x[:cut], x[cut:]
+        if len(train) < 2 * k:
+            return pd.DataFrame(columns=[key, *[f.split()[0] for f in FITS.split(", ")]])
+        m = fit(train, k, int(first["seed"]), iterations, full=full)
+        p = n_params(k, train.shape[1], full)
+        matrices = m.variances if full else [np.diag(v) for v in m.variances]
+        return pd.DataFrame({key: [first[key]], "k": [k], "seed": [first["seed"]], "covariance": [first["covariance"]], "healthy": [healthy(m, train)], "loglik": [m.loglik], "test_loglik": [forward(m, test)[1] if len(test) else 0.0], "bic": [-2 * m.loglik + p * np.log(len(train))], "aic": [-2 * m.loglik + 2 * p], "start": [m.start.tolist()], "trans": [m.trans.tolist()], "means": [m.means.tolist()], "variances": [[np.asarray(v).tolist() for v in matrices]]})
+
+    series = rows.select(key, "ts", *columns).dropna()
+    return series.crossJoin(F.broadcast(tasks)).groupBy(key, "k", "seed", "covariance").applyInPandas(run, f"`{key}` {kind}, {FITS}")
 
-    tasks = [(k, seed + i) for k in ks for i in range(restarts)]
-    schema = "k int, seed int, healthy boolean, loglik double, test_loglik double, bic double, aic double, start array<double>, trans array<array<double>>, means array<array<double>>, variances array<array<double>>"
-    return spark.createDataFrame(tasks, "k int, seed int").repartition(len(tasks)).mapInPandas(run, schema)
 
+def best_of(results: DataFrame, key: str = "symbol") -> DataFrame:
+    """The healthy fit of least BIC of each series."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("bic", "k", "seed", "covariance"))
+    return results.where("healthy").withColumn("_n", place).where("_n = 1").drop("_n")
 
-def select(results: DataFrame) -> Hmm:
-    """The healthy fit of least BIC."""
-    r = results.where("healthy").orderBy("bic", "k", "seed").limit(1).collect()
-    if not r:
-        raise ValueError("no healthy model")
-    r = r[0]
-    return Hmm(*(np.array(r[c]) for c in ("start", "trans", "means", "variances")), r["loglik"])
+
+def model_of(row) -> Hmm:
+    """A model of a row of FITS."""
+    matrices = np.array([[list(r) for r in m] for m in row["variances"]], float)
+    spread = matrices if row["covariance"] == "full" else np.array([np.diag(m) for m in matrices])
+    return Hmm(np.array(list(row["start"]), float), np.array([list(r) for r in row["trans"]], float), np.array([list(r) for r in row["means"]], float), spread, row["loglik"])
 
 
 def labels(means: np.ndarray, spread: float | None = None) -> list[str]:
@@ -155,25 +173,44 @@ def report(model: Hmm) -> pd.DataFrame:
     values, vectors = np.linalg.eig(model.trans.T)
     share = np.real(vectors[:, np.argmin(abs(values - 1))])
     stay = np.diag(model.trans)
-    return pd.DataFrame({"state": range(model.k), "mean": model.means.tolist(), "std": np.sqrt(model.variances).tolist(), "duration": 1 / np.maximum(1 - stay, 1e-12), "stationary": share / share.sum()})
-
+    return pd.DataFrame({"state": range(model.k), "mean": model.means.tolist(), "std": np.sqrt(model.variances if model.variances.ndim == 2 else np.array([np.diag(v) for v in model.variances])).tolist(), "duration": 1 / np.maximum(1 - stay, 1e-12), "stationary": share / share.sum()})
 
-def decode(daily: DataFrame, columns: list[str], model: Hmm, hindsight: bool = False) -> DataFrame:
-    """daily with filtered_prob_state*, filtered_state and its label; with hindsight also smoothed_state. Rows with nulls in columns are left out."""
-    names = [f"filtered_prob_state{i}" for i in range(model.k)]
 
-    def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        x = pdf[columns].to_numpy(float)
-        p = forward(model, x)[0]
-        out = {n: p[:, i] for i, n in enumerate(names)}
-        if hindsight:
-            out["smoothed_state"] = smoothed(model, x).argmax(axis=1)
-        return out
+def report_rows(best: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, state, label, mean, std, transition, duration, stationary): report of each series' model, with its transition row."""
+    kind = best.schema[key].dataType.simpleString()
 
-    df = R.per_symbol(daily.dropna(subset=columns), part, {**dict.fromkeys(names, "double"), **({"smoothed_state": "int"} if hindsight else {})})
-    df = df.withColumn("filtered_state", argmax([F.col(n) for n in names]))
-    text = F.create_map(*[F.lit(v) for i, s in enumerate(labels(model.means)) for v in (i, s)])
-    return df.withColumn("filtered_state_label", text[F.col("filtered_state")])
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                m = model_of(row)
+                got = report(m)
+                yield got.assign(**{key: row[key]}, label=labels(m.means), transition=m.trans.tolist())[[key, "state", "label", "mean", "std", "transition", "duration", "stationary"]]
+
+    return best.mapInPandas(run, f"`{key}` {kind}, state int, label string, mean array<double>, std array<double>, transition array<double>, duration double, stationary double")
+
+
+def decode_each(daily: DataFrame, columns: list[str], best: DataFrame, hindsight: bool = False, key: str = "symbol") -> DataFrame:
+    """(key, ts, columns, filtered_probs, filtered_state, filtered_state_label[, smoothed_state]): each series by its own model. Rows with nulls in columns are left out."""
+    rows = daily.select(key, "ts", *columns).dropna(subset=columns)
+    more = "filtered_probs array<double>, filtered_state int, filtered_state_label string" + ", smoothed_state int" * hindsight
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], more])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*rows_columns, *[x.split()[0] for x in more.split(", ")]])
+        m = model_of(b.iloc[0])
+        a = a.sort_values("ts", kind="stable")
+        x = a[columns].to_numpy(float)
+        p, names = forward(m, x)[0], labels(m.means)
+        state = p.argmax(axis=1)
+        out = a.assign(filtered_probs=list(p), filtered_state=state, filtered_state_label=[names[s] for s in state])
+        return out.assign(smoothed_state=smoothed(m, x).argmax(axis=1)) if hindsight else out
+
+    rows_columns = rows.columns
+    # Renamed, as both sides come from the same series.
+    models = best.select(F.col(key).alias("_key"), *[f.split()[0] for f in FITS.split(", ")])
+    return rows.groupBy(key).cogroup(models.groupBy("_key")).applyInPandas(run, schema)
 
 
 def on_hourly(hourly: DataFrame, decoded: DataFrame) -> DataFrame:

@@ -112,6 +112,32 @@ def deflated_sharpe(sharpe: float, trials: int, n: int, skew: float = 0.0, kurt:
     return _N.cdf((sharpe - bar) * math.sqrt(n - 1) / spread)
 
 
+def distribution(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, n, least, most, mean, std) of predictions."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def agreement(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, n_long, win_rate, agreement) of signals (raw_long, made_long, won)."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("raw_long").cast("long")).alias("n_long"), F.avg("won").alias("win_rate"), F.avg((F.col("raw_long") == F.col("made_long")).cast("double")).alias("agreement"))
+
+
+def deflated_table(returns: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, n, sharpe, expected_max, deflated): each key is a trial of one search. Moments are distributed; a row a trial is left, of which the last steps are made."""
+    x = F.col(value)
+    each = returns.groupBy(*keys).agg(F.count(x).alias("n"), (F.avg(x) / F.stddev_samp(x)).alias("sharpe"), F.skewness(x).alias("_skew"), (F.kurtosis(x) + 3).alias("_kurt"))
+    trials = each.agg(F.count("sharpe").alias("_trials"), F.var_samp("sharpe").alias("_var"))
+    schema = ", ".join([*[f"`{k}` {each.schema[k].dataType.simpleString()}" for k in keys], "n long, sharpe double, expected_max double, deflated double"])
+
+    def run(batches):
+        for b in batches:
+            bar = [expected_max_sharpe(int(t), v) for t, v in zip(b["_trials"], b["_var"], strict=True)]
+            last = [deflated_sharpe(s, int(t), int(n), g, k, v) for s, t, n, g, k, v in zip(b["sharpe"], b["_trials"], b["n"], b["_skew"], b["_kurt"], b["_var"], strict=True)]
+            yield b[[*keys, "n", "sharpe"]].assign(expected_max=bar, deflated=last)
+
+    return each.where("sharpe is not null").crossJoin(F.broadcast(trials)).mapInPandas(run, schema)
+
+
 def overfitting(returns: DataFrame, chunks: int = 12) -> DataFrame:
     """One row (pbo, n_splits, mean_logit) of (strategy_id, obs_no, ret): combinatorially symmetric cross-validation.
 

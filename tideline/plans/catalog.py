@@ -555,19 +555,20 @@ def regime_inputs(spark, d):
 
 
 def regime_fits(spark, d):
-    one = indicators.regime_inputs(daily(spark, d)).where("symbol = 'O'")
-    return one, regime.compare(one, ["ret_3", "vol_14"], [2, 3], restarts=2, iterations=40)
+    """Fits of every symbol's days with two to five states, both kinds of covariance."""
+    rows = stored(indicators.regime_inputs(daily(spark, d)))
+    return rows, stored(regime.compare(rows, ["ret_3", "vol_14"], [2, 3, 4, 5], restarts=2, iterations=60, covariances=("diag", "full")))
 
 
 @query("regime_compare")
 def regime_compare(spark, d):
-    return regime_fits(spark, d)[1].select("k", "seed", "healthy", "loglik", "test_loglik", "bic", "aic")
+    return regime_fits(spark, d)[1].select("symbol", "k", "seed", "covariance", "healthy", "loglik", "test_loglik", "bic", "aic")
 
 
 @query("regime_decode")
 def regime_decode(spark, d):
-    one, fits = regime_fits(spark, d)
-    return regime.decode(one.select("symbol", "ts", "ret_3", "vol_14"), ["ret_3", "vol_14"], regime.select(fits), hindsight=True)
+    rows, fits = regime_fits(spark, d)
+    return regime.decode_each(rows, ["ret_3", "vol_14"], regime.best_of(fits), hindsight=True).drop("filtered_probs")
 
 
 @query("model_walk_forward")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import time
 import zipfile
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,16 +46,22 @@ def order_tape(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("trade_id"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("quantity"))
 
 
-def clean_klines(raw: DataFrame, now_ms: int | None = None) -> DataFrame:
-    """Typed, deduplicated bars of 12-field kline rows; with now_ms, only closed bars. Bad numbers become null."""
+def clean_klines(raw: DataFrame, now_ms: int | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+    """Typed, deduplicated bars of 12-field kline rows; with now_ms, only closed bars. Bad numbers become null. key: columns that name the series, if there are several."""
     rows = raw if now_ms is None else raw.where(F.col("close_time") <= now_ms)
     number = lambda c: F.expr(f"try_cast({c} as double)").alias(c)
-    return rows.select(F.timestamp_millis("open_time").cast("timestamp_ntz").alias("ts"), *[number(c) for c in ("open", "high", "low", "close", "volume", "quote_volume")], "trades").dropDuplicates(["ts"])
+    return rows.select(*key, F.timestamp_millis("open_time").cast("timestamp_ntz").alias("ts"), *[number(c) for c in ("open", "high", "low", "close", "volume", "quote_volume")], "trades").dropDuplicates([*key, "ts"])
 
 
-def funding_rows(raw: DataFrame) -> DataFrame:
+def funding_rows(raw: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     """Funding prints: milliseconds to timestamps, errors in numbers to null, one row a time."""
-    return raw.select(F.timestamp_millis("fundingTime").cast("timestamp_ntz").alias("fundingTime"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("fundingRate", "markPrice")]).dropDuplicates(["fundingTime"])
+    return raw.select(*key, F.timestamp_millis("fundingTime").cast("timestamp_ntz").alias("fundingTime"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("fundingRate", "markPrice")]).dropDuplicates([*key, "fundingTime"])
+
+
+def without_repeated(df: DataFrame) -> DataFrame:
+    """df without the columns that reading a joined file has doubled: a name of another column with .1, .2 behind it."""
+    doubled = re.compile(r"(.+)\.\d+$")
+    return df.select(*[f"`{c}`" for c in df.columns if not ((m := doubled.match(c)) and m[1] in df.columns)])
 
 
 def days(spark: SparkSession, first: date | str, last: date | str) -> DataFrame:
@@ -103,9 +113,11 @@ def fetch_days(day_list: list[date], fetch: Callable[[date], bytes], retries: in
 class PagedReader(DataSourceReader):
     """Reads a service page by page; each partition is a slice of time with a cursor of its own.
 
-    Options: path of a JSON-lines file of kline rows (a stand-in for the service),
-    start and end (milliseconds), step (milliseconds of a bar), page_limit, slices,
-    direction (forward or backward).
+    Options: path of a folder of JSON-lines files of kline rows (a stand-in for the
+    service, on any file system that Arrow opens), start and end (milliseconds),
+    step (milliseconds of a bar), page_limit, slices, direction (forward or
+    backward), retries and backoff (seconds, growing linearly) of a request, and
+    failures, how often the stand-in fails before each answer.
     """
 
     def __init__(self, options: dict):
@@ -116,17 +128,32 @@ class PagedReader(DataSourceReader):
         width = max(1, -(-(end - start) // n))
         return [InputPartition((s, min(end, s + width))) for s in range(start, end, width)]
 
-    def page(self, since: int, until: int, limit: int, backward: bool) -> list[list]:
-        """What one request would return: at most limit rows with since <= open_time < until."""
-        with open(self.o["path"]) as f:
-            rows = sorted(r for r in map(json.loads, f) if since <= r[0] < until)
-        return rows[-limit:] if backward else rows[:limit]
+    def service(self) -> Callable[[int, int, int, bool], list[list]]:
+        """What a request returns: at most limit rows with since <= open_time < until. Its files are read once a slice."""
+        store, folder = fs.FileSystem.from_uri(self.o["path"]) if "://" in self.o["path"] or self.o["path"].startswith("file:") else (fs.LocalFileSystem(), self.o["path"])
+        info = store.get_file_info(folder)
+        files = [folder] if info.type == fs.FileType.File else [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name[0] not in "._"]
+        rows = sorted(json.loads(line) for f in files for line in store.open_input_stream(f).read().splitlines() if line)
+        times, failures = [r[0] for r in rows], int(self.o.get("failures", 0))
+        left = failures
+
+        def page(since: int, until: int, limit: int, backward: bool) -> list[list]:
+            nonlocal left
+            if left:
+                left -= 1
+                raise OSError("the service is busy")
+            left = failures
+            found = rows[bisect_left(times, since) : bisect_left(times, until)]
+            return found[-limit:] if backward else found[:limit]
+
+        return page
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         since, until = partition.value
         limit, step, backward = int(self.o.get("page_limit", 1000)), int(self.o["step"]), self.o.get("direction", "forward") == "backward"
+        page = self.service()
         while since < until:
-            rows = self.page(since, until, limit, backward)
+            rows = retried(lambda a=since, b=until: page(a, b, limit, backward), int(self.o.get("retries", 5)), float(self.o.get("backoff", 1.0)))
             yield from map(tuple, rows)
             if len(rows) < limit:
                 return
@@ -136,6 +163,18 @@ class PagedReader(DataSourceReader):
                 since = rows[-1][0] + step
 
 
+def retried(request: Callable[[], list], retries: int, backoff: float) -> list:
+    """A request made again after backoff, 2 * backoff, ... seconds; the last error is raised."""
+    for attempt in range(1, retries + 1):
+        try:
+            return request()
+        except OSError:
+            if attempt == retries:
+                raise
+            time.sleep(backoff * attempt)
+    raise ValueError("needs a retry at least")
+
+
 class PagedSource(DataSource):
     """spark.dataSource.register(PagedSource); spark.read.format("paged_klines").options(...).load()"""
 

@@ -19,6 +19,11 @@ def append_days(df: DataFrame, path: str, day: str = "day") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def append_log(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV log; every file has the header, which readers skip. Also as a foreachBatch sink."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
 def mark_done(day_rows: DataFrame, path: str) -> None:
     day_rows.select("day").distinct().write.mode("append").parquet(path)
 

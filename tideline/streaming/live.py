@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.functions.numeric import action, sigmoid
 from tideline.operators import recursions as R
+from tideline.sources import readers
 from tideline.sources.sinks import alerts, post_each
 
 
@@ -26,7 +27,19 @@ def closed_bars(trades: DataFrame, late: str = "10 minutes", unit: str = "1 hour
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-KEEP = 220
+def trades(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a stream of trades."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return readers.tape(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+
+
+def run_once(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream gives for what is there now, as a table; a second run goes on where this one stopped."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 LIVE = "symbol string, ts timestamp, close double, ema9 double, ema21 double, rsi_14 double, atr_14 double"
 
 
