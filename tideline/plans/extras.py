@@ -284,3 +284,15 @@ def model_saved(spark, d):
 def live_bars(spark, d):
     """Bars of a stream of trades: those that the watermark has closed."""
     return live.run_once(live.closed_bars(live.trades(spark, d)), place(spark, "live")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("live_parity", sql(HOURLY + ", c AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in live.COLUMNS) + "]) AS col)", "SELECT col AS \"column\", 0e0 AS max_diff, 0::BIGINT AS null_mismatch, (SELECT count(*) FROM hourly WHERE ts >= TIMESTAMP '2024-01-20')::BIGINT AS n FROM c"))
+def live_parity(spark, d):
+    """The feature frame of a stream, made from keyed state after a backfill, against the batch frame: largest differences."""
+    bars = stored(hourly(spark, d))
+    before = bars.where("ts < timestamp_ntz'2024-01-20'")
+    after = bars.where("ts >= timestamp_ntz'2024-01-20'")
+    got = live.run_once(live.live_features(live.bars_in(spark, after), before), place(spark, "parity")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    batch = indicators.features(bars).join(after.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    diff = models.largest_difference(batch, got, live.COLUMNS, ["symbol", "ts"])
+    return diff.crossJoin(F.broadcast(batch.join(got.select("symbol", "ts"), ["symbol", "ts"]).agg(F.count("*").alias("n"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tideline.functions.numeric import action, sigmoid
 from tideline.operators import recursions as R
 from tideline.sources import readers
+from tideline.sources.shared import stored
 from tideline.sources.sinks import alerts, post_each
+from tideline.streaming import frame
 
 
 def closed_bars(trades: DataFrame, late: str = "10 minutes", unit: str = "1 hour") -> DataFrame:
@@ -70,6 +73,44 @@ def _live_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema9", "ema21", "rsi_14", "atr_14"])
 
 
+COLUMNS = frame.names()
+FEATURES = "symbol string, ts timestamp, close double, " + ", ".join(f"`{c}` double" for c in COLUMNS)
+
+
+def bars_in(spark: SparkSession, bars: DataFrame) -> DataFrame:
+    """A stored table of bars as a stream."""
+    path = stored(bars).inputFiles()[0].rsplit("/", 1)[0]
+    return spark.readStream.schema(bars.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def live_features(bars: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The whole feature frame of a stream of closed bars (symbol, ts, high, low, close, volume), from keyed state.
+
+    history: a table of bars before the stream, from which each symbol's state is
+    filled; it must reach back as far as the recursions are to agree with a batch,
+    KEEP bars at least. It is put before the stream as its first rows.
+    """
+    columns = ["symbol", "ts", "high", "low", "close", "volume"]
+    rows = bars.select(*columns, F.lit(True).alias("live"))
+    if history is not None:
+        before = history.select("symbol", F.col("ts").cast("timestamp").alias("ts"), *columns[2:])
+        path = stored(before).inputFiles()[0].rsplit("/", 1)[0]
+        past = bars.sparkSession.readStream.schema(before.schema).parquet(path).select(*columns, F.lit(False).alias("live"))
+        rows = past.unionByName(rows)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: frame.Frame = pickle.loads(state.get[0]) if state.exists else frame.Frame()
+        out = []
+        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
+            got = held.push(r.ts.to_pydatetime(), float(r.high), float(r.low), float(r.close), float(r.volume))
+            if got is not None and r.live:
+                out.append((key[0], r.ts, float(r.close), *[got[c] for c in COLUMNS]))
+        state.update((pickle.dumps(held),))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "close", *COLUMNS])
+
+    return rows.groupBy("symbol").applyInPandasWithState(step, FEATURES, "s binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def live_indicators(bars: DataFrame) -> DataFrame:
     """Recursive indicators of a stream of closed bars, from keyed state."""
     return bars.groupBy("symbol").applyInPandasWithState(_live_state, LIVE, "s string", "append", GroupStateTimeout.NoTimeout)
