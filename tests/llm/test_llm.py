@@ -719,22 +719,113 @@ def test_toxicity_without_labels(spark):
 # --- the pipeline -------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, tmp_path):
+def pipeline_texts():
+    """Clean, toxic, repetitive, nearly equal and overlapping documents, and awkward ones."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "li", "su") for b in ("n", "d", "r", "ss") for c in ("el", "or", "im", "a", "ent")]
+    fresh = lambda k: [rng.choice(words) + rng.choice(words) for _ in range(k)]
+    base = [fresh(rng.randint(30, 120)) for _ in range(60)]
+    texts = [" ".join(b) for b in base]
+    shared = fresh(40)
+    texts += [" ".join(fresh(25) + shared + fresh(25)) for _ in range(5)]
+    near = list(base[7])
+    near[3] = "changed"
+    texts += [" ".join(near), " ".join(base[9]), " ".join(base[11][:-1])]
+    texts += [" ".join(fresh(20) + ["scumbag"] + fresh(20)) for _ in range(12)] + [" ".join(fresh(20) + ["$cumb@g"] + fresh(20)), " ".join([*fresh(20), "s", "c", "u", "m", "b", "a", "g", *fresh(20)])]
+    texts += [" ".join(fresh(8) * 4), " ".join(w for w in fresh(60) for _ in range(4)), ("line of " + " ".join(fresh(20)) + "\n") * 3]
+    return texts + [None, "", " \n", "few words only", " ".join(fresh(9000))]
+
+
+def plain_kept(t):
+    w, lines = words_of(t), (t or "").split("\n")
+    total = max(sum(map(len, w)), 1)
+
+    def inside(n):
+        c = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+        return {k + j for k in range(len(w) - n + 1) if c[tuple(w[k : k + n])] > 1 for j in range(n)}
+
+    seen, dup = set(), 0
+    for line in lines:
+        if WORD.search(line):
+            dup += sum(map(len, words_of(line))) if line in seen else 0
+            seen.add(line)
+    if len(w) < 10 or 100 * len(inside(5)) > 20 * len(w) or 100 * dup > quality.MAX_DUPLICATED_LINES * total:
+        return False
+    return all(100 * sum(len(w[k]) for k in inside(n)) <= most * total for n, most in quality.MAX_DUPLICATED.items())
+
+
+def pipeline_tables(spark, tmp_path):
+    texts = pipeline_texts()
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bad = [i for i, t in enumerate(texts) if "scumbag" in (t or "")]
+    spark.createDataFrame([(i, 1, int(i in bad)) for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return texts, bad
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(toxicity, "LEAST_Z", 3.0)
+    texts, bad = pipeline_tables(spark, tmp_path)
+    left = {i: t for i, t in enumerate(texts) if i not in bad and "$cumb@g" not in (t or "") and "s c u m b a g" not in (t or "")}
+    left = {i: t for i, t in left.items() if plain_kept(t)}
+    ids = sorted(left)
+    _, comps = brute_components([left[i] for i in ids], 5, 80)
+    left = {i: left[i] for k, i in enumerate(ids) if comps[k] == k}
+    ids, first, cut = sorted(left), {}, {}
+    for i in ids:
+        w = words_of(left[i])
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    for i in ids:
+        w = words_of(left[i])
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        if not gone:
+            cut[i] = left[i]
+        elif len(gone) < len(w):
+            cut[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    assert len(texts) > len(left) > len(set(left.values()) & set(cut.values())) and len(cut) < len(texts) - 15
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == set(cut)
+    for i, pieces in got.items():
+        tokens, at = [*library.encode(cut[i], add_special_tokens=False).ids, 1], 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            part = tokens[at : at + r["length"]]
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += r["length"]
+        assert at == len(tokens)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Clashing columns, null ids and texts, repeated rows, a long text; then an empty table."""
     import corpus_pipeline
 
-    texts = [t for t in corpus() if t]
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts, _ = pipeline_tables(spark, tmp_path)
+    rows = [(i, t, "en", "s", len(t or ""), 0.5, "k", 7, "w", 3, True, 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None, None, None, None, None, None, None, None)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score double, kept string, n_words int, words string, id int, whole boolean, component_id int"
+    docs = spark.createDataFrame(rows + rows[:3], schema)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, str(tmp_path))
-        if name != "packing":
-            assert out.columns == docs.columns and out.dtypes == docs.dtypes
-            out.write.parquet(f"{tmp_path}/{name}")
-            out = spark.read.parquet(f"{tmp_path}/{name}")
-            assert 0 < out.count() <= docs.count()
-            docs = out
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            n = out.count()
+            assert n == 0 if given is not docs else n > 0
+            if name != "packing":
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+                assert n <= docs.count()
+
+
+def test_stored_tables_are_removed(spark):
+    from tideline.sources import shared
+
+    with shared.scratch(spark) as kept:
+        a = shared.stored(spark.range(3))
+        b = shared.stored(spark.range(4))
+        kept.append(b)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="exist"):
+        spark.read.parquet(a.inputFiles()[0]).count()

@@ -1,30 +1,13 @@
-"""Tables in the folder that all executors share."""
+"""Stored tables, Arrow batches and schemas of this subpackage's operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
+from tideline.sources.shared import scratch, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (as in tests) a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/tideline-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """df written once to the shared folder and read again: later jobs neither compute it anew nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["narrow_batches", "scratch", "shared_folder", "stored", "with_fields"]
 
 #: Rows of texts sent to a Python worker at once. Ten thousand, the default, are tens of megabytes on both sides of the hop.
 BATCH_ROWS = 1_000

@@ -325,21 +325,22 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return spans.join(whole, "id", "full").select("id", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"))
 
 
-def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, full: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, full: bool = False, carry: list[str] | None = None, prefix: str = "") -> DataFrame:
     """(carried columns, n_words, n_removed, kept_sha256) of each row.
 
     carry: columns of docs to return, by default the id. With full also text: as
     it was where nothing goes, else the kept words joined by a space. Null and
     empty texts have no words. Rows with a null id, and rows that repeat an id,
     are judged by what other ids hold (a null id matches nothing). An empty table
-    gives none. Carried columns that clash with a new one are replaced.
+    gives none. Carried columns that clash with a new one are replaced, which prefix
+    (before the names of the new ones) avoids.
     """
-    new = ["n_words", "n_removed", "kept_sha256", *(["text"] if full else [])]
+    new = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", *(["text"] if full else []))]
     carried = [c for c in ([id_col] if carry is None else carry) if c not in new]
     spans = stored(duplicate_spans(docs, id_col, text, window)).select(F.col("id").alias("_id"), "whole", "spans")
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_own"), *[F.col(f"`{c}`").alias(f"_c_{c}") for c in carried])
-    rows = rows.join(spans, F.col("_own") == F.col("_id"), "left").select("_text", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), *[F.col(f"`_c_{c}`").alias(c) for c in carried])
-    schema = with_fields(docs.select(*[f"`{c}`" for c in carried]).schema, "n_words long, n_removed long, kept_sha256 string" + ", text string" * full)
+    rows = rows.join(spans, F.col("_own") == F.col("_id"), "left").select("_text", F.coalesce("whole", F.lit(False)).alias("_whole"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"), *[f"`_c_{c}`" for c in carried])
+    schema = with_fields(docs.select(*[f"`{c}`" for c in carried]).schema, ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("long", "long", "string", "string"), strict=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
