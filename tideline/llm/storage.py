@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from tideline.sources.shared import scratch, shared_folder, stored
 
-__all__ = ["narrow_batches", "scratch", "shared_folder", "stored", "with_fields"]
+__all__ = ["narrow_batches", "release", "scratch", "shared_folder", "stored", "with_fields"]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished jobs go. They do when the driver has forgotten the job, which else waits for its heap to fill: a query of many jobs would keep them all on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
 #: Rows of texts sent to a Python worker at once. Ten thousand, the default, are tens of megabytes on both sides of the hop.
 BATCH_ROWS = 1_000

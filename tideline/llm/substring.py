@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.storage import narrow_batches, stored, with_fields
+from tideline.llm.storage import narrow_batches, release, stored, with_fields
 from tideline.llm.words import Block, blocks, mix, windows
 
 WINDOW, ANCHOR = 13, 4
@@ -258,6 +258,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = stored(each.groupBy("anchor").agg(F.min("da").alias("a"), F.max("da").alias("b")).where("a <> b").select("anchor"))
     wanted = stored(each.select("id", "anchor").join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted")).join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
 
+    release(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(0)):
@@ -291,6 +293,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 )
 
     stretches = stored(rows.join(wanted, "id").select("text", "id", "wanted").mapInArrow(cut, "id long, anchor long, places array<long>, words long, stretch string"))
+    release(docs.sparkSession)
     per_anchor = stretches.groupBy("anchor").agg(F.approx_count_distinct("stretch").alias("n")).where(F.col("n") > HOT)
     hot = stored(per_anchor.select("anchor"))
 
@@ -307,6 +310,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     usual = stretches.join(hot, "anchor", "left_anti").select("id", "places", "words", "stretch", "anchor", F.lit(False).alias("hot"))
     cut_up = stretches.join(hot, "anchor", "left_semi").select("id", "places", "stretch").mapInArrow(single, "id long, places array<long>, words long, stretch string").withColumn("anchor", F.xxhash64("stretch")).withColumn("hot", F.lit(True))
     parts = stored(usual.unionByName(cut_up).withColumn("h1", F.xxhash64("stretch")).withColumn("h2", F.xxhash64("stretch", F.lit(1))))
+    release(docs.sparkSession)
     key = ["h1", "h2", "hot"]
     classes = stored(parts.groupBy(*key).agg(F.min_by(F.struct("id", "places", "words", "anchor", "stretch"), F.struct("id", "places")).alias("own")).select(*key, "own.*"))
     later = parts.select("id", "places", "words", *key).join(classes.select(*key, F.col("id").alias("owner")), key).where("id > owner").select("id", "words", F.explode("places").alias("start")).select("id", "start", (F.col("start") + F.col("words")).alias("end"))
@@ -338,6 +342,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     new = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", *(["text"] if full else []))]
     carried = [c for c in ([id_col] if carry is None else carry) if c not in new]
     spans = stored(duplicate_spans(docs, id_col, text, window)).select(F.col("id").alias("_id"), "whole", "spans")
+    release(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_own"), *[F.col(f"`{c}`").alias(f"_c_{c}") for c in carried])
     rows = rows.join(spans, F.col("_own") == F.col("_id"), "left").select("_text", F.coalesce("whole", F.lit(False)).alias("_whole"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"), *[f"`_c_{c}`" for c in carried])
     schema = with_fields(docs.select(*[f"`{c}`" for c in carried]).schema, ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("long", "long", "string", "string"), strict=False)))
