@@ -60,7 +60,7 @@ _OUTER = rf"(?:[^\w{re.escape(''.join(LOOKS))}]|_)+"
 OUTER = re.compile(rf"^{_OUTER}|{_OUTER}\Z")
 USUAL = ".,;:?\"'`)]}[{<>=_-/\\#%&^~"
 #: Words remembered in a task, and bytes of a text counted at once.
-CACHE, SLICE = 100_000, 1 << 20
+CACHE, SLICE = 50_000, 1 << 20
 
 
 def gram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -131,7 +131,7 @@ class Model:
     def fresh(self) -> None:
         """After a change of the weights: nothing is known of any word."""
         self.known: dict[str, tuple[str, ...]] = {}
-        self.rows: list[list[float]] | None = None
+        self.rows: dict[int, list[float]] = {}
         self.beginnings = {f.lstrip("=")[: STEMS[0]] for f in self.weights}
         # Tries of the words that the classifier knows (the word at the end), and of all features (True there).
         self.lexicon: dict = {}
@@ -198,9 +198,14 @@ class Model:
         joined = [0.0]
         for j in join:
             joined.append(joined[-1] + j)
-        if self.rows is None:
-            self.rows = self.language.tolist()
-        p = self.rows
+        rows, language = self.rows, self.language
+
+        def p(context: int) -> list[float]:
+            got = rows.get(context)
+            if got is None:
+                got = rows[context] = language[context].tolist()
+            return got
+
         # Of the best words up to each border, and of each state of the word since: score and links back.
         ends: list[tuple | None] = [(0.0, None)] + [None] * n
         inside: dict[int, tuple] = {}
@@ -221,18 +226,19 @@ class Model:
                     close(j, score + KNOWN + cost + joined[j] - joined[i + 1], (since, word))
             inside = {}
             for c, score, since, letters in before:
+                row = p(c)
                 for x, cost in options:
                     s, to = score + cost, c
                     if x:
                         z = _code(x)
-                        s += p[c][z]
+                        s += row[z]
                         to = c % _TAIL * SYMBOLS + z
                     if to not in inside or s > inside[to][0]:
                         inside[to] = (s, since, (letters, x) if x else letters)
             best = None
             for c, (s, since, letters) in inside.items():
-                if letters is not None and (best is None or s + p[c][0] > best[0]):
-                    best = (s + p[c][0], since, letters)
+                if letters is not None and (best is None or s + p(c)[0] > best[0]):
+                    best = (s + p(c)[0], since, letters)
             if best is not None:
                 close(i + 1, best[0], best[1:])
         if ends[n] is None:
