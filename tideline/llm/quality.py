@@ -22,9 +22,9 @@ from tideline.llm.storage import narrow_batches, with_fields
 from tideline.llm.words import Block, blocks, mix, ranges, windows
 
 #: A text is repetitive if more than this percentage of its word characters lies in n-grams of n words that occur twice or more.
-MAX_DUPLICATED = {2: 25, 3: 23, 4: 21, 5: 19, 6: 18, 7: 17, 8: 16, 9: 15, 10: 14}
+MAX_DUPLICATED = {2: 25, 3: 24, 4: 23, 5: 22, 6: 21, 7: 20, 8: 20, 9: 19, 10: 18}
 #: ... or more than this in lines equal to an earlier line.
-MAX_DUPLICATED_LINES = 14
+MAX_DUPLICATED_LINES = 20
 #: The share rules need some text to be meaningful.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WORDS = 10, 20, 5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
