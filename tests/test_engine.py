@@ -263,3 +263,77 @@ def test_every_query_has_a_name_of_its_own_and_twins_belong_to_queries():
     from tideline.plans.catalog import QUERIES, SQL
 
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 60
+
+
+def test_splits_and_weights_of_every_series(spark):
+    """Keyed results are those of each series alone."""
+    rng = np.random.default_rng(5)
+    sizes = {"a": 40, "b": 57, "c": 9}
+    bars = spark.createDataFrame([(s, i, float(rng.normal())) for s, n in sizes.items() for i in range(n)], "symbol string, pos long, logret double").cache()
+    spans = spark.createDataFrame([(s, i, min(i + int(rng.integers(0, 6)), n - 1)) for s, n in sizes.items() for i in range(0, n, 2)], "symbol string, start long, end long").cache()
+    ends = spans.select("symbol", F.col("start").alias("pos"), "end")
+    decayed = splits.time_decay(splits.average_uniqueness(spans, bars, "symbol"), 0.3, key="symbol").toPandas()
+    weights = splits.return_weights(spans, bars, key="symbol").toPandas()
+    folds = {tuple(r) for r in splits.purged_kfold(ends, None, 4, 0.1, "symbol").collect()}
+    for s in sizes:
+        one, b = spans.where(F.col("symbol") == s).drop("symbol"), bars.where(F.col("symbol") == s).drop("symbol")
+        mine = splits.time_decay(splits.average_uniqueness(one, b), 0.3).toPandas().sort_values(["start", "end"])
+        got = decayed[decayed["symbol"] == s].sort_values(["start", "end"])
+        np.testing.assert_allclose(got[["uniqueness", "decay"]], mine[["uniqueness", "decay"]])
+        w = splits.return_weights(one, b).toPandas().sort_values(["start", "end"])
+        np.testing.assert_allclose(weights[weights["symbol"] == s].sort_values(["start", "end"])["weight"], w["weight"])
+        n = one.count()
+        alone = {(s, *r) for r in splits.purged_kfold(one.select(F.col("start").alias("pos"), "end"), n, 4, 0.1).collect()} if n >= 4 else set()
+        assert {f for f in folds if f[0] == s} == alone
+
+
+def test_shuffled_folds_are_even_in_every_group(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("symbol"), F.col("id").alias("pos"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    got = splits.shuffled_kfold(rows, 4, 3, "y", "symbol").groupBy("symbol", "y", "fold").count().toPandas()
+    assert got["count"].sum() == 1000 and set(got["fold"]) == {0, 1, 2, 3}
+    spread = got.groupby(["symbol", "y"])["count"].agg(lambda c: c.max() - c.min())
+    assert (spread <= 1).all()
+
+
+def test_bootstrap_draws_equal_rows_apart(spark):
+    from tideline.operators import research
+
+    df = spark.createDataFrame([("a", 1.0)] * 200 + [("a", 3.0)] * 200 + [("b", 1.0)] * 400, "g string, v double")
+    r = research.bootstrap_gap(df, "v", "g", "a", "b").first()
+    # The mean of 400 values of deviation 1 has one of 0.05.
+    assert abs(r["gap"] - 1) < 0.03 and 0.14 < r["high"] - r["low"] < 0.26
+
+
+def test_doubled_columns_go(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "`a` int, `a.1` int, `b.2` int, `c.x` int")
+    assert readers.without_repeated(df).columns == ["a", "b.2", "c.x"]
+
+
+def test_shared_tables_need_a_shared_folder(spark, monkeypatch):
+    from tideline.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+        applicationId = "x"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared.shared_folder(Session())
+
+
+def test_early_stopping_and_saved_models(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 2))
+    df = spark.createDataFrame(pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=500, freq="h"), "x0": x[:, 0], "x1": x[:, 1], "y": (x[:, 0] + 0.5 * rng.normal(size=500) > 0).astype(float)})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    r = models.frozen_holdout(df, ["x0", "x1"], "y", "2024-01-17", [0], iterations=4, depth=2).first()
+    assert r["n_train"] == 384 and r["auc"] > 0.8 and 0 <= r["least"] < r["mean"] < r["most"] <= 1
+    fitted = models.fit_seeds(df, ["x0", "x1"], "y", [1], iterations=2, depth=2)
+    models.save(fitted, f"file://{tmp_path}/m", spark, features=["x0", "x1"])
+    again, config = models.load(f"file://{tmp_path}/m", spark)
+    assert config == {"features": ["x0", "x1"], "models": 1} and len(again) == 1

@@ -174,3 +174,66 @@ def test_hmm_finds_regimes_and_filters_causally():
     assert regime.n_params(3, 2) == 2 + 6 + 6 + 6 and regime.n_params(3, 2, True) == 2 + 6 + 6 + 9
     assert regime.report(m)["stationary"].sum() == pytest.approx(1)
     assert len(regime.labels(m.means)) == 2
+
+
+def test_hmm_with_full_covariances():
+    rng = np.random.default_rng(3)
+    state = np.repeat([0, 1, 0, 1], 150)
+    corr = np.array([[1.0, 0.9], [0.9, 1.0]])
+    x = np.where(state[:, None] == 0, rng.multivariate_normal([0, 0], corr, 600), rng.multivariate_normal([0, 0], np.diag([1.0, 1.0]) * [[1, 0], [0, 1]] - 0.9 * (1 - np.eye(2)), 600))
+    full, diagonal = (max((regime.fit(x, 2, s, 60, full=f) for s in range(3)), key=lambda m: m.loglik) for f in (True, False))
+    assert full.variances.shape == (2, 2, 2) and full.loglik > diagonal.loglik + 50
+    guess = regime.viterbi(full, x)
+    assert max((guess == state).mean(), (guess != state).mean()) > 0.9
+    p, total = regime.forward(full, x)
+    np.testing.assert_allclose(p.sum(axis=1), 1)
+    d = x - full.means[0]
+    plain = -0.5 * (np.log(np.linalg.det(2 * np.pi * full.variances[0])) + np.einsum("ni,ij,nj->n", d, np.linalg.inv(full.variances[0]), d))
+    np.testing.assert_allclose(full.log_emissions(x)[:, 0], plain)
+
+
+def test_means_of_windows():
+    x = np.arange(7.0) ** 2
+    np.testing.assert_allclose(sim.mean_of(x, 3)[2:], [(x[i] + x[i - 1] + x[i - 2]) / 3 for i in range(2, 7)])
+    assert np.isnan(sim.mean_of(x, 3)[:2]).all() and np.isnan(sim.mean_of(x[:2], 3)).all()
+
+
+def test_requests_are_made_again():
+    from tideline.sources import readers
+
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return [1]
+
+    assert readers.retried(flaky, 5, 0.0) == [1] and len(calls) == 3
+    with pytest.raises(OSError):
+        readers.retried(lambda: (_ for _ in ()).throw(OSError("down")), 2, 0.0)
+
+
+def test_coarser_live_bars_skip_gaps():
+    from datetime import datetime
+
+    from tideline.streaming import frame
+
+    c = frame.Coarse(4)
+    assert all(np.isnan(v) for v in c.push(datetime(2024, 1, 1, 1), 2.0, 1.0, 1.5))
+    first = c.push(datetime(2024, 1, 1, 5), 3.0, 2.0, 2.5)
+    assert first[0] == 0.0 and first[2] == 50.0
+    after_gap = c.push(datetime(2024, 1, 1, 21), 3.0, 2.0, 2.5)
+    assert np.isnan(after_gap[0]) and after_gap[2] == 50.0  # the bin before has no trades
+    assert len(frame.names()) == 58
+
+
+def test_uniform_numbers_depend_on_row_and_draw_only():
+    from tideline.operators import research
+
+    rows = np.random.default_rng(0).integers(0, 2**63, 4000).astype(np.uint64)
+    u = research.uniform(rows, 50, 1)
+    np.testing.assert_array_equal(u[10:20], research.uniform(rows[10:20], 50, 1))
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.05 and (u != research.uniform(rows, 50, 2)).all()
+    times = np.searchsorted(np.array(research.POISSON), u, side="right")
+    assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.05
