@@ -21,6 +21,8 @@ FEE = 0.0003
 SIGNAL = ("rsi_len", "stoch_len", "adx_len", "adx_th", "os_th", "k_th", "d_th")
 RISK = ("fixed_sl", "trail_sl", "gain_th", "tp")
 OFF = 1000.0
+#: Signal keys of one symbol that a task handles, at most about so many.
+KEYS = 64
 
 
 def stochastic(value: np.ndarray, n: int, k: int = 3, d: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +120,7 @@ def run_grid(bars: DataFrame, configs: DataFrame, per_day: tuple[float, float] =
     for c, default in (("tp", 0.0), ("max_bars", 0.0)):
         if c not in configs.columns:
             configs = configs.withColumn(c, F.lit(default))
+    # The grid is made by the driver, so its keys may be broadcast.
     keyed = configs.groupBy(*SIGNAL).agg(F.collect_list(F.struct("config_id", *RISK, "max_bars")).alias("risks"))
     series = bars.select("symbol", F.col("ts"), "high", "low", "close")
     symbols = series.select("symbol").distinct()
@@ -153,7 +156,8 @@ def run_grid(bars: DataFrame, configs: DataFrame, per_day: tuple[float, float] =
         return pd.DataFrame({c: found[c].to_numpy().astype(k) for c, k in kinds.items()})
 
     # A symbol's keys are dealt over parts so that one symbol isn't one task; its bars are copied to each part.
-    parts = 16
+    keys = configs.select(*SIGNAL).distinct().count()
+    parts = min(keys, max(16, -(-keys // KEYS))) or 1
     left = tasks.select(F.col("symbol").alias("s"), F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"), *SIGNAL, "risks")
     right = series.select(F.col("symbol").alias("s2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part2"), "ts", "high", "low", "close")
     return left.groupBy("s", "part").cogroup(right.groupBy("s2", "part2")).applyInPandas(run, "symbol string, config_id long, n_days double, pnl double, dir long, entry_idx long, exit_idx long")

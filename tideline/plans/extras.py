@@ -104,6 +104,21 @@ def paged_backward(spark, d):
     return paged(spark, d, page_limit="70", direction="backward")
 
 
+@query("kept_or_fetched", sql(HOURLY, f"SELECT symbol, ts, {r6('open', 'high', 'low', 'close', 'volume')} FROM hourly WHERE ts >= TIMESTAMP '2024-01-10'"))
+def kept_or_fetched(spark, d):
+    """Fetched once and kept; the second time what is kept is read, from a date on."""
+    path, columns, calls = place(spark, "cache"), ["symbol", "ts", "open", "high", "low", "close", "volume"], []
+
+    def fetch():
+        calls.append(1)
+        if len(calls) > 1:
+            raise ValueError("what is kept was not used")
+        return hourly(spark, d)
+
+    readers.kept_or_fetched(spark, path, "2024-01-10", columns, fetch)
+    return readers.kept_or_fetched(spark, path, "2024-01-10", columns, fetch)
+
+
 @query("tensor_roundtrip", sql(HOURLY, "SELECT symbol, count(*)::BIGINT AS windows, round(sum(c), 4) AS total FROM (SELECT symbol, pos, sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS c FROM bars) WHERE pos >= 19 GROUP BY symbol"), 4)
 def tensor_roundtrip(spark, d):
     """Windows as array columns in Parquet, read again."""

@@ -73,6 +73,14 @@ def unprocessed(all_days: DataFrame, done: DataFrame) -> DataFrame:
     return all_days.join(done.select("day").distinct(), "day", "left_anti")
 
 
+def kept_or_fetched(spark: SparkSession, path: str, since: str, columns: list[str], fetch: Callable[[], DataFrame]) -> DataFrame:
+    """Rows from since on of the table at path if there is one; else what fetch gives, after it has been kept there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        fetch().write.parquet(path)
+    return spark.read.parquet(path).where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).select(*columns)
+
+
 def read_zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """The first member of each zip file under path, as rows of schema; files are read where they lie, in parallel."""
     names = [f.split()[0] for f in schema.split(", ")]
