@@ -76,6 +76,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more))).drop("valid_order")
 
 
+def sharding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right answer of op3_sharding has in common: rows, bytes, no group of equal texts in two shards, slots without gaps, loads as even as the largest group allows."""
+    got = op3_sharding(spark, sf_dir)
+    whole = got.join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    groups = whole.groupBy(F.sha2("text", 256).alias("g")).agg(F.count_distinct("shard").alias("shards"), F.sum("size").alias("bytes"))
+    shards = got.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"))
+    a = shards.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.sum(((F.col("first") != 0) | (F.col("last") != F.col("n") - 1) | (F.col("slots") != F.col("n"))).cast("long")).alias("shards_with_gaps"), (F.max("bytes") - F.min("bytes")).alias("spread"))
+    b = groups.agg(F.sum((F.col("shards") > 1).cast("long")).alias("groups_apart"), F.max("bytes").alias("largest"))
+    return a.crossJoin(b).select("n_rows", "bytes", "shards_with_gaps", "groups_apart", (F.col("spread") <= F.col("largest")).alias("even"))
+
+
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right answer of op5_packing has in common: every document once, its pieces without gaps, no sequence over 2048 tokens, under 1 % of padding."""
+    got = op5_packing(spark, sf_dir)
+    docs = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("tokens"), F.max(F.col("start") + F.col("length")).alias("end"), F.count_distinct("start").alias("starts"), F.count("*").alias("pieces"))
+    seqs = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    a = docs.agg(F.count("*").alias("n_docs"), F.sum(((F.col("n") != F.col("tokens")) | (F.col("end") != F.col("tokens")) | (F.col("starts") != F.col("pieces"))).cast("long")).alias("docs_torn"))
+    b = seqs.agg(F.sum(((F.col("end") != F.col("n")) | (F.col("n") > 2048)).cast("long")).alias("sequences_bad"), (1 - F.sum("n") / (F.count("*") * 2048) < 0.01).alias("full"))
+    return a.crossJoin(b)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, pipeline, sharding_invariants, packing_invariants)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -112,6 +133,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM f GROUP BY conv_id""",
 }
 
+SQL["sharding_invariants"] = "SELECT count(*)::BIGINT AS n_rows, sum(coalesce(strlen(text), 0) + 8)::BIGINT AS bytes, 0::BIGINT AS shards_with_gaps, 0::BIGINT AS groups_apart, true AS even FROM documents"
+SQL["packing_invariants"] = 'SELECT count(*)::BIGINT AS n_docs, 0::BIGINT AS docs_torn, 0::BIGINT AS sequences_bad, true AS "full" FROM documents'
+
 _upper, _lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL["op2_minhash"] = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_upper}', '{_lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
