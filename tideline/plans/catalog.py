@@ -111,7 +111,7 @@ def info_bars_dollar(spark, d):
 
 
 @query("projections", sql(RETURNS, """
-SELECT symbol, ts, round(greatest(r, 0), 6) + 0.0 AS up, round(sign(r), 6) + 0.0 AS side, round(sqrt(abs(r)), 6) + 0.0 AS root, round(1 / (1 + exp(-r * 10)), 6) AS p, round(abs(1 / (1 + exp(-r * 10)) - 0.5) * 2, 6) + 0.0 AS conviction,
+SELECT symbol, ts, round(greatest(r, 0), 6) + 0.0 AS up, sign(r)::DOUBLE AS side, round(sqrt(abs(r)), 6) + 0.0 AS root, round(1 / (1 + exp(-r * 10)), 6) AS p, round(abs(1 / (1 + exp(-r * 10)) - 0.5) * 2, 6) + 0.0 AS conviction,
  CASE WHEN 1 / (1 + exp(-r * 10)) >= 0.65 THEN 'A' WHEN 1 / (1 + exp(-r * 10)) <= 0.35 THEN 'E' ELSE 'S' END AS bucket,
  CASE WHEN 1 / (1 + exp(-r * 10)) >= 0.6 THEN 'BUY' WHEN 1 / (1 + exp(-r * 10)) <= 0.4 THEN 'SELL' ELSE 'SKIP' END AS action,
  hour(ts)::BIGINT AS hour, (isodow(ts) - 1)::BIGINT AS weekday, year(ts)::BIGINT AS year, strftime(ts, '%Y-%m') AS month, upper(trim(symbol)) AS name, CASE WHEN close >= open THEN 0 ELSE 1 END::BIGINT AS largest FROM rets WHERE r IS NOT NULL"""))
