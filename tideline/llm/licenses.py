@@ -4,7 +4,9 @@ Templates are sets of shingles of SHINGLE words. Texts that could hold a templat
 are told by a word that every match must have. Over their shingles run overlapping
 windows, of a size for each size of template; each window's MinHash bands, of
 several minima for all but the smallest templates, are looked up among the bands of
-the templates, which is all that retrieves them. Exact containment of a template's
+the templates. A window can share a minimum with a template only if it holds the
+very shingle that is the template's minimum, so bands are made for the windows that
+hold one; no other could collide. Exact containment of a template's
 shingles in a stretch of the window verifies a match and places it.
 
 A text is gone through in segments of bounded length that overlap by a window, and
@@ -110,13 +112,22 @@ def band_keys(hashed: Column, m: int, start: Column, length: Column | int) -> Co
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *[least(b * rows + r) for r in range(rows)]))
 
 
-def windows_with(m: int, known: list[int]) -> Column:
+def minimum_shingles(shingles: Column, m: int) -> Column:
+    """The shingles of a template of m that are its minima."""
+    _, _, bands, rows = bands_for(m)
+    return F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda s: F.array_min(F.transform(shingles, lambda h: F.struct(F.xxhash64(h, s).alias("x"), h.alias("h"))))["h"])
+
+
+def windows_with(m: int, known: list[int], minima: list[int]) -> Column:
     """The windows of a segment that share a band with a template of m shingles: (m, start, key) each."""
     window, stride, _, _ = bands_for(m)
-    starts = F.sequence(F.lit(1), F.greatest(F.least(F.size("part"), F.lit(SEGMENT)), F.lit(1)), F.lit(stride))
-    keys = F.array(*map(F.lit, known))
-    found = F.transform(starts, lambda i: F.transform(F.array_intersect(band_keys(F.col("hashed"), m, i, window), keys), lambda key: F.struct(F.lit(m).alias("m"), i.alias("start"), key.alias("key"))))
-    return F.flatten(found)
+    held, keys = F.array(*map(F.lit, minima)), F.array(*map(F.lit, known))
+    places = F.filter(F.transform("part", lambda h, i: F.when(F.array_contains(held, h), i + 1)), lambda p: p.isNotNull())
+    # Windows start at 1, 1 + stride, ... within the segment.
+    first = lambda p: F.greatest(F.ceil((p - window) / stride).cast("int"), F.lit(0)) * stride + 1
+    last = lambda p: F.floor((F.least(p, F.lit(SEGMENT)) - 1) / stride).cast("int") * stride + 1
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p), F.lit(stride))).otherwise(F.array().cast("array<int>")))))
+    return F.flatten(F.transform(starts, lambda i: F.transform(F.array_intersect(band_keys(F.col("hashed"), m, i, window), keys), lambda key: F.struct(F.lit(m).alias("m"), i.alias("start"), key.alias("key")))))
 
 
 def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,24 +154,29 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, i
     seeds = max(bands_for(m)[2] * bands_for(m)[3] for m in sizes)
     # The templates' own bands.
     known = spark.createDataFrame([x[:3] for x in held], "license string, wanted array<long>, m int")
-    mine = F.array().cast("array<bigint>")
+    mine, minima = F.array().cast("array<bigint>"), F.array().cast("array<bigint>")
     for m in sizes:
         mine = F.when(F.col("m") == m, band_keys(F.col("hashed"), m, F.lit(1), F.size("wanted"))).otherwise(mine)
+        minima = F.when(F.col("m") == m, minimum_shingles(F.col("wanted"), m)).otherwise(minima)
+    minima_of: dict[int, set[int]] = {}
+    for r in known.select("m", F.array_distinct(minima).alias("minima")).collect():
+        minima_of.setdefault(r["m"], set()).update(r["minima"])
     bands = known.select("license", "wanted", "m", once("hashed", hashed_by_seed(F.col("wanted"), seeds))).select("license", "wanted", "m", F.explode(mine).alias("key"))
     bands = spark.createDataFrame(bands.collect(), bands.schema)  # as many rows as the templates have bands
     keys_of: dict[int, list[int]] = {}
     for r in bands.select("m", "key").distinct().collect():
         keys_of.setdefault(r["m"], []).append(r["key"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    low = F.lower("_text")
-    likely = rows.where(reduce(lambda a, b: a | b, [low.contains(w) for w in must]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), once("_text", F.lower(F.col(text).cast("string"))))
+    likely = rows.where(reduce(lambda a, b: a | b, [F.col("_text").contains(w) for w in must]))
     shingled = likely.select("doc_id", once("words", words_of(F.col("_text")))).select("doc_id", once("shingles", shingles_of(F.col("words")))).where(F.size("shingles") > 0)
     # Each segment with as much behind it as a window and a stretch may reach.
     cut = shingled.select("doc_id", "shingles", F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(SEGMENT))).alias("base"))
     parts = cut.select("doc_id", "base", once("part", F.slice("shingles", F.col("base") + 1, SEGMENT + overlap)))
+    every = F.array(*map(F.lit, sorted(set().union(*minima_of.values()))))
+    parts = parts.where(F.size(F.array_intersect("part", every)) > 0)
     hashed = parts.select("doc_id", "base", "part", once("hashed", hashed_by_seed(F.col("part"), seeds)))
-    retrieved = hashed.select("doc_id", "base", "part", F.explode(F.concat(*[windows_with(m, sorted(keys_of[m])) for m in sizes])).alias("hit"))
+    retrieved = hashed.select("doc_id", "base", "part", F.explode(F.concat(*[windows_with(m, sorted(keys_of[m]), sorted(minima_of[m])) for m in sizes])).alias("hit"))
     seen = retrieved.select("doc_id", "base", "hit.*", once("near", F.slice("part", F.col("hit.start"), F.ceil(F.col("hit.m") * SLACK).cast("int") * 2 + F.floor(F.col("hit.m") / 8).cast("int") + 1)))
     found = seen.join(F.broadcast(bands), ["m", "key"]).dropDuplicates(["doc_id", "license", "base", "start", "near"])
     span = F.ceil(F.col("m") * SLACK).cast("int")
