@@ -85,6 +85,26 @@ def test_quality_keeps_rows_and_replaces_clashes(docs):
     assert quality.repetition(twice, carry=["doc_id"]).count() == 2 * docs.count()
 
 
+def test_hashes_of_a_long_text_are_those_of_its_words():
+    from tideline.llm.words import Block
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghé", k=rng.randint(1, 12))).encode() for _ in range(400_000)]
+    text = b" ".join(words)
+    assert len(text) > 2 << 20
+
+    def block(parts):
+        return Block(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+
+    long = block([b"before ", text, b" after"])
+    long.find_words()
+    some = list(range(0, len(words), 997))
+    small = block([words[i] for i in some])
+    small.find_words()
+    assert long.n_words.tolist() == [1, len(words), 1]
+    assert (long.word_hashes()[1:-1][some] == small.word_hashes()).all()
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 
@@ -716,6 +736,37 @@ def test_toxicity_without_labels(spark):
     assert [r["score"] < 0.5 for r in toxicity.scored(docs, model).collect()] == [True, True]
 
 
+# --- awkward rows ----
+
+
+def test_operators_on_long_repeated_and_clashing_rows(spark):
+    """A text of 2.5 MB, rows and ids that occur twice, null ids, and columns named like those that are made."""
+    rng = random.Random(21)
+    vocab = [f"{a}{b}" for a in ("red", "blue", "green", "old", "new", "far") for b in ("stone", "river", "cloud", "lamp", "field", "door", "wind")]
+    long = " ".join(rng.choices(vocab, k=300_000))
+    texts = [long, "a short text of a few words that is kept by every rule", "a short text of a few words that is kept by every rule", None, ""]
+    rows = [(i, t, "x", 1, True, "c", 2.0) for i, t in enumerate(texts)] + [(1, texts[1], "x", 1, True, "c", 2.0), (None, texts[1], None, None, None, None, None), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, size int, kept boolean, shard string, length double").repartition(2)
+    n_words = {0: 300_000, 1: 13, 2: 13, 3: 0, 4: 0}
+    q = quality.repetition(docs, carry=["doc_id", "size"]).collect()
+    assert len(q) == 8 and all(r["n_words"] == n_words[r["doc_id"]] for r in q if r["doc_id"] is not None)
+    s = substring.remove_duplicates(docs).collect()
+    assert len(s) == 8 and all(r["n_words"] == n_words[r["doc_id"]] for r in s if r["doc_id"] is not None)
+    d = near_dedup.near_duplicates(docs).collect()
+    assert len(d) == 8 and {r["component_id"] for r in d if r["id"] in (1, 2)} == {1} and all(r["kept"] for r in d if r["id"] is None)
+    t = sharding.shard_by_size(docs, 3).collect()
+    assert len(t) == 8 and sum(r["size"] for r in t) == sum(len((x or "").encode()) + 8 for x in [*texts, texts[1], texts[1], None])
+    p = packing.pack(docs, vocabulary("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"] for r in p} == {0, 1, 2, 3, 4, None} and all(r["offset"] + r["length"] <= 2048 for r in p)
+    whole = [r for r in p if r["doc_id"] == 0]
+    assert sum(r["length"] for r in whole) == whole[0]["doc_tokens"] > 300_000
+    b = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json")).collect()
+    assert len(b) == 8 and {r["n_tokens"] for r in b if r["doc_id"] in (3, 4)} == {0}
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert toxicity.scored(docs, model, score="size").where("size between 0 and 1").count() == 8
+    assert licenses.scan(docs).count() == 0
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 
 

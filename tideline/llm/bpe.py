@@ -204,7 +204,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; with full also ids and decoded.
 
     Null and empty texts have no ids and decode to the empty text. Rows that
-    repeat an id are returned once each; an empty table gives none.
+    repeat an id are returned once each; an empty table gives none; other columns
+    are not looked at. A text of any length is encoded whole, in memory in proportion
+    to it; one unbroken word takes time in proportion to its bytes.
     """
     narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(id_col).alias("doc_id"))

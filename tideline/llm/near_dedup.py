@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null and empty texts have no shingles and are linked with nothing. Ids are
     taken as unique; rows that repeat an id are returned once each, and of rows
     with a null id every one is a component (null) of its own. An empty table
-    gives an empty result. n_links: confirmed links to other sets that were
+    gives an empty result, other columns are not looked at, and a text of any length
+    is taken whole, in memory in proportion to it. n_links: confirmed links to other sets that were
     tried (not all that exist), plus rows with the same set.
     """
     narrow_batches(docs.sparkSession)

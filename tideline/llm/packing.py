@@ -159,7 +159,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     Null and empty texts have the one id END_ID. Rows are packed as they are, so
     repeated rows and ids give pieces of their own. An empty table gives none.
-    Sequences hold no more than window ids; offsets in one run without gaps.
+    Sequences hold no more than window ids; offsets in one run without gaps. Other
+    columns are not looked at. A text of any length is encoded whole, its words in
+    slices, and cut into as many pieces as it takes.
     """
     narrow_batches(docs.sparkSession)
     pieces = stored(cut(docs, path, id_col, text, window))

@@ -65,7 +65,8 @@ def shard_by_size(docs: DataFrame, shards: int, id_col: str = "doc_id", text: st
     crc of no bytes, and forms a group apart from empty texts. Rows that repeat
     an id are rows like others, with slots of their own. Slots in a shard run
     from 0 without gaps. A single group larger than a shard's share is not cut:
-    equal texts stay together by contract.
+    equal texts stay together by contract. An empty table gives none, other columns
+    are not looked at, and of a text only its length and hashes move, however long.
     """
     t = F.col(text).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(t), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h1"), F.conv(F.substring(F.md5(F.coalesce(t, F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h2"), t.isNull().alias("none"))

@@ -335,7 +335,8 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     carry: columns of docs to return, by default the id. With full also text: as
     it was where nothing goes, else the kept words joined by a space. Null and
     empty texts have no words. Rows with a null id, and rows that repeat an id,
-    are judged by what other ids hold (a null id matches nothing). An empty table
+    are judged by what other ids hold (a null id matches nothing). A text of any
+    length is taken whole, in memory in proportion to it. An empty table
     gives none. Carried columns that clash with a new one are replaced, which prefix
     (before the names of the new ones) avoids.
     """

@@ -390,7 +390,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     """docs with a score from 0 to 1 (label 1 likelier when higher).
 
     Null and empty texts get the score of a text without any feature. A column
-    of docs named like score is replaced; rows stay as they are.
+    of docs named like score is replaced; rows stay as they are, repeated ones too.
+    Texts, tokens and runs of any length are decoded whole, in linear time. An empty
+    table stays empty.
     """
     narrow_batches(docs.sparkSession)
     old = docs.select(*[f"`{c}`" for c in docs.columns if c != score])
