@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, bpe, chat, licenses, near_dedup, packing, quality, sharding, substring, toxicity
+from tideline.llm import ann, bpe, chat, lexical, licenses, near_dedup, packing, quality, sharding, substring, toxicity
 
 SHARDS = 24
 
@@ -76,6 +76,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more))).drop("valid_order")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def sharding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What any right answer of op3_sharding has in common: rows, bytes, no group of equal texts in two shards, slots without gaps, loads as even as the largest group allows."""
     got = op3_sharding(spark, sf_dir)
@@ -104,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, pipeline, sharding_invariants, packing_invariants)
+    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, op11_lexical, pipeline, sharding_invariants, packing_invariants)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -168,3 +172,15 @@ SQL["op9_ann"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY isnan(score), score DESC, vec_id) AS rank FROM p) WHERE rank <= 20"""
+
+_terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{_upper}', '{_lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op11_lexical"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms} AS w FROM documents),
+ n AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+ a AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM n),
+ q AS (SELECT item_id, t, count(*)::BIGINT AS c FROM (SELECT item_id, unnest({_terms}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+ p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+ f AS (SELECT t, count(*)::BIGINT AS df FROM p GROUP BY t),
+ w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, a),
+ s AS (SELECT q.item_id, n.r, n.doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (r), a GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 20"""
