@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, bpe, chat, lexical, licenses, near_dedup, packing, quality, sharding, substring, toxicity
+from tideline.llm import ann, bpe, chat, convnet, lexical, licenses, near_dedup, packing, quality, sharding, spelling, substring, toxicity
 
 SHARDS = 24
 
@@ -80,6 +80,17 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = convnet.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = convnet.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def sharding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What any right answer of op3_sharding has in common: rows, bytes, no group of equal texts in two shards, slots without gaps, loads as even as the largest group allows."""
     got = op3_sharding(spark, sf_dir)
@@ -108,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, op11_lexical, pipeline, sharding_invariants, packing_invariants)
+    f.__name__: f for f in (op1_toxicity, op2_minhash, op3_sharding, op4_quality, op5_packing, op6_bpe, op7_licenses, op8_substring, op9_ann, op10_chat, op11_lexical, op12_spelling, op13_quality_net, pipeline, sharding_invariants, packing_invariants)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -184,3 +195,23 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms} AS w FROM document
  w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, a),
  s AS (SELECT q.item_id, n.r, n.doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (r), a GROUP BY ALL)
 SELECT item_id, rank, doc_id, score FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 20"""
+
+# A CRC is linear: what each byte adds depends on its value and on how many bytes follow.
+SQL["op12_spelling"] = rf"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS id, * FROM (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_upper}', '{_lower}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL)),
+ x AS MATERIALIZED (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+ t AS MATERIALIZED (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, 3988292384 * (s & 1))) AS s FROM range(256) i(b)),
+ e AS (SELECT 0 AS k, b, s FROM t UNION ALL SELECT k + 1, e.b, xor(t.s, e.s >> 8) FROM e JOIN t ON t.b = e.s & 255 WHERE k < (SELECT max(len(x)) // 2 FROM x)),
+ z AS (SELECT 0 AS k, 4294967295::BIGINT AS s UNION ALL SELECT k + 1, xor(t.s, z.s >> 8) FROM z JOIN t ON t.b = z.s & 255 WHERE k < (SELECT max(len(x)) // 2 FROM x)),
+ y AS (SELECT id, len(x) // 2 - 1 - i AS k, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT AS b FROM (SELECT id, x, unnest(range(len(x) // 2)) AS i FROM x)),
+ h AS (SELECT id, bit_xor(s) AS h FROM y JOIN e USING (k, b) GROUP BY id),
+ f AS (SELECT run, c, xor(xor(h, z.s), 4294967295::BIGINT) AS h FROM x JOIN h USING (id) JOIN z ON z.k = len(x) // 2),
+ w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM f) WHERE len(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+ p AS (SELECT word, n, unnest(range(len(word))) AS i FROM w),
+ s AS (SELECT word, n, i, substr(word, 1, i) || '*' || substr(word, i + 2) AS g FROM p),
+ g AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS g FROM p),
+ l AS (SELECT a.word, b.word AS near, b.n AS m FROM s a JOIN s b ON a.g = b.g AND a.word <> b.word UNION ALL SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g UNION ALL SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g),
+ b AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, m, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS k FROM l),
+ o AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN (FROM b WHERE k = 1) b USING (word)),
+ u AS (SELECT word, word AS root, 0 AS k FROM o UNION ALL SELECT u.word, o.form, k + 1 FROM u JOIN o ON o.word = u.root WHERE o.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM o JOIN (SELECT word, arg_max(root, k) AS root FROM u GROUP BY word) USING (word)"""
