@@ -29,7 +29,6 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline.llm.storage import narrow_batches, with_fields
 from tideline.llm.words import blocks
@@ -64,12 +63,12 @@ def new_model(seed: int, share: float) -> Model:
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other, each filled with zeros to whole chunks, and the chunk that each begins with."""
+    """The texts one after the other, each with WIDTH zeros before it and filled with zeros to whole chunks, and the chunk that each begins with."""
     length = np.diff(offsets)
     n_chunks = -(-(length + GAP) // CHUNK)
     first = np.concatenate([[0], np.cumsum(n_chunks)])
     out = np.zeros(int(first[-1]) * CHUNK, np.uint8)
-    out[np.repeat(first[:-1] * CHUNK - offsets[:-1], length) + np.arange(offsets[0], offsets[-1])] = data[offsets[0] : offsets[-1]]
+    out[np.repeat(first[:-1] * CHUNK + WIDTH - offsets[:-1], length) + np.arange(offsets[0], offsets[-1])] = data[offsets[0] : offsets[-1]]
     return out, first
 
 
@@ -203,10 +202,11 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with the probability that a document's label is 1."""
+    """docs with the probability that a document's label is 1. A column of docs named like score is replaced."""
     if model is None:
         return docs.withColumn(score, F.lit(0.5))
     narrow_batches(docs.sparkSession)
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != score])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +215,4 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
             p = pa.array(np.concatenate([np.zeros(0), *made]))
             yield pa.RecordBatch.from_arrays([*batch.columns, p], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, with_fields(T.StructType([f for f in docs.schema.fields]), f"`{score}` double"))
+    return docs.mapInArrow(run, with_fields(docs.schema, f"`{score}` double"))
