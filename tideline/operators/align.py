@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.buckets import WIDTH, carried
 
-def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "symbol", left_ts: str = "ts", right_ts: str = "ts", exact: bool = True) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, values: list[str], key: str = "symbol", left_ts: str = "ts", right_ts: str = "ts", exact: bool = True, width: float = WIDTH) -> DataFrame:
     """left with the values of the last right row at or before (exact) each of its rows, per key.
 
-    Both sides are united, ordered by time (right first at ties if exact), and the
-    last right row is carried on: one exchange and one sort instead of a join of
-    every earlier row. Of right rows at one time the greatest values win.
+    Dealt by key and bucket of width (seconds, or units of a plain number), so a key
+    of any size runs in many tasks; see buckets.carried. Of right rows at one time
+    the greatest values win.
     """
-    side = 0 if exact else 2
-    a = left.select(F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_r"))
-    b = right.select(F.col(key).alias("_key"), F.col(right_ts).alias("_ts"), F.lit(side).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*values).alias("_r"))
-    over = Window.partitionBy("_key").orderBy("_ts", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    joined = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(over)).where("_side = 1")
-    return joined.select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
+    found = carried(left, right, F.struct(*values), key, left_ts, right_ts, exact, width=width)
+    return found.select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
-def asof_next_day(hourly: DataFrame, daily: DataFrame, values: list[str], key: str = "symbol", date: str = "date") -> DataFrame:
+def asof_next_day(hourly: DataFrame, daily: DataFrame, values: list[str], key: str = "symbol", date: str = "date", width: float = 30 * 86_400) -> DataFrame:
     """Daily values on hourly bars; a day's value is known from the next midnight on."""
     known = daily.withColumn("_at", (F.col(date).cast("timestamp_ntz") + F.expr("interval 1 day")))
-    return asof(hourly, known, values, key=key, right_ts="_at")
+    return asof(hourly, known, values, key=key, right_ts="_at", width=width)
 
 
 def filled(df: DataFrame, columns: list[str], key: str = "symbol", order: str = "ts") -> DataFrame:

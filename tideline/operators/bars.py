@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import Rolling
+from tideline.operators import recursions as R
+from tideline.operators.buckets import numbered
+from tideline.operators.scans import BLOCK, speculative_scan, with_block
+from tideline.operators.splits import running_sums
+from tideline.sources.shared import stored
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -38,7 +42,8 @@ def resample(bars: DataFrame, unit: str) -> DataFrame:
 
 
 def positioned(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("pos", Rolling().position())
+    """bars with their place in their series, from 0."""
+    return numbered(bars)
 
 
 def gaps(bars: DataFrame, seconds: int = 3600) -> DataFrame:
@@ -48,34 +53,25 @@ def gaps(bars: DataFrame, seconds: int = 3600) -> DataFrame:
     return bars.withColumn("before", before).withColumn("seconds", apart).where(F.col("seconds") > seconds).select("symbol", F.col("before").alias("after_ts"), "ts", (F.col("seconds") / seconds - 1).cast("long").alias("missing"))
 
 
-def close_points(values: np.ndarray, threshold: float) -> np.ndarray:
-    """Id of the bar of each row, -1 after the last full one. A bar closes where the sum since the last close reaches threshold, and starts from nothing."""
-    total, ids, at = np.cumsum(np.nan_to_num(values)), np.full(len(values), -1, np.int64), 0
-    taken, bar = 0.0, 0
-    while at < len(values):
-        end = int(np.searchsorted(total, taken + threshold, side="left"))
-        # The running total carries rounding; the bar's own sum decides at the border.
-        while end < len(values) and values[at : end + 1].sum() < threshold:
-            end += 1
-        while end > at and end <= len(values) and values[at:end].sum() >= threshold:
-            end -= 1
-        if end >= len(values):
-            break
-        ids[at : end + 1] = bar
-        taken, at, bar = total[end], end + 1, bar + 1
-    return ids
-
-
-def info_bars(bars: DataFrame, threshold: float, kind: str = "volume") -> DataFrame:
-    """Bars of equal volume or notional ('dollar'). The scan of a symbol is sequential by nature (a bar restarts the sum); aggregation is not."""
-    measure = F.col("volume") if kind == "volume" else F.col("close") * F.col("volume")
-    rows = bars.select("symbol", "ts", *OHLCV, measure.cast("double").alias("m"))
+def fill_kernel(threshold: float):
+    def run(pdf: pd.DataFrame, state: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        closed, states = R.fill_run(pdf["m"].to_numpy(float), threshold, state)
+        return {"_closed": closed.astype(np.int64)}, states
+
+    return run
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pdf.assign(bar_id=close_points(pdf["m"].to_numpy(), threshold))
 
-    marked = rows.groupBy("symbol").applyInPandas(number, rows.schema.simpleString()[7:-1].replace(":", " ") + ", bar_id bigint")
-    return marked.where("bar_id >= 0").groupBy("symbol", "bar_id").agg(
-        F.max("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("m").alias("measure"), F.count("*").alias("n_source_bars")
-    )
+def info_bars(bars: DataFrame, threshold: float, kind: str = "volume", block: int = BLOCK) -> DataFrame:
+    """Bars of equal volume or notional ('dollar'): a bar closes where the sum since the last close reaches threshold; what is left after the last close is no bar.
+
+    The sum starts anew at each close, so blocks are run by speculation; the number
+    of closes before a row is a running sum in blocks, and bars are one aggregation.
+    """
+    measure = F.col("volume") if kind == "volume" else F.col("close") * F.col("volume")
+    numbers = bars if "pos" in bars.columns else numbered(bars)
+    rows = stored(with_block(numbers.select("symbol", "ts", "pos", *OHLCV, measure.cast("double").alias("m")), block))
+    marked = speculative_scan(rows, fill_kernel(threshold), {"_closed": "long"}).drop("_block")
+    counted = running_sums(marked, {"_done": "_closed"}, ["pos"], block, "symbol").withColumn("bar_id", F.col("_done") - F.col("_closed"))
+    return counted.groupBy("symbol", "bar_id").agg(
+        F.max("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("m").alias("measure"), F.count("*").alias("n_source_bars"), F.max("_closed").alias("_full")
+    ).where("_full = 1").drop("_full")

@@ -11,21 +11,41 @@ from pyspark.sql import functions as F
 
 from tideline.functions.numeric import Rolling, nullif0
 from tideline.operators import recursions as R
+from tideline.operators.buckets import numbered
+from tideline.operators.indicators import in_blocks
+from tideline.operators.scans import BLOCK, speculative_scan, with_block
+from tideline.sources.shared import stored
 
 
-def cusum_features(bars: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Event flag, bars since the event before, events in the last 100 bars; the threshold is last bar's deviation of returns times factor."""
-    r = Rolling()
-    df = bars.withColumn("pos", r.position()).withColumn("_r", r.log_return(F.col("close"), 1))
-    df = df.withColumn("_s", r.std(F.col("_r"), 100, 50)).withColumn("_h", factor * r.lag(F.col("_s"))).drop("_r", "_s")
+def cusum_kernel(pdf: pd.DataFrame, state: np.ndarray | None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fired, states = R.cusum_run(np.log(pdf["close"].to_numpy(float)), pdf["_h"].to_numpy(float), state)
+    return {"cusum_event": fired.astype(int)}, states
+
+
+def cusum_features(bars: DataFrame, factor: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """Event flag, bars since the event before, events in the last 100 bars; the threshold is last bar's deviation of returns times factor. In blocks, by speculation; the last event before a block is one row a block."""
+
+    def threshold(df: DataFrame, r: Rolling) -> DataFrame:
+        df = df.withColumn("_r", r.log_return(F.col("close"), 1))
+        return df.withColumn("_s", r.std(F.col("_r"), 100, 50)).withColumn("_h", factor * r.lag(F.col("_s"))).drop("_r", "_s")
+
+    rows = bars if "pos" in bars.columns else numbered(bars)
+    source = stored(with_block(in_blocks(rows, 110, threshold, block), block))
+    flagged = stored(speculative_scan(source, cusum_kernel, {"cusum_event": "int"}).drop("_block", "_h"))
+    counted = in_blocks(flagged, 100, lambda df, r: df.withColumn("event_intensity_100", r.sum(F.col("cusum_event"), 100, 20)), block)
+    return last_event(counted, block)
 
-    def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return {"cusum_event": R.cusum_events(np.log(pdf["close"].to_numpy(float)), pdf["_h"].to_numpy(float)).astype(int)}
 
-    df = R.per_symbol(df, part, {"cusum_event": "int"})
-    at = F.last(F.when(F.col("cusum_event") == 1, F.col("pos")), ignorenulls=True).over(r.over.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumns({"bars_since_event": F.col("pos") - at, "event_intensity_100": r.sum(F.col("cusum_event"), 100, 20)}).drop("_h")
+def last_event(df: DataFrame, block: int) -> DataFrame:
+    """df with bars_since_event: how far the last event before a bar lies back."""
+    at = F.when(F.col("cusum_event") == 1, F.col("pos"))
+    rows = with_block(df, block)
+    ends = rows.groupBy("symbol", "_block").agg(F.max(at).alias("_last"))
+    came = F.max("_last").over(Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    before = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_at", F.max(at).over(before)).join(ends.select("symbol", "_block", came.alias("_came")), ["symbol", "_block"])
+    return found.withColumn("bars_since_event", F.col("pos") - F.coalesce("_at", "_came")).drop("_at", "_came", "_block")
 
 
 def ffd_weights(d: float, least: float = 1e-4, most: int = 10_000) -> np.ndarray:

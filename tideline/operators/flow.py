@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import Rolling, nullif0
+from tideline.functions.numeric import nullif0
 from tideline.operators.align import asof, left_many
+from tideline.operators.indicators import in_blocks
 from tideline.operators.bars import floor_to
 
 LARGE = 1.0
@@ -43,4 +44,4 @@ def joined(perp: DataFrame, spot: DataFrame | None, funding: DataFrame | None, i
 
 
 def basis_zscore(df: DataFrame, w: int = 168) -> DataFrame:
-    return df.withColumn("basis_z", Rolling().zscore(F.col("basis"), w))
+    return in_blocks(df, w, lambda x, r: x.withColumn("basis_z", r.zscore(F.col("basis"), w)))

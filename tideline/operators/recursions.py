@@ -1,8 +1,8 @@
 """Recursive scans. Each kernel is numpy over one series; per_symbol applies it to every symbol.
 
-Exponential averages are affine maps y -> a y + b, which compose: blocked_ewm runs
-one long series in blocks on many machines. The other recursions carry state that
-doesn't compose and stay sequential in a symbol.
+Long series run in blocks on many machines: operators.scans has exponential averages
+as maps that compose, and the other recursions by speculation, for which the kernels
+here can start from a state and give their states.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def ewm(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
@@ -70,75 +69,116 @@ def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> tuple[n
     return tuple(np.nan_to_num(v) for v in (strength, *di))
 
 
-def supertrend_bands(high, low, close, width, factor: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+def supertrend_bands(high, low, close, width, factor: float = 3.0, state=None) -> tuple[np.ndarray, np.ndarray]:
     """(trend, line), first kind: two ratcheted bands and a flag; bands loosen only after a close beyond them."""
+    return bands_run(high, low, close, width, factor, state)[:2]
+
+
+def bands_run(high, low, close, width, factor: float = 3.0, state=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """supertrend_bands from a state (top, bottom, side, last close), and the states after each row."""
     middle = (high + low) / 2
     up, down = (middle + factor * width).tolist(), (middle - factor * width).tolist()
     c, n = close.tolist(), len(close)
-    trend, line = np.ones(n), np.full(n, np.nan)
-    top = bottom = float("nan")
-    state = 1
+    trend, line, states = np.ones(n), np.full(n, np.nan), np.empty((n, 4))
+    top, bottom, side, last = (float("nan"), float("nan"), 1, None) if state is None else (*state[:2], int(state[2]), state[3])
     for i in range(n):
-        if i == 0 or top != top:
+        if last is None or top != top:
             top, bottom = up[i], down[i]
         else:
             was_top, was_bottom = top, bottom
-            top = up[i] if up[i] < was_top or c[i - 1] > was_top else was_top
-            bottom = down[i] if down[i] > was_bottom or c[i - 1] < was_bottom else was_bottom
-        if state == 1 and c[i] < bottom:
-            state = -1
-        elif state == -1 and c[i] > top:
-            state = 1
-        trend[i], line[i] = state, bottom if state == 1 else top
-    return trend, line
+            top = up[i] if up[i] < was_top or last > was_top else was_top
+            bottom = down[i] if down[i] > was_bottom or last < was_bottom else was_bottom
+        if side == 1 and c[i] < bottom:
+            side = -1
+        elif side == -1 and c[i] > top:
+            side = 1
+        last = c[i]
+        trend[i], line[i] = side, bottom if side == 1 else top
+        states[i] = top, bottom, side, last
+    return trend, line, states
 
 
 def supertrend_line(high, low, close, n: int = 10, factor: float = 3.0) -> np.ndarray:
     """Second kind: one line, its side chosen by the last close against the last line."""
-    width = wilder(true_range(high, low, close), n, gated=False)
+    return line_run(high, low, close, wilder(true_range(high, low, close), n, gated=False), factor)[0]
+
+
+def line_run(high, low, close, width, factor: float = 3.0, state=None) -> tuple[np.ndarray, np.ndarray]:
+    """supertrend_line from a state (line, side, last close), and the states after each row."""
     middle = (high + low) / 2
-    up, down, c = (middle + factor * width).tolist(), (middle - factor * width).tolist(), close.tolist()
-    out, side = [down[0]] if len(c) else [], 1
-    for before, now, u, d in zip(c, c[1:], up[1:], down[1:], strict=False):
-        last = out[-1]
-        above = before > last
-        line = (max(d, last) if side == 1 else d) if above else (min(u, last) if side == -1 else u)
-        side = (1 if now > line else -1) if above else (-1 if now < line else 1)
-        out.append(line)
-    return np.array(out)
+    up, down = (middle + factor * width).tolist(), (middle - factor * width).tolist()
+    out, states = np.empty(len(close)), np.empty((len(close), 3))
+    line, side, before = (None, 1, None) if state is None else (state[0], int(state[1]), state[2])
+    for i, now in enumerate(close.tolist()):
+        if line is None:
+            line = down[i]
+        else:
+            above = before > line
+            last = line
+            line = (max(down[i], last) if side == 1 else down[i]) if above else (min(up[i], last) if side == -1 else up[i])
+            side = (1 if now > line else -1) if above else (-1 if now < line else 1)
+        before, out[i] = now, line
+        states[i] = line, side, now
+    return out, states
 
 
 def supertrend_switch(high, low, close, n: int = 10, factor: float = 3.0) -> np.ndarray:
     """Third kind: both bands are ratcheted against one line, and a close beyond the held one switches."""
-    width = wilder(true_range(high, low, close), n, gated=False)
+    return switch_run(high, low, close, wilder(true_range(high, low, close), n, gated=False), factor)[0]
+
+
+def switch_run(high, low, close, width, factor: float = 3.0, state=None) -> tuple[np.ndarray, np.ndarray]:
+    """supertrend_switch from a state (line, rising, last close), and the states after each row."""
     middle = (high + low) / 2
-    up, down, c = (middle + factor * width).tolist(), (middle - factor * width).tolist(), close.tolist()
-    line, rising, out = (down[0] if len(c) else 0.0), True, [down[0]] if len(c) else []
-    for before, now, u, d in zip(c, c[1:], up[1:], down[1:], strict=False):
-        roof, floor = (u if u < line or before > line else line), (d if d > line or before < line else line)
-        rising = now >= floor if rising else now > roof
-        line = floor if rising else roof
-        out.append(line)
-    return np.array(out)
+    up, down = (middle + factor * width).tolist(), (middle - factor * width).tolist()
+    out, states = np.empty(len(close)), np.empty((len(close), 3))
+    line, rising, before = (None, True, None) if state is None else (state[0], state[1] > 0, state[2])
+    for i, now in enumerate(close.tolist()):
+        u, d = up[i], down[i]
+        if line is None:
+            line = d
+        else:
+            roof, floor = (u if u < line or before > line else line), (d if d > line or before < line else line)
+            rising = now >= floor if rising else now > roof
+            line = floor if rising else roof
+        before, out[i] = now, line
+        states[i] = line, float(rising), now
+    return out, states
 
 
 def cusum_events(x: np.ndarray, threshold: np.ndarray | float) -> np.ndarray:
     """Flags of a symmetric CUSUM over differences; the falling side is looked at first and only the side that fires starts anew."""
+    return cusum_run(x, threshold)[0]
+
+
+def cusum_run(x: np.ndarray, threshold: np.ndarray | float, state=None) -> tuple[np.ndarray, np.ndarray]:
+    """cusum_events from a state (up, down, last value), and the states after each row."""
     bars = np.broadcast_to(np.asarray(threshold, float), x.shape).tolist()
-    up = down = 0.0
-    out = np.zeros(len(x), bool)
-    for i, step in enumerate(np.diff(x, prepend=np.nan).tolist()):
-        if step != step:
-            continue
-        up, down = max(0.0, up + step), min(0.0, down + step)
-        h = bars[i]
-        if not h > 0:
-            continue
-        if down < -h:
-            down, out[i] = 0.0, True
-        elif up > h:
-            up, out[i] = 0.0, True
-    return out
+    up, down, last = (0.0, 0.0, np.nan) if state is None else state
+    out, states = np.zeros(len(x), bool), np.empty((len(x), 3))
+    steps = np.diff(x, prepend=last).tolist()
+    for i, (step, h, now) in enumerate(zip(steps, bars, x.tolist(), strict=True)):
+        if step == step:
+            up, down = max(0.0, up + step), min(0.0, down + step)
+            if h > 0:
+                if down < -h:
+                    down, out[i] = 0.0, True
+                elif up > h:
+                    up, out[i] = 0.0, True
+        states[i] = up, down, now
+    return out, states
+
+
+def fill_run(values: np.ndarray, threshold: float, state=None) -> tuple[np.ndarray, np.ndarray]:
+    """Where a sum since the last close reaches threshold and starts from nothing; and the sums (as states) after each row. A missing value is nothing."""
+    out, states = np.zeros(len(values), bool), np.empty((len(values), 1))
+    total = 0.0 if state is None else float(state[0])
+    for i, v in enumerate(np.nan_to_num(values).tolist()):
+        total += v
+        if total >= threshold:
+            out[i], total = True, 0.0
+        states[i] = total
+    return out, states
 
 
 def per_symbol(df: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, np.ndarray]], new: dict[str, str], key: str = "symbol", order: str = "ts") -> DataFrame:
@@ -158,38 +198,3 @@ def per_symbol(df: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, np.ndar
         return out
 
     return df.groupBy(key).applyInPandas(run, ", ".join([*fields, *[f"`{n}` {k}" for n, k in new.items()]]))
-
-
-def blocked_ewm(df: DataFrame, value: str, alpha: float, out: str, key: str = "symbol", order: str = "pos", block: int = 100_000) -> DataFrame:
-    """An exponential average of non-null values of a series of any length, spread over blocks.
-
-    Each block is the map y -> keep ** n * y + b; the maps of a series, one row a
-    block, are composed in order, and each block is then replayed from its start.
-    order must number a key's rows from 0.
-    """
-    keep = 1.0 - alpha
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
-
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A block from y = 0: its own part of the average.
-        pdf = pdf.sort_values(order, kind="stable")
-        y, own = 0.0, np.empty(len(pdf))
-        start = int(pdf[order].iloc[0]) == 0
-        for i, v in enumerate(pdf[value].tolist()):
-            y = v if start and i == 0 else keep * y + alpha * v
-            own[i] = y
-        return pdf.assign(_own=own, _n=np.arange(1, len(pdf) + 1, dtype=np.int64))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _own double, _n bigint"
-    played = rows.groupBy(key, "_block").applyInPandas(body, schema)
-    ends = played.groupBy(key, "_block").agg(F.max_by("_own", "_n").alias("b"), F.max("_n").alias("n"))
-    # What a block starts with: sum over earlier blocks of their part times keep ** (rows between).
-    upto = F.sum("n").over(Window.partitionBy(key).orderBy("_block"))
-    ends = ends.withColumn("upto", upto)
-    earlier = ends.select(F.col(key).alias("_k"), F.col("_block").alias("_eb"), F.col("b").alias("_b"), F.col("upto").alias("_eu"))
-    # keep ** block vanishes soon: blocks further back than this add nothing to a double.
-    reach = max(1, int(np.ceil(745 / max(1e-12, -np.log(max(keep, 1e-300)) * block))) + 1)
-    near = ends.select(F.col(key), "_block", (F.col("upto") - F.col("n")).alias("at"), F.explode(F.sequence(F.greatest(F.col("_block") - reach, F.lit(0)), F.col("_block") - 1)).alias("_eb")).where("_eb < _block and _eb >= 0 and _block > 0")
-    carry = near.join(earlier, (F.col(key) == F.col("_k")) & (near["_eb"] == earlier["_eb"])).groupBy(key, "_block").agg(F.sum(F.col("_b") * F.pow(F.lit(keep), F.col("at") - F.col("_eu"))).alias("_carry"))
-    done = played.join(carry, [key, "_block"], "left").withColumn(out, F.col("_own") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_n")))
-    return done.drop("_block", "_own", "_n", "_carry")

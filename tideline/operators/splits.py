@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.buckets import WIDTH, carried
 from tideline.sources.shared import stored
 
 #: Rows of one series that a task sums along; longer series run in blocks.
@@ -39,10 +40,19 @@ def running_sum(df: DataFrame, value: str, out: str, order: list[str], block: in
     return running_sums(df, {out: value}, order, block, key)
 
 
-def purge(train: DataFrame, tests: DataFrame, t0: str = "t0", t1: str = "t1") -> DataFrame:
-    """train without rows whose span meets a test span. tests are intervals, few enough to broadcast by Spark's own size check."""
-    test = tests.select(F.col(t0).alias("_a"), F.col(t1).alias("_b"))
-    return train.join(test, (F.col(t0) <= F.col("_b")) & (F.col("_a") <= F.col(t1)), "left_anti")
+def purge(train: DataFrame, tests: DataFrame, t0: str = "t0", t1: str = "t1", key: str | None = None, width: float = WIDTH) -> DataFrame:
+    """train without rows whose span meets a test span (of the same series, with key); both ends belong to a span.
+
+    A span [a, b] meets a test span if and only if, of the test spans that begin at
+    or before b, the furthest end is at or after a. So each row looks up one running
+    maximum, as an as-of join by buckets of width: no pairs of spans, whatever their
+    length and number. Spans with a null end meet none.
+    """
+    by = key or "_one"
+    a, b = (df if key else df.withColumn(by, F.lit(0)) for df in (train, tests.where(F.col(t1).isNotNull())))
+    found = carried(a, b, F.struct(F.col(t1).alias("end")), by, t1, t0, largest=True, width=width)
+    kept = found.where(F.coalesce(F.col("_r.end") < F.col(f"_l.{t0}"), F.lit(True)))
+    return kept.select(*[F.col(f"_l.`{c}`").alias(c) for c in train.columns])
 
 
 def embargo_times(bars: DataFrame, share: float, key: str | None = None) -> DataFrame:

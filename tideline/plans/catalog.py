@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tideline.functions import numeric as N
 from tideline.operators import align, bars, events, flow, indicators, labels, models, regime, research, sim, splits, stats
-from tideline.operators import recursions as R
 from tideline.plans.inputs import DAILY, HOURLY, TAPE, daily, ewm_sql, funding, hourly, positioned, rolling_sql, rounded, series, spans_to, sql, tape
 from tideline.sources import readers
 from tideline.sources.shared import stored
@@ -34,6 +33,8 @@ def r6(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0 AS {n.split('.')[-1]}" for n in names)
 
 
+#: Bars of a block in queries whose series are short, so that they have several.
+FRAME_BLOCK = 500
 #: The types of events, which stand for symbols.
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
 ret = "CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END"
@@ -99,12 +100,12 @@ def day_calendar_anti(spark, d):
 SELECT symbol, bar AS bar_id, max(ts) AS ts, count(*)::BIGINT AS n_source_bars, round(first(open ORDER BY ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY ts), 6) AS close, round(sum(volume), 6) AS volume, round(sum(volume), 6) AS measure
 FROM bars JOIN run USING (symbol, pos) JOIN full_ USING (symbol, bar) GROUP BY symbol, bar""", True))
 def info_bars_volume(spark, d):
-    return bars.info_bars(hourly(spark, d), 2000.0)
+    return bars.info_bars(positioned(spark, d), 2000.0, block=250)
 
 
 @query("info_bars_dollar")
 def info_bars_dollar(spark, d):
-    return bars.info_bars(hourly(spark, d), 200_000.0, "dollar")
+    return bars.info_bars(positioned(spark, d), 200_000.0, "dollar", 250)
 
 
 # --- projections and predicates -----------------------------------------------------------------
@@ -144,7 +145,7 @@ _OBV = RETURNS + ", o AS (SELECT *, sum(sv) OVER (PARTITION BY symbol ORDER BY t
 
 @query("window_features", sql(_OBV + ", f AS (SELECT symbol, ts, " + ", ".join(f"{e} AS {n}" for n, e in _W.items()) + " FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ts))", f"SELECT symbol, ts, {r6(*_W)} FROM f"))
 def window_features(spark, d):
-    return indicators.window_features(hourly(spark, d)).select("symbol", "ts", *_W)
+    return indicators.window_features(hourly(spark, d), FRAME_BLOCK).select("symbol", "ts", *_W)
 
 
 @query("moment_windows", sql(RETURNS + ", l AS (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY ts) AS r1 FROM rets)", f"""
@@ -165,13 +166,13 @@ def annual_vol_30(spark, d):
 @query("ema_spans", sql(HOURLY + ", " + ewm_sql("e", "bars", {f"ema{s}": ("close", 2 / (s + 1)) for s in (9, 21, 50)}), f"SELECT symbol, pos, {r6('ema9', 'ema21', 'ema50')} FROM e", True))
 def ema_spans(spark, d):
     spans = (9, 21, 50)
-    return R.per_symbol(positioned(spark, d), lambda p: {f"ema{s}": R.ewm(p["close"].to_numpy(float), R.span_alpha(s)) for s in spans}, {f"ema{s}": "double" for s in spans}).select("symbol", "pos", *[f"ema{s}" for s in spans])
+    return indicators.exponential(positioned(spark, d), indicators.averages(spans)).select("symbol", "pos", *[f"ema{s}" for s in spans])
 
 
 @query("ema_blocked", sql(HOURLY + ", " + ewm_sql("e", "bars", {"ema9": ("close", 0.2)}), f"SELECT symbol, pos, {r6('ema9')} FROM e", True))
 def ema_blocked(spark, d):
     """The affine scan over blocks: for one series of any length."""
-    return R.blocked_ewm(positioned(spark, d), "close", 0.2, "ema9", block=64).select("symbol", "pos", "ema9")
+    return indicators.exponential(positioned(spark, d), {"ema9": ("close", 0.2, 1)}, 64).select("symbol", "pos", "ema9")
 
 
 _MOVES = HOURLY + """,
@@ -183,7 +184,7 @@ _RSI = _MOVES + ", " + ewm_sql("e", "src", {"ag": ("g", _A14), "al": ("l", _A14)
 
 @query("rsi_14", sql(_RSI, f"SELECT symbol, pos, {r6('rsi_14')} FROM rsi", True))
 def rsi_14(spark, d):
-    return indicators.recursive(positioned(spark, d)).select("symbol", "pos", "rsi_14")
+    return indicators.strength(positioned(spark, d), 250).select("symbol", "pos", "rsi_14")
 
 
 @query("stoch_rsi", sql(_RSI + """,
@@ -191,7 +192,7 @@ def rsi_14(spark, d):
  k AS (SELECT symbol, pos, CASE WHEN count(*) OVER v >= 3 THEN avg(raw) OVER v END AS stochrsi_k FROM s WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING)),
  d AS (SELECT symbol, pos, stochrsi_k, CASE WHEN count(stochrsi_k) OVER v >= 3 THEN avg(stochrsi_k) OVER v END AS stochrsi_d FROM k WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 2 PRECEDING))""", f"SELECT symbol, pos, {r6('stochrsi_k', 'stochrsi_d', digits=4)} FROM d", True), 4)
 def stoch_rsi(spark, d):
-    return indicators.stochastic(indicators.recursive(positioned(spark, d)), "rsi_14").select("symbol", "pos", "stochrsi_k", "stochrsi_d")
+    return indicators.in_blocks(indicators.strength(positioned(spark, d), 250), 20, lambda df, r: indicators.stochastic(df, "rsi_14", r=r), 64).select("symbol", "pos", "stochrsi_k", "stochrsi_d")
 
 
 @query("atr_adx", sql(_MOVES + ", " + ewm_sql("e", "src", {"atr": ("tr", _A14), "p": ("pm", _A14), "n": ("nm", _A14)}) + """,
@@ -199,7 +200,7 @@ def stoch_rsi(spark, d):
  dx AS (SELECT *, coalesce(100 * abs(pdi - ndi) / nullif(pdi + ndi, 0), 0) AS dx FROM di), """ + ewm_sql("a", "dx", {"adx": ("dx", _A14)}), f"""
 SELECT dx.symbol, dx.pos, round(atr_14, 6) AS atr_14, round(CASE WHEN pos >= 13 THEN adx ELSE 0 END, 6) AS adx_14, round(coalesce(pdi, 0), 6) AS plus_di_14, round(coalesce(ndi, 0), 6) AS minus_di_14 FROM dx JOIN a USING (symbol, pos)""", True))
 def atr_adx(spark, d):
-    return indicators.recursive(positioned(spark, d)).select("symbol", "pos", "atr_14", "adx_14", "plus_di_14", "minus_di_14")
+    return indicators.strength(positioned(spark, d), 250).select("symbol", "pos", "atr_14", "adx_14", "plus_di_14", "minus_di_14")
 
 
 @query("supertrend_v1", sql(_MOVES + ", " + ewm_sql("e", "src", {"atr": ("tr", _A14)}) + """,
@@ -209,18 +210,18 @@ def atr_adx(spark, d):
          (SELECT b.symbol, b.pos, b.close, t.side, CASE WHEN t.top IS NULL OR b.up < t.top OR b.before > t.top THEN b.up ELSE t.top END AS top, CASE WHEN t.bottom IS NULL OR b.dn > t.bottom OR b.before < t.bottom THEN b.dn ELSE t.bottom END AS bottom FROM t JOIN bands b ON b.symbol = t.symbol AND b.pos = t.pos + 1))""", """
 SELECT symbol, pos, side::DOUBLE AS supertrend_trend, round(CASE WHEN side = 1 THEN bottom ELSE top END, 4) + 0.0 AS supertrend_line FROM t""", True), 4)
 def supertrend_v1(spark, d):
-    return indicators.recursive(positioned(spark, d)).select("symbol", "pos", "supertrend_trend", "supertrend_line")
+    return indicators.recursive(positioned(spark, d), FRAME_BLOCK).select("symbol", "pos", "supertrend_trend", "supertrend_line")
 
 
 @query("supertrend_v2_production")
 def supertrend_v2(spark, d):
-    df = indicators.production_ratios(positioned(spark, d))
+    df = indicators.production_ratios(positioned(spark, d), FRAME_BLOCK)
     return df.drop("open", "high", "low", "volume", "trades")
 
 
 @query("keltner_v3")
 def keltner_v3(spark, d):
-    return indicators.keltner_v3(positioned(spark, d)).select("symbol", "pos", "keltner_pos_v3")
+    return indicators.keltner_v3(positioned(spark, d), FRAME_BLOCK).select("symbol", "pos", "keltner_pos_v3")
 
 
 _CUSUM_SRC = RETURNS + f""",
@@ -236,7 +237,7 @@ _CUSUM_SRC = RETURNS + f""",
 SELECT symbol, pos, ev::BIGINT AS cusum_event, pos - max(CASE WHEN ev = 1 THEN pos END) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bars_since_event,
  CASE WHEN count(*) OVER v >= 20 THEN sum(ev) OVER v END::BIGINT AS event_intensity_100 FROM c WINDOW v AS (PARTITION BY symbol ORDER BY pos ROWS 99 PRECEDING)""", True))
 def cusum_events(spark, d):
-    return events.cusum_features(hourly(spark, d)).select("symbol", "pos", F.col("cusum_event").cast("long"), "bars_since_event", "event_intensity_100") 
+    return events.cusum_features(positioned(spark, d), block=250).select("symbol", "pos", F.col("cusum_event").cast("long"), "bars_since_event", "event_intensity_100") 
 
 
 _FFD = list(events.ffd_weights(0.4, 1e-2))
@@ -260,12 +261,12 @@ def least_ffd(spark, d):
 
 @query("features_full", digits=4)
 def features_full(spark, d):
-    return indicators.features(hourly(spark, d))
+    return indicators.features(positioned(spark, d), block=FRAME_BLOCK).drop("pos")
 
 
 @query("htf_features")
 def htf_features(spark, d):
-    return indicators.higher_frame(hourly(spark, d), "4 hours", "4h")
+    return indicators.higher_frame(hourly(spark, d), "4 hours", "4h", 50)
 
 
 # --- joins --------------------------------------------------------------------------------------
@@ -669,10 +670,14 @@ def tail_thresholds(spark, d):
     return models.tail_thresholds(hourly(spark, d).withColumn("pred", N.Rolling().log_return(F.col("close"), 1)))
 
 
-@query("purge_overlaps", sql(_SPANS + ", t AS (SELECT DISTINCT s AS a, e AS b FROM spans WHERE s >= 200 AND s < 240)", 'SELECT symbol, s AS "start", e AS "end" FROM spans WHERE NOT EXISTS (SELECT 1 FROM t WHERE s <= b AND a <= e)'))
+@query("purge_overlaps", sql(_SPANS + ", t AS (SELECT DISTINCT symbol, s AS a, e AS b FROM spans JOIN n USING (symbol) WHERE s >= n // 3 + 20 * (ascii(symbol) % 5) AND s < n // 3 + 20 * (ascii(symbol) % 5) + 40)", 'SELECT symbol, s AS "start", e AS "end" FROM spans WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.symbol = spans.symbol AND s <= b AND a <= e)'))
 def purge_overlaps(spark, d):
-    spans = spans_to(series(spark, d), 5)
-    return splits.purge(spans, spans.where("start >= 200 and start < 240").select("start", "end").distinct(), "start", "end")
+    """Each series has test spans of its own, at other places than the others'."""
+    b = series(spark, d)
+    spans = spans_to(b, 5)
+    first = F.floor(F.col("n") / 3) + 20 * (F.ascii("symbol") % 5)
+    tests = spans.join(b.groupBy("symbol").agg(F.count("*").alias("n")), "symbol").where((F.col("start") >= first) & (F.col("start") < first + 40))
+    return splits.purge(spans, tests.select("symbol", "start", "end").distinct(), "start", "end", "symbol", width=100)
 
 
 @query("forward_path", sql(HOURLY, "SELECT e.symbol, e.pos, (b.pos - e.pos)::BIGINT AS bar_no, round(b.close / e.close - 1, 6) + 0.0 AS gain FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.pos BETWEEN e.pos + 1 AND e.pos + 5"))

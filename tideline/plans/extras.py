@@ -138,7 +138,7 @@ def repeated_columns(spark, d):
 
 @query("centred_features", sql(_FRAME, "SELECT symbol, pos, round((adx_14 - 25) / 25, 6) + 0.0 AS adx_centred, round((rsi_14 - 50) / 50, 6) + 0.0 AS rsi_centred FROM rf", True))
 def centred_features(spark, d):
-    df = indicators.recursive(positioned(spark, d))
+    df = indicators.strength(positioned(spark, d))
     return df.select("symbol", "pos", N.centred(F.col("adx_14"), 25).alias("adx_centred"), N.centred(F.col("rsi_14"), 50).alias("rsi_centred"))
 
 

@@ -24,7 +24,8 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positioned(spark: SparkSession, d: str) -> DataFrame:
-    return B.positioned(hourly(spark, d))
+    """Bars with their places, written once: what follows reads them more than once."""
+    return stored(B.positioned(hourly(spark, d)))
 
 
 def funding(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +35,7 @@ def funding(spark: SparkSession, d: str) -> DataFrame:
 
 def series(spark: SparkSession, d: str) -> DataFrame:
     """Bars of every symbol by position with their log returns, written once."""
-    return stored(positioned(spark, d).withColumn("logret", Rolling().log_return(F.col("close"), 1)))
+    return stored(B.positioned(hourly(spark, d)).withColumn("logret", Rolling().log_return(F.col("close"), 1)))
 
 
 def spans_to(bars: DataFrame, n: int, start: str = "start") -> DataFrame:
