@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tideline.operators import bars, events, regime, sim, splits, stats
+from tideline.operators import events, regime, sim, splits, stats
 from tideline.operators import recursions as R
 
 
@@ -56,7 +56,9 @@ def test_cusum():
 
 def test_info_bars_restart_and_drop_the_tail():
     volume = np.random.default_rng(2).lognormal(size=5000)
-    ids = bars.close_points(volume, volume.sum() / 100)
+    closed, _ = R.fill_run(volume, volume.sum() / 100)
+    ids = np.cumsum(closed) - closed
+    ids[ids == closed.sum()] = -1
     expected, acc, bar = np.full(5000, -1), 0.0, 0
     start = 0
     for i, v in enumerate(volume):

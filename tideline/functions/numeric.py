@@ -50,7 +50,7 @@ class Rolling:
 
     def autocorr(self, x: Column, before: Column, w: int) -> Column:
         """Correlation of x with before, its value a row earlier, over the w - 1 pairs in the frame."""
-        return self.gated(x, w, F.corr(x, before).over(self.over.rowsBetween(2 - w, 0)))
+        return self.gated(x, w, correlation(x, before, self.over.rowsBetween(2 - w, 0)))
 
     def lag(self, x: Column, k: int = 1) -> Column:
         return F.lag(x, k).over(self.over)
@@ -75,6 +75,14 @@ class Rolling:
         return (F.row_number().over(self.over) - 1).cast("long")
 
 
+def correlation(x: Column, y: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's, of pairs without nulls; null where a side is constant, for which F.corr is an error."""
+    both = x.isNotNull() & y.isNotNull()
+    placed = lambda c: c if over is None else c.over(over)
+    spread = placed(F.stddev_pop(F.when(both, x))) * placed(F.stddev_pop(F.when(both, y)))
+    return placed(F.covar_pop(x, y)) / nullif0(spread)
+
+
 def nullif0(x: Column) -> Column:
     return F.when(x != 0, x)
 
@@ -118,10 +126,3 @@ def conviction(probability: Column) -> Column:
 def digitize(x: Column, edges: list[Column]) -> Column:
     """How many edges are at or below x."""
     return sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
-
-
-def average_rank(order: Column, *keys: str) -> Column:
-    """Rank with ties sharing the mean of their places; null order values must be filtered before."""
-    over = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(over.partitionBy(*keys, order)) if keys else F.count(F.lit(1)).over(Window.partitionBy(order))
-    return F.rank().over(over.orderBy(order)) + (ties - 1) / 2

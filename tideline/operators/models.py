@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators.ranks import quantiles
 from tideline.operators.stats import auc
 from tideline.sources.shared import stored
 
@@ -66,12 +67,12 @@ def fold_aucs(predictions: DataFrame, label: str, keys: tuple[str, ...] = ("fold
 def tail_thresholds(predictions: DataFrame, per_day: float = 2.0, bars_per_day: float = 24.0) -> DataFrame:
     """(buy, sell) quantiles that give per_day signals a day, half on each side."""
     tail = per_day / bars_per_day / 2
-    return predictions.agg(F.percentile("pred", F.lit(1 - tail)).alias("buy"), F.percentile("pred", F.lit(tail)).alias("sell"))
+    return quantiles(predictions, "pred", {"buy": 1 - tail, "sell": tail})
 
 
 def quartiles(df: DataFrame, value: str, train: F.Column) -> DataFrame:
     """df with the quarter (0 to 3) of value; edges are of train rows only."""
-    edges = df.where(train).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))
+    edges = quantiles(df.where(train), value, {"a": 0.25, "b": 0.5, "c": 0.75}).select(F.array("a", "b", "c").alias("_e"))
     quarter = sum((F.when(F.col(value) >= F.col("_e")[i], 1).otherwise(0) for i in range(3)), F.lit(0))
     return df.crossJoin(F.broadcast(edges)).withColumn(f"{value}_quarter", F.when(F.col(value).isNotNull(), quarter)).drop("_e")
 
@@ -119,7 +120,7 @@ def frozen_holdout(df: DataFrame, features: list[str], label: str, cut: str, see
 
     early = F.col("ts") < F.lit(cut).cast("timestamp_ntz")
     past, held = df.where(early), df.where(~early)
-    bounds = past.agg(F.percentile(F.unix_timestamp(F.col("ts").cast("timestamp")), F.lit(inner)).alias("t")).first()
+    bounds = quantiles(past.select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")), "t", {"t": inner}).first()
     at = F.unix_timestamp(F.col("ts").cast("timestamp")) < bounds["t"]
     fitted = [fit_stopping(past.where(at), past.where(~at), features, label, s, iterations, depth) for s in seeds]
     scored = stored(predict(fitted, held, features).select(F.col("pred"), F.col(label).alias("y"), F.lit(1).alias("all")))

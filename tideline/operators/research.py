@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import conviction
 from tideline.operators import models, splits, stats
 from tideline.operators.align import forward_path
+from tideline.operators.ranks import quantiles
 from tideline.operators.sim import decay, summary
 
 
 def paths_by_confidence(events: DataFrame, bars: DataFrame, n: int = 20, score: str = "score") -> DataFrame:
     """Mean return at each bar after an event for the top and bottom quarter by score and the middle. events: symbol, pos, entry_price, score."""
-    edges = events.agg(F.percentile(score, F.lit(0.25)).alias("_lo"), F.percentile(score, F.lit(0.75)).alias("_hi"))
+    edges = quantiles(events, score, {"_lo": 0.25, "_hi": 0.75})
     named = events.crossJoin(F.broadcast(edges)).withColumn("bucket", F.when(F.col(score) >= F.col("_hi"), "top").when(F.col(score) <= F.col("_lo"), "bottom").otherwise("middle")).drop("_lo", "_hi")
     path = forward_path(named, bars, n)
     return path.groupBy("bucket", "bar_no").agg(F.avg(F.col("bar.close") / F.col("entry_price") - 1).alias("mean_return"), F.count("*").alias("n"))
@@ -29,7 +30,7 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 def uniform(rows: np.ndarray, draws: int, seed: int) -> np.ndarray:
     """A number from 0 to 1 for each row key and draw, the same wherever the row is."""
-    x = rows[:, None].astype(np.uint64) + np.arange(1, draws + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+    x = rows[:, None].astype(np.uint64) + np.arange(1, draws + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)

@@ -9,7 +9,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import Rolling
+from tideline.functions.numeric import Rolling, correlation
+from tideline.operators.ranks import average_rank, joined, quantiles, value_ranks
+from tideline.sources.shared import stored
 
 _N = NormalDist()
 EULER = 0.5772156649015329
@@ -22,10 +24,13 @@ def describe(bars: DataFrame) -> DataFrame:
     first = F.min("ts").over(Window.partitionBy("symbol"))
     df = df.withColumn("day", (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))) / 86400.0)
     n = F.count("r").cast("double")
-    return df.groupBy("symbol").agg(
+    middle = quantiles(df, "r", {"median": 0.5}, ["symbol"])
+    columns = ("symbol", "n", "mean", "std", "skew", "kurt", "least", "most", "median", "volume_cv", "volume_slope", "first_ts", "last_ts")
+    moments = df.groupBy("symbol").agg(
         n.cast("long").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), (F.skewness("r") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("r") + 6)).alias("kurt"),
-        F.min("r").alias("least"), F.max("r").alias("most"), F.median("r").alias("median"), (F.stddev_samp("volume") / F.avg("volume")).alias("volume_cv"), F.regr_slope("volume", "day").alias("volume_slope"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.min("r").alias("least"), F.max("r").alias("most"), (F.stddev_samp("volume") / F.avg("volume")).alias("volume_cv"), F.regr_slope("volume", "day").alias("volume_slope"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
+    return joined(moments, middle, ["symbol"], "median", how="left").select(*columns)
 
 
 def yearly(daily: DataFrame, least: int = 30) -> DataFrame:
@@ -48,18 +53,13 @@ def autocorrelations(series: DataFrame, value: str, lags: int = 10, key: str = "
     return got.withColumn("ljung_box", F.col("n") * (F.col("n") + 2) * lb)
 
 
-def rank_in(df: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
-    """Average ranks of non-null values within keys."""
-    whole = Window.partitionBy(*keys)
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(whole.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-
-
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 10) -> DataFrame:
-    """(keys, n, ic, p_value) over pairs without nulls; fewer than least pairs give no row."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = rank_in(rank_in(pairs, x, "_rx", keys), y, "_ry", keys)
-    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("ic")).where(F.col("n") >= least)
+    """(keys, n, ic, p_value) over pairs without nulls; fewer than least pairs give no row, a constant side no correlation."""
+    pairs = stored(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    ranked = pairs
+    for v in ("_x", "_y"):
+        ranked = joined(ranked, value_ranks(pairs, v, keys).withColumn(f"_r{v}", average_rank()), [*keys, v], f"_r{v}")
+    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_r_x"), F.col("_r_y")).alias("ic")).where(F.col("n") >= least)
     t = F.abs("ic") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("ic") ** 2, F.lit(1e-300)))
     return got.withColumn("p_value", 2 * (1 - normal_cdf(t)))
 
@@ -73,11 +73,10 @@ def normal_cdf(x: F.Column) -> F.Column:
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str], least: int = 2) -> DataFrame:
-    """(keys, n, auc) exactly, with ties, from average ranks; one class only or fewer than least rows give no row."""
+    """(keys, n, auc) exactly, with ties, from average ranks; one class only or fewer than least rows give no row. Rows are counted by score first: ranks are of distinct scores."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ranked = rank_in(rows, score, "_r", keys)
-    good = F.col(label) > 0
-    got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(good.cast("double")).alias("_p"), F.sum(F.when(good, F.col("_r")).otherwise(0.0)).alias("_s")).where((F.col("_p") > 0) & (F.col("_p") < F.col("n")) & (F.col("n") >= least))
+    ranked = value_ranks(rows, score, keys, {"_pos": F.sum((F.col(label) > 0).cast("double"))})
+    got = ranked.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("_p"), F.sum(F.col("_pos") * average_rank()).alias("_s")).where((F.col("_p") > 0) & (F.col("_p") < F.col("n")) & (F.col("n") >= least))
     return got.withColumn("auc", (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * (F.col("n") - F.col("_p")))).drop("_p", "_s")
 
 
