@@ -231,19 +231,36 @@ def test_stream_equals_batch(spark, tmp_path):
     n = len(got)
     assert 90 <= n < len(expected)
     np.testing.assert_allclose(got["close"], expected["close"][:n])
-    for i in range(3):
-        part = expected.iloc[i * 30 : (i + 1) * 30]
-        spark.createDataFrame(part.drop(columns=["trades"])).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
-    schema = spark.read.parquet(f"{tmp_path}/bars").schema
-    live_bars = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/bars")
-    sent = []
-    q = live.run_alerts(live.live_indicators(live_bars), sent.append, f"{tmp_path}/c2")
-    q.awaitTermination(180)
-    batch = frame(indicators.recursive(B.time_bars(tape, "hour")), "ts").iloc[:90]
+    bars = expected.drop(columns=["trades"])
+    history = spark.createDataFrame(bars.iloc[:40])
+    sent, features = [], None
+    for run in (((40, 55), (55, 70)), ((70, 90),)):  # a stop in between
+        for first, end in run:
+            live.add_bars(spark.createDataFrame(bars.iloc[first:end]), f"{tmp_path}/bars")
+        features = live.live_features(live.bars_in(spark, f"{tmp_path}/bars"), history)
+        q = live.run_alerts(features, sent.append, f"{tmp_path}/c2", buy=0.55, sell=0.45)
+        q.awaitTermination(180)
+    batch = frame(indicators.recursive(spark.createDataFrame(bars)), "ts").iloc[40:90]
     p = 1 / (1 + np.exp(-(batch["ema9"] - batch["ema21"]) / batch["atr_14"].astype(float)))
-    expected_alerts = ((p >= 0.6) | (p <= 0.4)).sum()
+    expected_alerts = ((p >= 0.55) | (p <= 0.45)).sum()
     assert len(sent) == expected_alerts > 0
     assert {"symbol", "timestamp", "action", "probability", "close_price", "horizon_bars"} <= json.loads(sent[0]).keys()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_frame_state_is_plain_numbers():
+    rng, one, two = np.random.default_rng(4), live.frame.Frame(), live.frame.Frame()
+    close = 100 + np.cumsum(rng.normal(size=700))
+    for i, c in enumerate(close.tolist()):
+        if i % 50 == 49:
+            continue
+        at = T0 + timedelta(hours=i)
+        a = one.push(at, c + 1, c - 1, c, 2.0 + i % 3)
+        b = two.push(at, c + 1, c - 1, c, 2.0 + i % 3)
+        np.testing.assert_array_equal(list(a.values()), list(b.values()))
+        if i % 7 == 0:  # put down and taken up
+            two = live.frame.Frame.taken_up(two.numbers(), two.rows().copy())
+    assert one.push(at, 1.0, 1.0, 1.0, 1.0) is None
 
 
 def test_models(spark):

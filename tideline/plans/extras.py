@@ -303,11 +303,39 @@ def live_bars(spark, d):
 
 @query("live_parity", sql(HOURLY + ", c AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in live.COLUMNS) + "]) AS col)", "SELECT col AS \"column\", 0e0 AS max_diff, 0::BIGINT AS null_mismatch, (SELECT count(*) FROM hourly WHERE ts >= TIMESTAMP '2024-01-20')::BIGINT AS n FROM c"))
 def live_parity(spark, d):
-    """The feature frame of a stream, made from keyed state after a backfill, against the batch frame: largest differences."""
+    """The feature frame of a stream, from keyed state that a table filled before, against the batch frame: largest differences. The stream comes in three triggers and is stopped and started again after two."""
     bars = stored(hourly(spark, d))
-    before = bars.where("ts < timestamp_ntz'2024-01-20'")
-    after = bars.where("ts >= timestamp_ntz'2024-01-20'")
-    got = live.run_once(live.live_features(live.bars_in(spark, after), before), place(spark, "parity")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    batch = indicators.features(bars).join(after.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    got = live_frame(spark, bars, place(spark, "parity"))
+    batch = indicators.features(bars).join(live_part(bars).select("symbol", "ts"), ["symbol", "ts"], "left_semi")
     diff = models.largest_difference(batch, got, live.COLUMNS, ["symbol", "ts"])
     return diff.crossJoin(F.broadcast(batch.join(got.select("symbol", "ts"), ["symbol", "ts"]).agg(F.count("*").alias("n"))))
+
+
+def live_part(bars: DataFrame) -> DataFrame:
+    return bars.where("ts >= timestamp_ntz'2024-01-20'")
+
+
+def live_frame(spark, bars: DataFrame, path: str) -> DataFrame:
+    """Live features of the bars from the 20th of January on: days 20 to 24 in two files, a stop, then the rest in two more."""
+    before = bars.where("ts < timestamp_ntz'2024-01-20'")
+    day = F.datediff("ts", F.lit("2024-01-20").cast("timestamp_ntz"))
+    for run in (((0, 2), (2, 5)), ((5, 1_000_000),)):
+        for first, end in run:
+            live.add_bars(live_part(bars).where((day >= first) & (day < end)), f"{path}/bars")
+        out = live.run_once(live.live_features(live.bars_in(spark, f"{path}/bars"), before), path)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("live_alerts", sql(HOURLY, "SELECT count(*)::BIGINT AS n, 0::BIGINT AS differing, true AS fired FROM hourly WHERE ts >= TIMESTAMP '2024-01-20'"))
+def live_alerts(spark, d):
+    """Bars of the live frame scored by a saved and loaded model, against the same model over the batch frame: actions that differ, and whether alerts were fired."""
+    bars = stored(hourly(spark, d))
+    frame = stored(labels.direction(indicators.features(bars), (5,)))
+    path, columns = place(spark, "alerts"), [*_F, "rsi_14", "ema9_dist", "atr_pct_14"]
+    past = frame.where("ts < timestamp_ntz'2024-01-20' and label_dir_5 is not null")
+    models.save(models.fit_seeds(past, columns, "label_dir_5", [3], iterations=5, depth=3), f"{path}/model", spark, features=columns)
+    fitted, config = models.load(f"{path}/model", spark)
+    score = live.model_score(fitted, config["features"])
+    got = live.scored(live_frame(spark, bars, path), score, 0.52, 0.48).select("symbol", "ts", F.col("action").alias("live"))
+    want = live.scored(live_part(frame), score, 0.52, 0.48).select("symbol", "ts", F.col("action").alias("batch"))
+    return got.join(want, ["symbol", "ts"]).agg(F.count("*").alias("n"), F.sum((F.col("live") != F.col("batch")).cast("long")).alias("differing"), F.bool_or(F.col("live") != "SKIP").alias("fired"))

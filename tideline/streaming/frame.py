@@ -1,13 +1,15 @@
 """The feature frame bar by bar: what a keyed state holds, and what it gives for each closed bar.
 
-Recursive indicators are kept as numbers, windows as the last KEEP bars; nothing
-grows with the length of the stream. The batch frame (operators.indicators) is the
-definition; a registered query compares both.
+Recursive indicators are kept as numbers, windows as the last KEEP bars in a ring of
+arrays; nothing grows with the length of the stream, and all of it can be put down as
+plain numbers (Frame.numbers, Frame.rows) and taken up again. The batch frame
+(operators.indicators) is the definition; a registered query compares both.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -36,6 +38,24 @@ class Ewm:
             self.weight *= keep
         return self.y if self.seen >= self.least else NAN
 
+    def dump(self) -> list[float]:
+        return [self.y, self.weight, float(self.seen)]
+
+    def load(self, take: Callable[[int], list[float]]) -> None:
+        self.y, self.weight, seen = take(3)
+        self.seen = int(seen)
+
+
+def dump_last(values: deque) -> list[float]:
+    """A short deque, oldest first, behind its length and filled up to its limit."""
+    return [float(len(values)), *values, *[NAN] * (values.maxlen - len(values))]
+
+
+def load_last(values: deque, take: Callable[[int], list[float]]) -> None:
+    n = int(take(1)[0])
+    values.clear()
+    values.extend(take(values.maxlen)[:n])
+
 
 class Strength:
     """RSI and average true range of a series that may have gaps."""
@@ -52,6 +72,14 @@ class Strength:
         rsi = 100 - 100 / (1 + gain / loss) if gain == gain and loss == loss and loss != 0 else 50.0
         return rsi, width
 
+    def dump(self) -> list[float]:
+        return [*self.gain.dump(), *self.loss.dump(), *self.width.dump(), self.close]
+
+    def load(self, take: Callable[[int], list[float]]) -> None:
+        for average in (self.gain, self.loss, self.width):
+            average.load(take)
+        (self.close,) = take(1)
+
 
 class Coarse:
     """Features of the last completed bar of a coarser frame, on a grid without gaps."""
@@ -87,6 +115,29 @@ class Coarse:
             self.bin, self.bar = at, [high, low, close]
         return self.made
 
+    def dump(self) -> list[float]:
+        bin_ = NAN if self.bin is None else seconds(self.bin)
+        return [bin_, *(self.bar or (NAN,) * 3), *self.made, *self.average.dump(), *self.strength.dump(), *dump_last(self.closes)]
+
+    def load(self, take: Callable[[int], list[float]]) -> None:
+        bin_, *bar = take(4)
+        self.bin, self.bar = (None, None) if bin_ != bin_ else (moment(bin_), bar)
+        self.made = tuple(take(4))
+        self.average.load(take)
+        self.strength.load(take)
+        load_last(self.closes, take)
+
+
+EPOCH = datetime(1970, 1, 1)
+
+
+def seconds(ts: datetime) -> float:
+    return (ts - EPOCH) / timedelta(seconds=1)
+
+
+def moment(at: float) -> datetime:
+    return EPOCH + timedelta(seconds=at)
+
 
 def std(x: np.ndarray) -> float:
     return float(np.std(x, ddof=1))
@@ -97,7 +148,7 @@ class Frame:
 
     def __init__(self):
         self.n, self.last, self.obv = 0, None, 0.0
-        self.bars: deque = deque(maxlen=KEEP)  # high, low, close, volume, log return, obv
+        self.ring, self.end = np.empty((6, 2 * KEEP)), 0  # high, low, close, volume, log return, obv
         self.emas = {s: Ewm(span_alpha(s)) for s in EMAS}
         self.ema_values: deque = deque(maxlen=6)
         self.strength, self.plus, self.minus, self.dx = Strength(), Ewm(1 / 14, 14), Ewm(1 / 14, 14), Ewm(1 / 14, 14)
@@ -106,11 +157,51 @@ class Frame:
         self.rsis, self.raws, self.ks = deque(maxlen=14), deque(maxlen=3), deque(maxlen=3)
         self.coarse = {"4h": Coarse(4), "1d": Coarse(24)}
 
+    def numbers(self) -> list[float]:
+        """The state without its bars."""
+        return [float(self.n), NAN if self.last is None else seconds(self.last), self.obv, self.top, self.bottom, float(self.side), *[v for e in self.emas.values() for v in e.dump()], *self.strength.dump(), *self.plus.dump(), *self.minus.dump(), *self.dx.dump(), *dump_last(self.rsis), *dump_last(self.raws), *dump_last(self.ks), float(len(self.ema_values)), *[v for e in self.ema_values for v in e.values()], *[v for c in self.coarse.values() for v in c.dump()]]
+
+    def rows(self) -> np.ndarray:
+        """The last bars, oldest first, a row each."""
+        return self.ring[:, max(0, self.end - KEEP) : self.end].T
+
+    @classmethod
+    def taken_up(cls, numbers: list[float], rows: np.ndarray) -> Frame:
+        out, at = cls(), 0
+
+        def take(k: int) -> list[float]:
+            nonlocal at
+            at += k
+            return list(numbers[at - k : at])
+
+        n, last, out.obv, out.top, out.bottom, side = take(6)
+        out.n, out.side, out.last = int(n), int(side), None if last != last else moment(last)
+        for e in (*out.emas.values(), out.strength, out.plus, out.minus, out.dx):
+            e.load(take)
+        for values in (out.rsis, out.raws, out.ks):
+            load_last(values, take)
+        for _ in range(int(take(1)[0])):
+            out.ema_values.append(dict(zip(out.emas, take(len(out.emas)), strict=True)))
+        for c in out.coarse.values():
+            c.load(take)
+        out.end = len(rows)
+        out.ring[:, : out.end] = np.asarray(rows, float).reshape(-1, 6).T
+        return out
+
+    def add(self, *values: float) -> np.ndarray:
+        """One more bar in the ring; the last KEEP bars, a row for each kind."""
+        if self.end == 2 * KEEP:
+            self.ring[:, :KEEP] = self.ring[:, KEEP:]
+            self.end = KEEP
+        self.ring[:, self.end] = values
+        self.end += 1
+        return self.ring[:, max(0, self.end - KEEP) : self.end]
+
     def push(self, ts: datetime, high: float, low: float, close: float, volume: float) -> dict[str, float] | None:
         """The features of a new bar; None for one that is not after the last: each bar counts once."""
         if self.last is not None and ts <= self.last:
             return None
-        before = self.bars[-1] if self.bars else None
+        before = self.ring[:, self.end - 1].tolist() if self.end else None
         out: dict[str, float] = {}
 
         def gated(name: str, x: np.ndarray, w: int, f) -> None:
@@ -154,8 +245,7 @@ class Frame:
         # Windows.
         move = float(np.log(close / before[2])) if before and close > 0 and before[2] > 0 else NAN
         self.obv += float(np.sign(close - before[2])) * volume if before else 0.0
-        self.bars.append((high, low, close, volume, move, self.obv))
-        highs, lows, closes, volumes, moves, obvs = np.array(self.bars).T
+        highs, lows, closes, volumes, moves, obvs = self.add(high, low, close, volume, move, self.obv)
         for n in RETURNS:
             past = closes[-1 - n] if len(closes) > n else NAN
             out[f"logret_{n}"] = float(np.log(close / past)) if past > 0 and close > 0 else NAN

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import json
-import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tideline.functions.numeric import action, sigmoid
-from tideline.operators import recursions as R
+from tideline.operators import models
 from tideline.sources import readers
-from tideline.sources.shared import stored
 from tideline.sources.sinks import alerts, post_each
 from tideline.streaming import frame
 
@@ -38,92 +36,112 @@ def trades(spark: SparkSession, d: str) -> DataFrame:
 
 def run_once(stream: DataFrame, path: str) -> DataFrame:
     """All that a stream gives for what is there now, as a table; a second run goes on where this one stopped."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    with declared_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-LIVE = "symbol string, ts timestamp, close double, ema9 double, ema21 double, rsi_14 double, atr_14 double"
-
-
-def _live_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Exponential averages as numbers; nothing grows with the length of the stream."""
-    s = json.loads(state.get[0]) if state.exists else {"n": 0, "last": None}
-    rows = pd.concat(list(batches)).sort_values("ts")
-    out = []
-    for r in rows.itertuples():
-        if s["last"] is not None and r.ts.value <= s["last"]:
-            continue  # each bar counts once
-        close = float(r.close)
-        if s["n"] == 0:
-            s |= {"e9": close, "e21": close, "atr": float(r.high - r.low), "up": None, "down": None}
-        else:
-            for k, span in (("e9", 9), ("e21", 21)):
-                a = R.span_alpha(span)
-                s[k] = a * close + (1 - a) * s[k]
-            width = max(r.high - r.low, abs(r.high - s["close"]), abs(r.low - s["close"]))
-            s["atr"] += (width - s["atr"]) / 14
-            move = close - s["close"]
-            for k, v in (("up", max(move, 0.0)), ("down", max(-move, 0.0))):
-                s[k] = v if s[k] is None else s[k] + (v - s[k]) / 14
-        s |= {"n": s["n"] + 1, "close": close, "last": int(r.ts.value)}
-        rsi = 100 - 100 / (1 + s["up"] / s["down"]) if s["n"] > 14 and s["down"] else 50.0
-        out.append((key[0], r.ts, close, s["e9"], s["e21"], rsi, s["atr"] if s["n"] >= 14 else np.nan))
-    state.update((json.dumps(s),))
-    yield pd.DataFrame(out, columns=["symbol", "ts", "close", "ema9", "ema21", "rsi_14", "atr_14"])
-
-
 COLUMNS = frame.names()
 FEATURES = "symbol string, ts timestamp, close double, " + ", ".join(f"`{c}` double" for c in COLUMNS)
 
 
-def bars_in(spark: SparkSession, bars: DataFrame) -> DataFrame:
-    """A stored table of bars as a stream."""
-    path = stored(bars).inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(bars.schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def add_bars(bars: DataFrame, path: str) -> None:
+    """Bars appended to a folder that a stream reads, as one file."""
+    bars.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+
+
+def bars_in(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of bars as a stream, a file a trigger."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@contextmanager
+def declared_state(spark: SparkSession) -> Iterator[None]:
+    """Declared state variables need the RocksDB store; a query keeps what is set when it starts."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class FrameState(StatefulProcessor):
+    """A symbol's state: one row of numbers, and a list of its last bars."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.numbers = handle.getValueState("numbers", "v array<double>")
+        self.bars = handle.getListState("bars", "v array<double>")
+
+    def held(self) -> frame.Frame:
+        if not self.numbers.exists():
+            return frame.Frame()
+        return frame.Frame.taken_up(list(self.numbers.get()[0]), np.array([list(r[0]) for r in self.bars.get()], float).reshape(-1, 6))
+
+    def keep(self, held: frame.Frame) -> None:
+        self.numbers.update((held.numbers(),))
+        self.bars.put([(r,) for r in held.rows().tolist()])
+
+    def pushed(self, held: frame.Frame, rows: pd.DataFrame, key: str) -> pd.DataFrame:
+        out = []
+        for r in rows.sort_values("ts").itertuples():
+            got = held.push(r.ts.to_pydatetime(), float(r.high), float(r.low), float(r.close), float(r.volume))
+            if got is not None:
+                out.append((key, r.ts, float(r.close), *[got[c] for c in COLUMNS]))
+        return pd.DataFrame(out, columns=["symbol", "ts", "close", *COLUMNS])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        held = self.held()
+        for r in initialState.sort_values("ts").itertuples():
+            held.push(r.ts.to_pydatetime(), float(r.high), float(r.low), float(r.close), float(r.volume))
+        self.keep(held)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held()
+        made = self.pushed(held, pd.concat(list(rows)), key[0])  # a trigger's rows
+        self.keep(held)
+        yield made
+
+    def close(self) -> None:
+        pass
 
 
 def live_features(bars: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The whole feature frame of a stream of closed bars (symbol, ts, high, low, close, volume), from keyed state.
+    """The whole feature frame of a stream of closed bars (symbol, ts, high, low, close, volume), from declared keyed state.
 
     history: a table of bars before the stream, from which each symbol's state is
-    filled; it must reach back as far as the recursions are to agree with a batch,
-    KEEP bars at least. It is put before the stream as its first rows.
+    filled before its first live bar is looked at; it must reach back as far as the
+    recursions are to agree with a batch, KEEP bars at least. A query that is started
+    again goes on from its state and doesn't read it anew. A bar that is not after
+    the last one of its symbol is left out, so each counts once. Start the query
+    within declared_state.
     """
     columns = ["symbol", "ts", "high", "low", "close", "volume"]
-    rows = bars.select(*columns, F.lit(True).alias("live"))
-    if history is not None:
-        before = history.select("symbol", F.col("ts").cast("timestamp").alias("ts"), *columns[2:])
-        path = stored(before).inputFiles()[0].rsplit("/", 1)[0]
-        past = bars.sparkSession.readStream.schema(before.schema).parquet(path).select(*columns, F.lit(False).alias("live"))
-        rows = past.unionByName(rows)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: frame.Frame = pickle.loads(state.get[0]) if state.exists else frame.Frame()
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
-            got = held.push(r.ts.to_pydatetime(), float(r.high), float(r.low), float(r.close), float(r.volume))
-            if got is not None and r.live:
-                out.append((key[0], r.ts, float(r.close), *[got[c] for c in COLUMNS]))
-        state.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", *COLUMNS])
+    before = None if history is None else history.select("symbol", F.col("ts").cast("timestamp").alias("ts"), *columns[2:]).groupBy("symbol")
+    return bars.select(*columns).groupBy("symbol").transformWithStateInPandas(FrameState(), FEATURES, "Append", "None", before)
+
 
-    return rows.groupBy("symbol").applyInPandasWithState(step, FEATURES, "s binary", "append", GroupStateTimeout.NoTimeout)
+def slope(features: DataFrame) -> DataFrame:
+    """A transparent stand-in for a model: the slope of the averages against the range, from columns of the frame."""
+    gap = F.col("ema21_dist") - F.col("ema9_dist")  # (ema9 - ema21) / close
+    return features.withColumn("probability", sigmoid(gap / F.col("atr_pct_14")))
 
 
-def live_indicators(bars: DataFrame) -> DataFrame:
-    """Recursive indicators of a stream of closed bars, from keyed state."""
-    return bars.groupBy("symbol").applyInPandasWithState(_live_state, LIVE, "s string", "append", GroupStateTimeout.NoTimeout)
+def model_score(fitted: list, columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Scoring by loaded models (models.load) over columns of the frame."""
+    return lambda features: models.predict(fitted, features, columns, "_score").withColumnRenamed("_score", "probability")
 
 
-def scored(features: DataFrame, buy: float = 0.6, sell: float = 0.4) -> DataFrame:
-    """A transparent stand-in for a model: the slope of the averages against the range."""
-    p = sigmoid((F.col("ema9") - F.col("ema21")) / F.col("atr_14"))
-    return features.withColumn("probability", p).withColumn("action", action(p, buy, sell))
+def scored(features: DataFrame, score: Callable[[DataFrame], DataFrame] = slope, buy: float = 0.6, sell: float = 0.4) -> DataFrame:
+    """features with probability and action."""
+    return score(features).withColumn("action", action(F.col("probability"), buy, sell))
 
 
-def run_alerts(features: DataFrame, send: Callable[[str], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Scores and sends; the checkpoint remembers what has been sent."""
+def run_alerts(features: DataFrame, send: Callable[[str], None], checkpoint: str, once: bool = True, score: Callable[[DataFrame], DataFrame] = slope, buy: float = 0.6, sell: float = 0.4) -> StreamingQuery:
+    """Scores each batch of the live frame and sends its alerts; the checkpoint remembers what has been sent."""
     deliver = post_each(send)
-    writer = features.writeStream.foreachBatch(lambda df, i: deliver(alerts(scored(df)), i)).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = features.writeStream.foreachBatch(lambda df, i: deliver(alerts(scored(df, score, buy, sell)), i)).option("checkpointLocation", checkpoint).outputMode("append")
+    with declared_state(features.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
