@@ -76,6 +76,15 @@ def generalization(search: DataFrame, check: DataFrame, by: str = "win_rate") ->
     return search.sparkSession.createDataFrame(rows, "top int, found double, held double, both_profitable double, by_chance double, p_value double")
 
 
+def search_correlation(search: DataFrame, check: DataFrame, measures: tuple[str, ...] = ("win_rate", "n_trades"), least: int = 10) -> DataFrame:
+    """(symbol, measure, n, ic, p_value): how far the order of configurations in a search is their order in the check period."""
+    keys = ["symbol", "config_id"]
+    both = search.select(*keys, F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures]).alias("a"))
+    later = check.select(*keys, F.array(*[F.col(m).cast("double") for m in measures]).alias("b"))
+    rows = both.join(later, keys).select("symbol", F.explode(F.arrays_zip("a", "b")).alias("v")).select("symbol", "v.a.measure", "v.a.x", F.col("v.b").alias("y"))
+    return stats.spearman(rows, "x", "y", ["symbol", "measure"], least)
+
+
 def effective_size(spans: DataFrame, bars: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, n, effective_n, mean_concurrency) of each series: labels, the sum of their uniqueness, and how many cover a bar that any covers."""
     profile = splits.bar_profile(spans, bars, key=key)

@@ -362,7 +362,7 @@ def autocorrelations(spark, d):
 def rank_ic(spark, d):
     r = N.Rolling()
     df = hourly(spark, d).withColumn("x", r.log_return(F.col("close"), 1)).withColumn("y", F.log(r.lead(F.col("close"), 1) / F.col("close")))
-    return stats.spearman(df, "x", "y", ["symbol"]).drop("p_value")
+    return stats.spearman(df, "x", "y", ["symbol"])
 
 
 @query("information_table")
@@ -572,13 +572,23 @@ def regime_decode(spark, d):
     return regime.decode_each(rows, ["ret_3", "vol_14"], regime.best_of(fits), hindsight=True).drop("filtered_probs")
 
 
-@query("model_walk_forward")
-def model_walk_forward(spark, d):
-    f = ["logret_1", "logret_5", "vol_10", "bb_pos", "hl_range_pct"]
-    df = labels.direction(indicators.window_features(positioned(spark, d)), (1,)).where("label_dir_1 is not null").select("symbol", "pos", "label_dir_1", *f)
+def out_of_fold(spark, d) -> tuple[DataFrame, str]:
+    f, label = ["logret_1", "logret_5", "vol_10", "bb_pos", "hl_range_pct"], "label_dir_1"
+    df = labels.direction(indicators.window_features(positioned(spark, d)), (1,)).where(f"{label} is not null").select("symbol", "pos", label, *f)
     df = stored(splits.recency_by_bars(df, key="symbol"))
     folds = splits.walk_forward(df.select("symbol", "pos"), splits.growing_folds_of(df, "symbol", 3), 1, "symbol")
-    return models.fold_aucs(models.out_of_fold(df, folds, f, "label_dir_1", [0, 1], on=("symbol", "pos"), iterations=5, depth=4), "label_dir_1")
+    return models.out_of_fold(df, folds, f, label, [0, 1], on=("symbol", "pos"), iterations=5, depth=4), label
+
+
+@query("model_walk_forward")
+def model_walk_forward(spark, d):
+    return models.fold_aucs(*out_of_fold(spark, d))
+
+
+@query("oof_predictions", sql(_ONE + ", f AS (SELECT symbol, k, floor(m * 0.4)::BIGINT + k * ((m - floor(m * 0.4)::BIGINT) // 3) AS a, CASE WHEN k = 2 THEN m ELSE floor(m * 0.4)::BIGINT + (k + 1) * ((m - floor(m * 0.4)::BIGINT) // 3) END AS b FROM (SELECT symbol, n - 1 AS m FROM n), (SELECT unnest(range(3)) AS k))", "SELECT o.symbol, o.pos, k::BIGINT AS fold, true AS a_probability FROM one o JOIN f ON f.symbol = o.symbol WHERE pos >= a AND pos < b"))
+def oof_predictions(spark, d):
+    """A prediction of each row of each fold's test, by models of rows before it."""
+    return out_of_fold(spark, d)[0].select("symbol", "pos", F.col("fold").cast("long"), F.col("pred").between(0, 1).alias("a_probability"))
 
 
 @query("sequence_windows", sql(HOURLY, "SELECT symbol, ts, 20::BIGINT AS n, round(lag(close, 19) OVER w, 6) AS first_close, round(close, 6) AS last_close FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY pos >= 19"))
@@ -629,9 +639,11 @@ def weight_schemes(spark, d):
     return research.weight_schemes(spans_to(b, 5), b)
 
 
-@query("purge_by_exit", sql(HOURLY, "SELECT symbol, pos FROM bars WHERE pos + 10 < 300"))
+@query("purge_by_exit", "SELECT symbol, pos FROM (" + SQL["triple_barrier"] + ") WHERE pos + bars_to_exit < 300")
 def purge_by_exit(spark, d):
-    return research.purge_by_exit(positioned(spark, d).withColumn("bars_to_exit", F.lit(10)), 300).select("symbol", "pos")
+    """Signals whose own trades, by their barriers, end before a test begins."""
+    rows = positioned(spark, d)
+    return research.purge_by_exit(labels.triple_barrier(signal_events(spark, d), rows), 300).select("symbol", "pos")
 
 
 @query("input_search")

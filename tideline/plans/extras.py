@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import numeric as N
-from tideline.operators import indicators, labels, models, regime, research, sim, splits, stats
+from tideline.functions import tables
+from tideline.operators import covariance, indicators, labels, models, regime, research, sim, splits, stats
 from tideline.plans.catalog import DAILY, HOURLY, RETURNS, SQL, QUERIES, SYMBOLS, grid_trades, query, r6, small_grid
 from tideline.plans.inputs import TAPE, daily, hourly, positioned, rounded, series, sql, tape
 from tideline.plans.twins import _FRAME, _STOCH, _SUMMARY, _TRADES, trades_ctes
@@ -51,6 +53,65 @@ def days_appended(spark, d):
     return spark.read.parquet(path).select(*per_day.columns).join(spark.read.parquet(done), "day", "left_semi")
 
 
+@query("days_streamed", SQL["days_appended"])
+def days_streamed(spark, d):
+    """Files of days as a stream: a run that fails after its first batch was written, and one that goes on; two days come again later with all their trades."""
+    source, path = place(spark, "day-files"), place(spark, "days-etl")
+    rows = tape(spark, d).select("trade_id", "ts", "quantity", F.to_date("ts").alias("day"))
+    early = F.col("day").isin("2024-01-03", "2024-01-04") & (F.col("trade_id") % 2 == 0)
+    for part in (early, F.col("day") < "2024-01-16", F.col("day") >= "2024-01-16"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{source}/files")
+    tries = []
+
+    def per_day(batch):
+        tries.append(1)
+        if len(tries) == 2:
+            raise OSError("the second batch fails once")
+        return batch.groupBy("day").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+    for _ in range(2):
+        files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/files")
+        query = sinks.stream_days(files, f"{path}/rows", per_day, f"{path}/checkpoint")
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if len(tries) != 2:
+                raise
+    return sinks.streamed_days(spark, f"{path}/rows").select("day", "n", "quantity")
+
+
+@query("udtf_info_bars", SQL["info_bars_volume"])
+def udtf_info_bars(spark, d):
+    """Information bars from SQL."""
+    tables.register(spark)
+    hourly(spark, d).createOrReplaceTempView("_tideline_bars")
+    return spark.sql("SELECT symbol, bar_id, ts, n_source_bars, open, high, low, close, volume, measure FROM info_bars(TABLE(SELECT symbol, ts, open, high, low, close, volume FROM _tideline_bars) PARTITION BY symbol ORDER BY (ts), 2000.0D)")
+
+
+@query("udtf_triple_barrier", SQL["triple_barrier"])
+def udtf_triple_barrier(spark, d):
+    """Outcomes of signals from SQL."""
+    from tideline.plans.catalog import signal_events
+
+    tables.register(spark)
+    signal_events(spark, d).join(positioned(spark, d).select("symbol", "pos", "high", "low", "close"), ["symbol", "pos"]).createOrReplaceTempView("_tideline_signals")
+    return spark.sql("SELECT * FROM triple_barrier(TABLE(SELECT symbol, pos, high, low, close, signal, atr_pct FROM _tideline_signals) PARTITION BY symbol ORDER BY (pos), 10)")
+
+
+_HY = TAPE + """,
+ v AS (SELECT symbol, ts::DATE AS day, ts, last(ln(price) ORDER BY trade_id) AS p FROM tape WHERE price > 0 GROUP BY symbol, ts),
+ s AS (SELECT *, lag(ts) OVER w AS a, p - lag(p) OVER w AS step FROM v WINDOW w AS (PARTITION BY symbol, day ORDER BY ts)),
+ n AS (SELECT day, count(*) FILTER (symbol = 'click')::BIGINT AS n_x, count(*) FILTER (symbol = 'view')::BIGINT AS n_y FROM v GROUP BY day),
+ c AS (SELECT x.day, sum(x.step * y.step) AS c FROM s x JOIN s y ON x.day = y.day AND x.symbol = 'click' AND y.symbol = 'view' AND x.a < y.ts AND y.a < x.ts GROUP BY x.day)"""
+
+
+@query("async_covariance", sql(_HY, "SELECT day, n_x, n_y, round(coalesce(c, 0), 6) + 0.0 AS covariance FROM n LEFT JOIN c USING (day) WHERE n_x > 0 AND n_y > 0"))
+def async_covariance(spark, d):
+    """Covariance of clicks' and views' log prices on each day, whose times don't meet."""
+    t = tape(spark, d).where("price > 0").select("symbol", F.to_date("ts").alias("day"), "ts", "trade_id", F.log("price").alias("price"))
+    return covariance.hayashi_yoshida(t.where("symbol = 'click'"), t.where("symbol = 'view'"), key="day")
+
+
 @query("log_appended", sql(TAPE, "SELECT symbol, trade_id, round(price, 4) AS price FROM tape"))
 def log_appended(spark, d):
     """A CSV log that two batches append to; every file has a header of its own."""
@@ -208,6 +269,23 @@ def gated_grid(spark, d):
     return sim.qualified(sim.summary(trades, ["symbol", "config_id"]), 40, (1.0, 4.0))
 
 
+@query("search_correlation", SQL["search_correlation"])
+def search_correlation(spark, d):
+    """Rank correlation of the configurations' results in the whole period and in its second half."""
+    g = small_grid(spark)
+    whole = sim.summary(sim.run_grid(hourly(spark, d), g), ["symbol", "config_id"])
+    late = sim.summary(sim.run_grid(hourly(spark, d), g, since="2024-01-15"), ["symbol", "config_id"])
+    return research.search_correlation(whole, late)
+
+
+@query("alert_rows", SQL["alert_rows"])
+def alert_rows(spark, d):
+    """Alerts as JSON, read back."""
+    scored = live.scored(series(spark, d).where("logret is not null"), lambda df: df.withColumn("probability", N.sigmoid(F.col("logret") * 20)), 0.7, 0.3)
+    body = F.from_json("body", "symbol string, timestamp string, action string, probability double, close_price double, horizon_bars long")
+    return sinks.alerts(scored).select(body.alias("b")).select("b.symbol", "b.timestamp", "b.action", "b.probability", F.round("b.close_price", 4).alias("close_price"), "b.horizon_bars")
+
+
 @query("strategy_returns", sql(_TRADES + ", c AS (SELECT config_id, count(*) AS n FROM trades GROUP BY config_id HAVING count(*) >= 200), m AS (SELECT min(n) AS shortest FROM c)", "SELECT config_id AS strategy_id, obs_no, round(pnl, 6) + 0.0 AS ret FROM (SELECT config_id, pnl, row_number() OVER (PARTITION BY config_id ORDER BY symbol, entry_idx) - 1 AS obs_no FROM trades SEMI JOIN c USING (config_id)), m WHERE obs_no < shortest", True))
 def strategy_returns(spark, d):
     return sim.return_matrix(stored(grid_trades(spark, d)), 200)

@@ -198,3 +198,7 @@ SQL["input_search"] = sql(_TRADES + """,
  bs AS (SELECT config_id, count(*)::BIGINT AS n, avg(abs(pred - 0.5) * 2) AS mean_conviction, avg(((pred >= 0.5) = (dir > 0))::INT) AS agreement FROM fp GROUP BY config_id HAVING count(*) >= 30),
  rk AS (SELECT config_id, actual, """ + RANKED.format(k="config_id", x="pred") + """ AS rk FROM fp WHERE pred IS NOT NULL AND actual IS NOT NULL),
  au AS (SELECT config_id, (sum(rk) FILTER (actual > 0) - sum(actual) * (sum(actual) + 1) / 2) / (sum(actual) * (count(*) - sum(actual))) AS auc FROM rk GROUP BY config_id HAVING count(*) >= 30 AND sum(actual) > 0 AND sum(actual) < count(*))""", f"SELECT config_id, n, {r6('mean_conviction', 'agreement', 'auc')} FROM bs LEFT JOIN au USING (config_id)", True)
+
+SQL["rank_ic"] = sql(RETURNS + ", f AS (SELECT symbol, r AS x, ln(lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close) AS y FROM rets), p AS (SELECT symbol, " + RANKED.format(k="symbol", x="x") + " AS rx, " + RANKED.format(k="symbol", x="y") + " AS ry FROM f WHERE x IS NOT NULL AND y IS NOT NULL), c AS (SELECT symbol, count(*)::BIGINT AS n, corr(rx, ry) AS ic FROM p GROUP BY symbol), q AS (SELECT *, abs(ic) * sqrt((n - 2) / greatest(1 - ic * ic, 1e-300)) AS t FROM c)", f"SELECT symbol, n, round(ic, 6) + 0.0 AS ic, round(2 * (1 - ({_CDF})), 6) + 0.0 AS p_value FROM q")
+SQL["search_correlation"] = sql(_TWICE + ", v AS (SELECT symbol, config_id, 'win_rate' AS measure, a.win_rate AS x, b.win_rate AS y FROM summary a JOIN summary_late b USING (symbol, config_id) UNION ALL SELECT symbol, config_id, 'n_trades', a.n_trades, b.n_trades FROM summary a JOIN summary_late b USING (symbol, config_id)), p AS (SELECT symbol, measure, " + RANKED.format(k="symbol, measure", x="x") + " AS rx, " + RANKED.format(k="symbol, measure", x="y") + " AS ry FROM v), c AS (SELECT symbol, measure, count(*)::BIGINT AS n, corr(rx, ry) AS ic FROM p GROUP BY symbol, measure HAVING count(*) >= 10), q AS (SELECT *, abs(ic) * sqrt((n - 2) / greatest(1 - ic * ic, 1e-300)) AS t FROM c)", f"SELECT symbol, measure, n, round(ic, 6) + 0.0 AS ic, round(2 * (1 - ({_CDF})), 6) + 0.0 AS p_value FROM q", True)
+SQL["alert_rows"] = sql(RETURNS + ", p AS (SELECT symbol, ts, close, 1 / (1 + exp(-20 * r)) AS p FROM rets WHERE r IS NOT NULL)", "SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CASE WHEN p >= 0.7 THEN 'BUY' ELSE 'SELL' END AS action, round(p, 4) AS probability, round(close, 4) AS close_price, 1::BIGINT AS horizon_bars FROM p WHERE p >= 0.7 OR p <= 0.3")
