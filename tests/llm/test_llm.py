@@ -224,10 +224,15 @@ def test_schedule_equals_a_plain_heap():
         load[k] += j
     bins = [(v, n, v * n) for v, n in Counter(jobs).items()]
     made, count = [0] * 7, Counter()
-    for b, since, until, s in sharding.schedule(bins, 7):
-        made[s] += b * (until - since)
-        count[b] += until - since
+    rows = list(sharding.schedule(bins, 7))
+    for b, since, width, order in rows:
+        assert since == count[b]  # a bin's rows follow each other without gaps
+        for s in order:
+            made[s] += b * width
+            count[b] += width
     assert count == Counter(jobs) and max(made) - min(made) <= max(load) - min(load) + 2
+    # A bin of many groups has few rows.
+    assert len(list(sharding.schedule([(100, 10**9, 10**11), (7, 1000, 7000)], 24))) <= 6
 
 
 def test_ranks_have_no_gaps(spark):
@@ -818,7 +823,6 @@ def test_pipeline_equals_plain_stages(spark, tmp_path, monkeypatch):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(toxicity, "LEAST_Z", 3.0)
     texts, bad = pipeline_tables(spark, tmp_path)
     left = {i: t for i, t in enumerate(texts) if i not in bad and "$cumb@g" not in (t or "") and "s c u m b a g" not in (t or "")}
     left = {i: t for i, t in left.items() if plain_kept(t)}

@@ -1,10 +1,13 @@
 """Toxicity behind a noisy channel.
 
 A writer's word reaches us through a channel that swaps letters for look-alikes,
-spaces letters out, joins words and repeats characters. Every stretch of a text
-that may have passed it (a token that is not plain letters, or a run of single
-characters with gaps between) becomes a lattice of what each character may have
-been, with optional borders of words. One Viterbi pass over the whole stretch,
+spaces letters out, joins words by characters that are no letters and repeats
+characters. Every stretch of a text that may have passed it (a token that is not
+plain letters or has a letter three times running, or a run of single characters
+with gaps between) becomes a lattice of what each character may have been, with
+optional borders of words. Plain letters are taken as they stand: two words joined
+without anything between, or letters that are merely doubled, are not parted. Of a
+longer run of one character four are kept. One Viterbi pass over the whole stretch,
 under a character 4-gram model counted over the whole corpus and a prior for the
 words that the classifier knows, decodes it. Nothing is looked up before: known
 words are arcs of the same lattice and win by their score only. A classifier on
@@ -33,8 +36,8 @@ from tideline.llm.words import LOWER, blocks
 
 #: Labelled rows that the classifier is fitted on: those with the smallest hashes of their ids. All else is over all rows.
 TRAIN_ROWS = 12_000
-#: Features of the classifier, the positive texts one must occur in, and by how many standard deviations it must be commoner in these.
-FEATURES, LEAST_TEXTS, LEAST_Z = 400, 3, 6.4
+#: Positive texts that a feature must occur in; how many features a classifier may have, of which cross-validation over FOLDS parts of the sample picks one.
+LEAST_TEXTS, CHOICES, FOLDS = 3, (4, 8, 16, 32, 64, 128, 256, 512), 5
 #: Beginnings of words that count as features.
 STEMS = (4, 5, 6)
 #: What a character may stand for, besides itself if it is a letter.
@@ -337,53 +340,89 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     kinds = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     sample = stored(kinds.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     # At most TRAIN_ROWS pairs of numbers are broadcast. Labels without a document do not count; a document that occurs twice does so twice.
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label"))
-    n = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        model.bias = 4.0 if n.get(1) else -4.0
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("_fold")))
+    totals = np.zeros((FOLDS, 2), np.int64)
+    for r in rows.groupBy("_fold", "_label").agg(F.count("*").alias("n")).collect():  # a row for each fold and class
+        totals[r["_fold"], int(r["_label"] > 0)] += r["n"]
+    if not totals.sum(0).all():
+        model.bias = 4.0 if totals[:, 1].any() else -4.0
         return model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: tuple[Counter, Counter] = (Counter(), Counter())
+        total: dict[str, list[int]] = {}
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[int(y > 0)].update(model.features(t))
-        every = sorted(total[0].keys() | total[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[f] for f in every], pa.int64()) for c in total]], names=["feature", "no", "yes"])
-
-    a, b = n[1], n[0]
-    pooled = (F.col("yes") + F.col("no")) / F.lit(float(a + b))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
-    found = rows.mapInArrow(count, "feature string, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).where(F.col("yes") >= LEAST_TEXTS)
-    found = found.withColumn("z", (F.col("yes") / a - F.col("no") / b) / F.greatest(spread, F.lit(1e-12))).where(F.col("z") >= LEAST_Z)
-    names = [r["feature"] for r in found.orderBy(F.desc("z"), "feature").limit(FEATURES).collect()]
-    model.weights = dict.fromkeys(names, 0.0)
+            for t, y, f in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for x in model.features(t):
+                    total.setdefault(x, [0] * (2 * FOLDS))[2 * f + int(y > 0)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.list_(pa.int64()))], names=["feature", "n"])
+
+    sums = [F.sum(F.col("n")[k]) for k in range(2 * FOLDS)]
+    found = stored(rows.mapInArrow(count, "feature string, n array<long>").groupBy("feature").agg(F.array(*sums).alias("n")).where(sum(F.col("n")[k] for k in range(1, 2 * FOLDS, 2)) >= LEAST_TEXTS))
+    # Of all rows, and of all but each fold, the features that are most clearly commoner in positive texts.
+    names = {out: clearest(found, totals, out) for out in (None, *range(FOLDS))}
+    every = sorted({f for best in names.values() for f in best})
+    model.weights = dict.fromkeys(every, 0.0)
     model.fresh()
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(model.hits(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], names=["hits", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(model.hits(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.string())), *batch.columns[1:]], names=["hits", "label", "fold"])
+
+    got = rows.mapInArrow(found_in, "hits array<string>, label int, fold int").groupBy("hits", "label", "fold").agg(F.count("*").alias("n")).collect()  # at most TRAIN_ROWS
+    y, w, fold = (np.array([g(r) for r in got], float) for g in (lambda r: r["label"] > 0, lambda r: r["n"], lambda r: r["fold"]))
+    losses: dict[int, np.ndarray] = {}
+    for k in CHOICES:
+        losses[k] = np.zeros(FOLDS)
+        for out in range(FOLDS):
+            train, held = fold != out, fold == out
+            best = names[out][:k]
+            theta = ridge(matrix(got, best)[train], y[train], w[train])
+            z = matrix(got, best)[held] @ theta
+            losses[k][out] = float((w[held] * np.logaddexp(0, np.where(y[held] > 0, -z, z))).sum()) / max(1.0, w[held].sum())
+        if len(max(names.values(), key=len)) <= k:
+            break
+    # The fewest features whose mean loss is within a standard error of the least one's.
+    least = min(losses.values(), key=np.mean)
+    enough = least.mean() + least.std(ddof=1) / math.sqrt(FOLDS)
+    chosen = names[None][: next(k for k, each in losses.items() if each.mean() <= enough)]
+    theta = ridge(matrix(got, chosen), y, w)
+    model.weights = {f: float(v) for f, v in zip(chosen, theta[:-1], strict=True)}
+    model.bias = float(theta[-1])
+    model.fresh()
+    return model
+
+
+def clearest(found: DataFrame, totals: np.ndarray, out: int | None) -> list[str]:
+    """The CHOICES[-1] features whose share in positive texts is above that in others by most standard deviations, without the rows of fold out. Only the order counts, so the size of the sample doesn't."""
+    folds = [f for f in range(FOLDS) if f != out]
+    b, a = (float(max(1, totals[folds, k].sum())) for k in (0, 1))
+    no, yes = (sum((F.col("n")[2 * f + k] for f in folds), F.lit(0)) for k in (0, 1))
+    share = (yes + no) / F.lit(a + b)
+    z = (yes / a - no / b) / F.greatest(F.sqrt(share * (1 - share) * (1 / a + 1 / b)), F.lit(1e-12))
+    return [r["feature"] for r in found.withColumn("z", z).where("z > 0").orderBy(F.desc("z"), "feature").limit(CHOICES[-1]).collect()]
 
-    got = rows.mapInArrow(found_in, "hits array<string>, label int").groupBy("hits", "label").agg(F.count("*").alias("n")).collect()  # at most TRAIN_ROWS
+
+def matrix(rows: list, names: list[str]) -> np.ndarray:
+    """Rows' hits among names as ones, and a column of ones."""
     where = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(got), len(names) + 1), np.float64)
+    x = np.zeros((len(rows), len(names) + 1), np.float64)
     x[:, -1] = 1
-    for i, r in enumerate(got):
-        x[i, [where[f] for f in r["hits"]]] = 1
-    y, w = np.array([float(r["label"] > 0) for r in got]), np.array([float(r["n"]) for r in got])
-    theta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.03)
-    ridge[-1] = 1e-3
-    for _ in range(30):  # Newton's method
+    for i, r in enumerate(rows):
+        x[i, [where[f] for f in r["hits"] if f in where]] = 1
+    return x
+
+
+def ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic regression with a ridge, by Newton's method; the last column's weight is the bias."""
+    theta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], 0.03)
+    penalty[-1] = 1e-3
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (w * (p - y)) + ridge * theta)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (w * (p - y)) + penalty * theta)
         theta -= step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    model.weights = {f: float(v) for f, v in zip(names, theta[:-1], strict=True)}
-    model.bias = float(theta[-1])
-    model.fresh()
-    return model
+    return theta
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
