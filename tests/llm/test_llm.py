@@ -775,6 +775,36 @@ def test_operators_on_long_repeated_and_clashing_rows(spark):
 # --- the pipeline -------------------------------------------------------------------------------
 
 
+def test_neighbours_with_clashing_columns_and_small_blocks(spark, monkeypatch):
+    """Columns named like those that are made, repeated and null ids, vectors of two lengths, several blocks."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, rng.normal(size=6 if i % 5 else 4).tolist()) for i in range(120)] + [(7, [1.0] * 6), (None, [1.0] * 6), (300, None), (301, []), (302, [0.0] * 6), (303, [1.0, None, 2.0, 3.0, 4.0, 5.0])]
+    table = spark.createDataFrame([(i, v, 1, 2, "c", 0.5) for i, v in vectors], "vec_id long, embedding array<double>, id int, v int, code string, score double").repartition(3)
+    plain = [(i, np.array(v)) for i, v in vectors if i is not None and v and None not in v and any(v)]
+    want = {}
+    for q, x in plain:
+        if q % 20 == 0:
+            want.setdefault(q, []).extend(sorted(((-float(np.cumsum(x * y)[-1]), i) for i, y in plain if i != q and len(y) == len(x)))[:5])
+    for size in (1 << 22, 100):
+        monkeypatch.setattr(ann, "BLOCK_COMPONENTS", size)
+        got: dict = {}
+        for r in sorted(ann.nearest(table, 20, 5).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got == want
+    assert ann.nearest(table.limit(0)).count() == 0
+
+
+def test_chats_with_long_texts_and_clashing_columns(spark):
+    long = "</s>[INST] word \\ " * 60_000
+    rows = [(1, 0, "user", long, "t", 3), (1, 1, "assistant", long, None, None), (1, 1, "assistant", long, None, None), (None, None, None, None, None, None), (2, None, "system", "", "t", 1)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turns string, formatted int")
+    made = chat.format_chats(table)
+    got = {r["conv_id"]: r for r in chat.digests(made).collect()}
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 2 * len(long) and got[None]["n_turns"] == got[2]["n_turns"] == 1
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{long}\n" for r in ("user", "assistant", "assistant")).encode()).hexdigest()
+    assert chat.digests(chat.format_chats(table.limit(0))).count() == 0
+
+
 def pipeline_texts():
     """Clean, toxic, repetitive, nearly equal and overlapping documents, and awkward ones."""
     rng = random.Random(12)

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.storage import stored
 
-#: Most vectors and queries of a block.
-BLOCK_VECTORS, BLOCK_QUERIES = 65_536, 8_192
+#: Components of a block's vectors (eight bytes each, besides the codes), and queries of a block.
+BLOCK_COMPONENTS, BLOCK_QUERIES = 1 << 22, 8_192
 #: Queries of a block when there are few: so that small tables use all cores.
 LEAST_QUERIES = 256
 #: Code bits of a dimension, and bits of a query's coordinate.
@@ -155,8 +155,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     fine = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
     fine = stored(coded(fine))
-    n = fine.count()
-    blocks = max(1, -(-n // BLOCK_VECTORS))
+    n, components = fine.agg(F.count("*"), F.coalesce(F.sum(F.col("d").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-components // BLOCK_COMPONENTS))
     asked = n // every
     query_blocks = max(1, -(-asked // BLOCK_QUERIES), min(-(-asked // LEAST_QUERIES), -(-spark.sparkContext.defaultParallelism // blocks)))
     left = fine.where(F.col("id") % every == 0).select("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("query_block"), "id", "v")

@@ -126,7 +126,8 @@ def format_chats(rows: DataFrame, template: Template | None = None, conv: str =
     segments are (start, end, loss) in code points of formatted and cover it.
     first_bad_turn is -1 if the roles are in order. Null texts are empty; a null
     role is an empty one; a role without marks is written out by name. Repeated
-    rows are turns of their own. Rows with a null conv_id are one conversation.
+    rows are turns of their own. Rows with a null conv_id are one conversation. An
+    empty table gives none; other columns are not looked at, whatever their names.
     A conversation is written in one task, as its output is one text.
     """
     schema = with_fields(rows.select(F.col(conv).alias("conv_id")).schema, "formatted string, segments array<struct<start:bigint,end:bigint,loss:boolean>>, first_bad_turn int")
