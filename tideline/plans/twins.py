@@ -194,8 +194,8 @@ SQL["search_decay"] = sql(_TWICE, f"SELECT top, {r6('found', 'held', 'both_profi
 SQL["generalization"] = sql(_TWICE + ", base AS (SELECT avg(good) AS by_chance, least(greatest(avg(good), 1e-9), 1 - 1e-9) AS p FROM pairs)", f"SELECT top, {r6('found', 'held', 'both_profitable', 'by_chance')}, round(list_sum(list_transform(range(round(both_profitable * top)::BIGINT, top + 1), lambda k: exp(lgamma(top + 1) - lgamma(k + 1) - lgamma(top - k + 1) + k * ln(p) + (top - k) * ln(1 - p)))), 6) AS p_value FROM dec, base", True)
 SQL["input_search"] = sql(_TRADES + """,
  pr AS (SELECT symbol, pos, 1 / (1 + exp(5 * ln(close / lag(close) OVER w))) AS pred, CASE WHEN lead(close) OVER w IS NOT NULL THEN CASE WHEN lead(close) OVER w > close THEN 1.0 ELSE 0.0 END END AS actual FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
- fp AS (SELECT t.config_id, t.dir, pr.pred, pr.actual FROM trades t JOIN pr ON pr.symbol = t.symbol AND pr.pos = t.entry_idx),
- bs AS (SELECT config_id, count(*)::BIGINT AS n, avg(abs(pred - 0.5) * 2) AS mean_conviction, avg(((pred >= 0.5) = (dir > 0))::INT) AS agreement FROM fp GROUP BY config_id HAVING count(*) >= 30),
+ fp AS (SELECT t.config_id, t.dir, t.n_days, pr.pred, pr.actual FROM trades t JOIN pr ON pr.symbol = t.symbol AND pr.pos = t.entry_idx),
+ bs AS (SELECT config_id, count(*)::BIGINT AS n, avg(abs(pred - 0.5) * 2) AS mean_conviction, avg(((pred >= 0.5) = (dir > 0))::INT) AS agreement FROM fp GROUP BY config_id HAVING count(*) >= 30 AND count(*) / max(n_days) BETWEEN 15 AND 26),
  rk AS (SELECT config_id, actual, """ + RANKED.format(k="config_id", x="pred") + """ AS rk FROM fp WHERE pred IS NOT NULL AND actual IS NOT NULL),
  au AS (SELECT config_id, (sum(rk) FILTER (actual > 0) - sum(actual) * (sum(actual) + 1) / 2) / (sum(actual) * (count(*) - sum(actual))) AS auc FROM rk GROUP BY config_id HAVING count(*) >= 30 AND sum(actual) > 0 AND sum(actual) < count(*))""", f"SELECT config_id, n, {r6('mean_conviction', 'agreement', 'auc')} FROM bs LEFT JOIN au USING (config_id)", True)
 
