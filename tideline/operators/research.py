@@ -76,6 +76,13 @@ def generalization(search: DataFrame, check: DataFrame, by: str = "win_rate") ->
     return search.sparkSession.createDataFrame(rows, "top int, found double, held double, both_profitable double, by_chance double, p_value double")
 
 
+def exit_study(search: DataFrame, check: DataFrame, least: int = 100, least_later: int = 20, keys: tuple[str, ...] = ("symbol", "config_id")) -> DataFrame:
+    """Configurations with enough trades in both periods: trades, win rates and profit factors of each, and whether both made a profit."""
+    later = check.where(F.col("n_trades") >= least_later).select(*keys, F.col("n_trades").alias("later_trades"), F.col("win_rate").alias("later_win_rate"), F.col("profit_factor").alias("later_profit_factor"))
+    both = search.where(F.col("n_trades") >= least).join(later, list(keys))
+    return both.select(*keys, "n_trades", "later_trades", "win_rate", "profit_factor", "later_win_rate", "later_profit_factor", ((F.col("profit_factor") > 1) & (F.col("later_profit_factor") > 1)).alias("both_profitable"))
+
+
 def search_correlation(search: DataFrame, check: DataFrame, measures: tuple[str, ...] = ("win_rate", "n_trades"), least: int = 10) -> DataFrame:
     """(symbol, measure, n, ic, p_value): how far the order of configurations in a search is their order in the check period."""
     keys = ["symbol", "config_id"]

@@ -23,6 +23,8 @@ RISK = ("fixed_sl", "trail_sl", "gain_th", "tp")
 OFF = 1000.0
 #: Signal keys of one symbol that a task handles, at most about so many.
 KEYS = 64
+#: Risk settings of one signal key that are run together, on average at most.
+RISKS = 64
 
 
 def stochastic(value: np.ndarray, n: int, k: int = 3, d: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -109,22 +111,41 @@ def grid(spark, **choices: list) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(product(*choices.values()))], ", ".join(["config_id long", *[f"{n} double" for n in names]]))
 
 
+#: The strategy's inputs and risk settings of the whole search, and the exits of the exit study: fixed values. A stop of 1000 and a trail or take of 0 are switched off.
+SEARCH = {"rsi_len": [10, 14, 21], "stoch_len": [10, 14, 21], "adx_len": [10, 14, 21], "adx_th": [20, 25, 30, 35, 40], "os_th": [5, 10, 15, 20], "k_th": [10, 15, 20, 25, 30], "d_th": [5, 10, 15, 20], "fixed_sl": [2, 3, 5], "trail_sl": [1, 2], "gain_th": [2, 3]}
+EXITS = {"fixed_sl": [1, 2, 3, 5, 8, 1000], "trail_sl": [0, 1, 2, 3, 5], "gain_th": [1, 2, 3], "tp": [0, 1, 2, 3, 5, 8]}
+
+
+def whole_grid(spark, choices: dict[str, list] | None = None) -> DataFrame:
+    """grid() of many combinations (129,600 by default), made by Spark from its lists."""
+    out = spark.range(1).select()
+    for name, values in (choices or SEARCH).items():
+        out = out.crossJoin(F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"`_{name}` long, `{name}` double")))
+    number = F.lit(0).cast("long")
+    for name, values in (choices or SEARCH).items():
+        number = number * len(values) + F.col(f"_{name}")
+    return out.select(number.alias("config_id"), *(choices or SEARCH))
+
+
 def run_grid(bars: DataFrame, configs: DataFrame, per_day: tuple[float, float] = (0.0, 1e9), since: str | None = None, cross: str = "strict") -> DataFrame:
     """(symbol, config_id, pnl, dir, entry_idx, exit_idx): every configuration on every symbol.
 
-    A task handles the configurations of one symbol and one signal key, so that
-    indicators and signals are made once for all risk settings of the key; keys
+    A task handles configurations of one symbol and one signal key, so that indicators
+    and signals are made once for some RISKS risk settings of the key; keys
     whose raw signals a day are outside per_day are pruned before simulation.
     since cuts the simulated period; indicators use the whole series.
     """
     for c, default in (("tp", 0.0), ("max_bars", 0.0)):
         if c not in configs.columns:
             configs = configs.withColumn(c, F.lit(default))
+    total, distinct = configs.agg(F.count("*"), F.count_distinct(*SIGNAL)).first()
+    slices = max(1, -(-total // max(1, distinct) // RISKS))
+    keys = distinct * slices
     # The grid is made by the driver, so its keys may be broadcast.
-    keyed = configs.groupBy(*SIGNAL).agg(F.collect_list(F.struct("config_id", *RISK, "max_bars")).alias("risks"))
+    keyed = configs.groupBy(*SIGNAL, F.pmod(F.xxhash64("config_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("config_id", *RISK, "max_bars")).alias("risks"))
     series = bars.select("symbol", F.col("ts"), "high", "low", "close")
     symbols = series.select("symbol").distinct()
-    tasks = symbols.crossJoin(F.broadcast(keyed)).withColumn("task", F.concat_ws("/", F.col("symbol"), *SIGNAL))
+    tasks = symbols.crossJoin(F.broadcast(keyed)).withColumn("task", F.concat_ws("/", F.col("symbol"), *SIGNAL, "slice"))
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("ts", kind="stable")
@@ -156,7 +177,6 @@ def run_grid(bars: DataFrame, configs: DataFrame, per_day: tuple[float, float] =
         return pd.DataFrame({c: found[c].to_numpy().astype(k) for c, k in kinds.items()})
 
     # A symbol's keys are dealt over parts so that one symbol isn't one task; its bars are copied to each part.
-    keys = configs.select(*SIGNAL).distinct().count()
     parts = min(keys, max(16, -(-keys // KEYS))) or 1
     left = tasks.select(F.col("symbol").alias("s"), F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"), *SIGNAL, "risks")
     right = series.select(F.col("symbol").alias("s2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part2"), "ts", "high", "low", "close")

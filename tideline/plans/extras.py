@@ -249,16 +249,27 @@ def prediction_distribution(spark, d):
 
 # --- searches --------------------------------------------------------------------------------------
 
-_EXITS = dict(rsi_len=[14], stoch_len=[14], adx_len=[14], adx_th=[5.0], os_th=[50.0], k_th=[70.0], d_th=[70.0], fixed_sl=[1.0, 3.0, 1000.0], trail_sl=[0.0, 0.5, 1.5], gain_th=[0.0, 1.0], tp=[0.0, 2.0], max_bars=[0, 6, 24])
+_EXITS = dict(rsi_len=[14], stoch_len=[14], adx_len=[14], adx_th=[5.0], os_th=[50.0], k_th=[70.0], d_th=[70.0], **sim.EXITS, max_bars=[0])
 
 
 @query("exit_sweep", sql(_STOCH + ", " + trades_ctes(_EXITS), f"SELECT {_SUMMARY} FROM summary", True))
 def exit_sweep(spark, d):
-    """One way to enter, every way to leave."""
+    """One way to enter, all 540 ways to leave."""
     g = sim.grid(spark, **{k: list(map(float, v)) for k, v in _EXITS.items()})
     return sim.summary(sim.run_grid(hourly(spark, d), g), ["symbol", "config_id"])
 
 
+_BOTH = _STOCH + ", " + trades_ctes(_EXITS) + ", " + trades_ctes(_EXITS, "2024-01-15", tag="_late")
+
+
+@query("exit_study", sql(_BOTH, f"SELECT a.symbol, a.config_id, a.n_trades, b.n_trades AS later_trades, {r6('a.win_rate', 'a.profit_factor')}, round(b.win_rate, 6) AS later_win_rate, round(b.profit_factor, 6) AS later_profit_factor, a.profit_factor > 1 AND b.profit_factor > 1 AS both_profitable FROM summary a JOIN summary_late b USING (symbol, config_id) WHERE a.n_trades >= 60 AND b.n_trades >= 20", True))
+def exit_study(spark, d):
+    """Exits that trade enough in the whole period and in its second half: what they made in both."""
+    g, bars = sim.grid(spark, **{k: list(map(float, v)) for k, v in _EXITS.items()}), stored(hourly(spark, d))
+    keys = ["symbol", "config_id"]
+    return research.exit_study(sim.summary(sim.run_grid(bars, g), keys), sim.summary(sim.run_grid(bars, g, since="2024-01-15"), keys), 60, 20)
+
+
 _RATE = (2.0, 4.5)
 
 
