@@ -187,8 +187,8 @@ def test_zipped_days_and_failures(spark, tmp_path):
             raise OSError
         return b"x"
 
-    ok, none, failed = readers.fetch_days([date(2024, 1, d) for d in (1, 2, 3)], fetch)
-    assert (list(ok), none, failed) == ([date(2024, 1, 1)], [date(2024, 1, 2)], [date(2024, 1, 3)])
+    done = readers.fetched(readers.days(spark, "2024-01-01", "2024-01-03"), fetch).orderBy("day").collect()
+    assert [(r.day, r.status, r.content) for r in done] == [(date(2024, 1, 1), "data", b"x"), (date(2024, 1, 2), "none", None), (date(2024, 1, 3), "failed", None)]
 
 
 def test_sinks(spark, tmp_path):

@@ -164,6 +164,7 @@ def labels(means: np.ndarray, spread: float | None = None) -> list[str]:
     ret, vol = means[:, 0], means[:, 1]
     mid, width = np.median(ret), np.median(vol)
     spread = float(ret.std()) if spread is None else spread
+    # 0.15 and 1e-9 are fixed values.
     side = ["chop" if abs(r) < 0.15 * spread + 1e-9 else "bull" if r > mid else "bear" if r < mid else "flat" for r in ret]
     return [f"{s}_{'high' if v > width else 'low'}-vol" for s, v in zip(side, vol, strict=True)]
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +56,21 @@ def days_appended(spark, d):
     return spark.read.parquet(path).select(*per_day.columns).join(spark.read.parquet(done), "day", "left_semi")
 
 
+@query("zipped_days", sql(TAPE, "SELECT symbol, trade_id, round(price, 4) AS price FROM tape"))
+def zipped_days(spark, d):
+    """Each day's trades as a zipped CSV file, read again; a day's file is made and read in one task, as a file is."""
+
+    def pack(pdf):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("trades.csv", pdf[["symbol", "trade_id", "price"]].to_csv(index=False))
+        return pd.DataFrame({"day": pdf["day"].iloc[:1], "content": [held.getvalue()]})
+
+    rows = tape(spark, d).select(F.to_date("ts").alias("day"), "symbol", "trade_id", F.round("price", 4).alias("price"))
+    files = stored(rows.groupBy("day").applyInPandas(pack, "day date, content binary"))
+    return readers.unzipped(files, "symbol string, trade_id bigint, price double")
+
+
 @query("days_streamed", SQL["days_appended"])
 def days_streamed(spark, d):
     """Files of days as a stream: a run that fails after its first batch was written, and one that goes on; two days come again later with all their trades."""

@@ -83,6 +83,11 @@ def kept_or_fetched(spark: SparkSession, path: str, since: str, columns: list[st
 
 def read_zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """The first member of each zip file under path, as rows of schema; files are read where they lie, in parallel."""
+    return unzipped(spark.read.format("binaryFile").load(path), schema, header)
+
+
+def unzipped(files: DataFrame, schema: str, header: bool = True) -> DataFrame:
+    """The same of files that are there as content."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,30 +97,32 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: str, header: bool =
                     for part in pd.read_csv(member, header=0 if header else None, names=None if header else names, chunksize=50_000):
                         yield part[names]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, schema)
+    return files.select("content").mapInPandas(unzip, schema)
 
 
 class Unavailable(Exception):
     """The service says that it has nothing for this day; unlike an error, that is final."""
 
 
-def fetch_days(day_list: list[date], fetch: Callable[[date], bytes], retries: int = 3) -> tuple[dict[date, bytes], list[date], list[date]]:
-    """(contents, days without data, days that failed). Only the first two may be marked as done."""
-    got: dict[date, bytes] = {}
-    none: list[date] = []
-    failed: list[date] = []
-    for day in day_list:
-        for attempt in range(retries):
-            try:
-                got[day] = fetch(day)
-                break
-            except Unavailable:
-                none.append(day)
-                break
-            except OSError:
-                if attempt == retries - 1:
-                    failed.append(day)
-    return got, none, failed
+def fetched(day_rows: DataFrame, fetch: Callable[[date], bytes], retries: int = 3) -> DataFrame:
+    """(day, status, content) of each day: 'data', 'none' if the service says so, or 'failed' after all tries. Days are fetched in tasks; only the first two may be marked as done."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for day in batch["day"]:
+                status, content = "failed", None
+                for _ in range(retries):
+                    try:
+                        status, content = "data", fetch(day)
+                        break
+                    except Unavailable:
+                        status = "none"
+                        break
+                    except OSError:
+                        continue
+                yield pd.DataFrame({"day": [day], "status": [status], "content": [content]})
+
+    return day_rows.select("day").distinct().mapInPandas(run, "day date, status string, content binary")
 
 
 class PagedReader(DataSourceReader):
