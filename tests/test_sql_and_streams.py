@@ -6,7 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tideline.functions import tables
-from tideline.operators import covariance
+from tideline.operators import covariance, research, sim
 from tideline.sources import sinks
 
 
@@ -71,3 +71,23 @@ def test_a_day_stream_that_failed_goes_on(spark, tmp_path):
         else:
             query.awaitTermination(120)
     assert sorted(map(tuple, sinks.streamed_days(spark, f"{path}/rows").collect())) == [("2024-01-01", 3), ("2024-01-02", 0), ("2024-01-03", 4)]
+
+
+def test_grids_made_by_spark(spark):
+    choices = {"rsi_len": [7, 14], "os_th": [1, 2, 3], "fixed_sl": [5]}
+    assert sorted(map(tuple, sim.whole_grid(spark, choices).collect())) == sorted(map(tuple, sim.grid(spark, **choices).collect()))
+    whole = sim.whole_grid(spark)
+    assert whole.agg(F.count_distinct("config_id"), F.max("config_id")).first() == (129_600, 129_599)
+
+
+def test_searches_over_two_periods(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, c, int(rng.integers(50, 300)), float(rng.random()), float(rng.choice([0.5, 1.5]))) for s in "ab" for c in range(40)]
+    schema = "symbol string, config_id long, n_trades long, win_rate double, profit_factor double"
+    first = spark.createDataFrame(rows, schema)
+    later = [(s, c, n // 4, w if s == "a" else -w, p) for s, c, n, w, p in rows]
+    got = {(r.symbol, r.measure): r for r in research.search_correlation(first, spark.createDataFrame(later, schema)).collect()}
+    assert got["a", "win_rate"].ic == pytest.approx(1) and got["b", "win_rate"].ic == pytest.approx(-1) and got["a", "n_trades"].n == 40
+    kept = research.exit_study(first, spark.createDataFrame(later, schema), 100, 30).collect()
+    want = {(s, c): p > 1 for s, c, n, w, p in rows if n >= 100 and n // 4 >= 30}
+    assert {(r.symbol, r.config_id): r.both_profitable for r in kept} == want

@@ -13,7 +13,7 @@ from tideline.functions.numeric import Rolling, nullif0
 from tideline.operators import recursions as R
 from tideline.operators.buckets import numbered
 from tideline.operators.indicators import in_blocks
-from tideline.operators.scans import BLOCK, speculative_scan, with_block
+from tideline.operators.scans import BLOCK, halos, speculative_scan, with_block, without_halos
 from tideline.sources.shared import stored
 
 
@@ -72,8 +72,8 @@ def frac_diff(x: np.ndarray, d: float, least: float = 1e-4) -> np.ndarray:
     return out
 
 
-def ffd_features(bars: DataFrame, ds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5), least: float = 1e-4) -> DataFrame:
-    """Fractional differences of the log price, raw and over their deviation of the last 200 bars."""
+def ffd_features(bars: DataFrame, ds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5), least: float = 1e-4, block: int = BLOCK) -> DataFrame:
+    """Fractional differences of the log price, raw and over their deviation of the last 200 bars; in blocks that look back as far as the weights reach."""
     names = {d: f"ffd_{str(d).replace('.', '')}" for d in ds}
 
     def part(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -81,9 +81,11 @@ def ffd_features(bars: DataFrame, ds: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0
             x = np.log(pdf["close"].to_numpy(float))
         return {names[d]: frac_diff(x, d, least) for d in ds}
 
-    df = R.per_symbol(bars, part, dict.fromkeys(names.values(), "double"))
-    r = Rolling()
-    return df.withColumns({f"{n}_z": F.col(n) / nullif0(r.std(F.col(n), 200, 50)) for n in names.values()})
+    rows = bars if "pos" in bars.columns else stored(numbered(bars))
+    reach = max(len(ffd_weights(d, least)) for d in ds) - 1
+    df = without_halos(R.per_symbol(halos(rows, reach, block), part, dict.fromkeys(names.values(), "double"), ["symbol", "_block"], "pos")).drop("_block")
+    out = in_blocks(df, 200, lambda x, r: x.withColumns({f"{n}_z": F.col(n) / nullif0(r.std(F.col(n), 200, 50)) for n in names.values()}), block)
+    return out if "pos" in bars.columns else out.drop("pos")
 
 
 def adf_statistic(x: np.ndarray, lags: int = 1) -> float:

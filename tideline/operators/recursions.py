@@ -181,7 +181,7 @@ def fill_run(values: np.ndarray, threshold: float, state=None) -> tuple[np.ndarr
     return out, states
 
 
-def per_symbol(df: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, np.ndarray]], new: dict[str, str], key: str = "symbol", order: str = "ts") -> DataFrame:
+def per_symbol(df: DataFrame, kernel: Callable[[pd.DataFrame], dict[str, np.ndarray]], new: dict[str, str], key: str | list[str] = "symbol", order: str = "ts") -> DataFrame:
     """df with the columns that kernel makes of each key's rows in order; NaN leaves as null. All kernels of a query go in one call: one hop to Python."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new]
     kept = [f.name for f in df.schema.fields if f.name not in new]

@@ -246,12 +246,12 @@ _FFD = list(events.ffd_weights(0.4, 1e-2))
 @query("frac_diff", sql(HOURLY + f", w AS (SELECT unnest(range({len(_FFD)}))::BIGINT AS k, unnest({[float(v) for v in _FFD]!r}) AS w)", f"""
 SELECT b.symbol, b.pos, round(sum(w.w * ln(x.close)), 6) + 0.0 AS ffd_04 FROM bars b JOIN w ON b.pos >= {len(_FFD) - 1} JOIN bars x ON x.symbol = b.symbol AND x.pos = b.pos - {len(_FFD) - 1} + w.k GROUP BY b.symbol, b.pos"""))
 def frac_diff(spark, d):
-    return events.ffd_features(positioned(spark, d), (0.4,), 1e-2).where("ffd_04 is not null").select("symbol", "pos", "ffd_04")
+    return events.ffd_features(positioned(spark, d), (0.4,), 1e-2, 250).where("ffd_04 is not null").select("symbol", "pos", "ffd_04")
 
 
 @query("ffd_features")
 def ffd_features(spark, d):
-    return events.ffd_features(positioned(spark, d), least=1e-3).drop("open", "high", "low", "volume", "trades")
+    return events.ffd_features(positioned(spark, d), least=1e-3, block=250).drop("open", "high", "low", "volume", "trades")
 
 
 @query("least_ffd", digits=3)
