@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,8 +61,8 @@ RUN = re.compile(r"(.)\1{4,}")
 _OUTER = rf"(?:[^\w{re.escape(''.join(LOOKS))}]|_)+"
 OUTER = re.compile(rf"^{_OUTER}|{_OUTER}\Z")
 USUAL = ".,;:?\"'`)]}[{<>=_-/\\#%&^~"
-#: Words remembered in a task, and bytes of a text counted at once.
-CACHE, SLICE = 50_000, 1 << 20
+#: Words remembered in a task, features counted in it before they are passed on, and bytes of a text counted at once.
+CACHE, COUNTED, SLICE = 20_000, 20_000, 1 << 20
 
 
 def gram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -354,7 +353,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             for t, y, f in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for x in model.features(t):
                     total.setdefault(x, [0] * (2 * FOLDS))[2 * f + int(y > 0)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.list_(pa.int64()))], names=["feature", "n"])
+                if len(total) > COUNTED:
+                    yield counted(total)
+                    total = {}
+        yield counted(total)
+
+    def counted(total: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.list_(pa.int64()))], names=["feature", "n"])
 
     sums = [F.sum(F.col("n")[k]) for k in range(2 * FOLDS)]
     found = stored(rows.mapInArrow(count, "feature string, n array<long>").groupBy("feature").agg(F.array(*sums).alias("n")).where(sum(F.col("n")[k] for k in range(1, 2 * FOLDS, 2)) >= LEAST_TEXTS))
