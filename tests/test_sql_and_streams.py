@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tideline.functions import tables
 from tideline.operators import covariance, research, sim
+from tideline.plans import catalog
 from tideline.sources import sinks
 
+SF = "/root/testdata/sf0.01"
+
 
 
 def pairs(x, y):
@@ -80,6 +83,16 @@ def test_grids_made_by_spark(spark):
     assert whole.agg(F.count_distinct("config_id"), F.max("config_id")).first() == (129_600, 129_599)
 
 
+def test_input_search_returns_every_configuration_with_enough_entries(spark):
+    often = catalog.grid_trades(spark, SF).groupBy("config_id").count().where("count >= 30")
+    got = catalog.input_search(spark, SF)
+    assert sorted(map(tuple, got.select("config_id", "n").collect())) == sorted(map(tuple, often.collect()))
+    fired = spark.createDataFrame([("s", c, pos, 1, 1.0) for c, n in ((0, 40), (1, 60)) for pos in range(n)], "symbol string, config_id long, pos long, dir int, n_days double")
+    pred = spark.createDataFrame([("s", pos, 0.6, float(pos % 2)) for pos in range(60)], "symbol string, pos long, pred double, actual double")
+    assert {r.config_id for r in research.input_search(fired, pred, 30, (15.0, 50.0)).collect()} == {0}
+    assert {r.config_id for r in research.input_search(fired, pred, 30, None).collect()} == {0, 1}
+
+
 def test_searches_over_two_periods(spark):
     rng = np.random.default_rng(2)
     rows = [(s, c, int(rng.integers(50, 300)), float(rng.random()), float(rng.choice([0.5, 1.5]))) for s in "ab" for c in range(40)]

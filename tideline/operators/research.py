@@ -58,14 +58,14 @@ def bootstrap_gap(values: DataFrame, value: str, group: str, a: str, b: str, dra
     return gaps.agg(F.avg("gap").alias("gap"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))
 
 
-def input_search(fired: DataFrame, predictions: DataFrame, least: int = 30, per_day: tuple[float, float] = (1.5, 2.5)) -> DataFrame:
-    """Configurations by mean conviction, agreement and AUC of a model's predictions where their signals fire, of those that fire so often a day. fired: symbol, config_id, pos, dir, n_days; predictions: symbol, pos, pred, actual."""
+def input_search(fired: DataFrame, predictions: DataFrame, least: int = 30, per_day: tuple[float, float] | None = (1.5, 2.5)) -> DataFrame:
+    """Configurations by mean conviction, agreement and AUC of a model's predictions where their signals fire, of those that fire so often a day (None: of all). fired: symbol, config_id, pos, dir, n_days; predictions: symbol, pos, pred, actual."""
     both = fired.join(predictions, ["symbol", "pos"])
     agree = ((F.col("pred") >= 0.5) == (F.col("dir") > 0)).cast("double")
     base = both.groupBy("config_id").agg(F.count("*").alias("n"), F.avg(conviction(F.col("pred"))).alias("mean_conviction"), F.avg(agree).alias("agreement"), F.max("n_days").alias("_days"))
-    rate = F.col("n") / F.col("_days")
+    often = F.lit(True) if per_day is None else (F.col("n") / F.col("_days")).between(*per_day)
     scored = stats.auc(both, "pred", "actual", ["config_id"], least).select("config_id", "auc")
-    return base.where((F.col("n") >= least) & rate.between(*per_day)).drop("_days").join(scored, "config_id", "left")
+    return base.where((F.col("n") >= least) & often).drop("_days").join(scored, "config_id", "left")
 
 
 def generalization(search: DataFrame, check: DataFrame, by: str = "win_rate") -> DataFrame:
