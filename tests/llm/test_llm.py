@@ -396,6 +396,21 @@ def test_substrings_full_text_and_empty(spark, docs):
     assert substring.remove_duplicates(docs.limit(0)).count() == 0
 
 
+def test_substrings_leave_no_tables_of_finished_steps(docs, monkeypatch):
+    """Texts of stretches and anchors lie on the disk while they are needed, and of a finished call only the spans."""
+    from tideline.sources import shared
+
+    before, most, write = len(shared._written), [], substring.stored
+
+    def counted(df):
+        most.append(len(shared._written) - before)
+        return write(df)
+
+    monkeypatch.setattr(substring, "stored", counted)
+    got = by_id(substring.remove_duplicates(docs))
+    assert len(got) == len(corpus()) and max(most) <= 4 and len(shared._written) - before == 1
+
+
 def test_range_minimum():
     rng = np.random.default_rng(0)
     for n in (1, 5, 16, 17, 300, 2000):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.storage import narrow_batches, release, stored, with_fields
+from tideline.llm.storage import narrow_batches, release, scratch, stored, with_fields
 from tideline.llm.words import Block, blocks, mix, windows
 
 WINDOW, ANCHOR = 13, 4
@@ -227,6 +227,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     spans are (start, end) word places, whole says that all words go because an
     earlier text has the same words. Documents without any are not returned.
+    Tables of a step go from the shared folder as soon as the next one has its own.
     """
     narrow_batches(docs.sparkSession)
     size = min(ANCHOR, window)
@@ -248,16 +249,17 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(anchor[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(b.first, b.n), pa.array(b.n_words), pa.array(digest[0]), pa.array(digest[1]), lists], names=["id", "n_words", "da", "db", "anchors"])
 
-    sketched = stored(rows.mapInArrow(sketch, "id long, n_words long, da long, db long, anchors array<long>"))
-    text_key = ["da", "db", "n_words"]
-    long_enough = sketched.where(F.col("n_words") >= window)
-    firsts = stored(long_enough.groupBy(*text_key).agg(F.min("id").alias("first")))
-    copies = stored(long_enough.select("id", *text_key).join(firsts, text_key).where("id > first").select("id").distinct())
-    # Anchors of different texts; equal texts are one.
-    each = long_enough.select("id", "da", F.explode("anchors").alias("anchor"))
-    shared = stored(each.groupBy("anchor").agg(F.min("da").alias("a"), F.max("da").alias("b")).where("a <> b").select("anchor"))
-    wanted = stored(each.select("id", "anchor").join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted")).join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
-
+    with scratch(docs.sparkSession) as keep:
+        sketched = stored(rows.mapInArrow(sketch, "id long, n_words long, da long, db long, anchors array<long>"))
+        text_key = ["da", "db", "n_words"]
+        long_enough = sketched.where(F.col("n_words") >= window)
+        firsts = stored(long_enough.groupBy(*text_key).agg(F.min("id").alias("first")))
+        copies = stored(long_enough.select("id", *text_key).join(firsts, text_key).where("id > first").select("id").distinct())
+        # Anchors of different texts; equal texts are one.
+        each = long_enough.select("id", "da", F.explode("anchors").alias("anchor"))
+        shared = stored(each.groupBy("anchor").agg(F.min("da").alias("a"), F.max("da").alias("b")).where("a <> b").select("anchor"))
+        wanted = stored(each.select("id", "anchor").join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("wanted")).join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
+        keep += [copies, wanted]
     release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +294,6 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     names=["id", "anchor", "places", "words", "stretch"],
                 )
 
-    stretches = stored(rows.join(wanted, "id").select("text", "id", "wanted").mapInArrow(cut, "id long, anchor long, places array<long>, words long, stretch string"))
-    release(docs.sparkSession)
-    per_anchor = stretches.groupBy("anchor").agg(F.approx_count_distinct("stretch").alias("n")).where(F.col("n") > HOT)
-    hot = stored(per_anchor.select("anchor"))
-
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, list[int], str]] = []
@@ -306,13 +303,20 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             ids, places, texts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array([window] * len(ids), pa.int64()), pa.array(texts, pa.string())], names=["id", "places", "words", "stretch"])
 
-    # Classes of equal stretches: of these only the earliest document's is searched for, and what is found holds at all its places there; in the others every window has occurred.
-    usual = stretches.join(hot, "anchor", "left_anti").select("id", "places", "words", "stretch", "anchor", F.lit(False).alias("hot"))
-    cut_up = stretches.join(hot, "anchor", "left_semi").select("id", "places", "stretch").mapInArrow(single, "id long, places array<long>, words long, stretch string").withColumn("anchor", F.xxhash64("stretch")).withColumn("hot", F.lit(True))
-    parts = stored(usual.unionByName(cut_up).withColumn("h1", F.xxhash64("stretch")).withColumn("h2", F.xxhash64("stretch", F.lit(1))))
+    with scratch(docs.sparkSession) as keep:
+        stretches = stored(rows.join(wanted, "id").select("text", "id", "wanted").mapInArrow(cut, "id long, anchor long, places array<long>, words long, stretch string"))
+        release(docs.sparkSession)
+        per_anchor = stretches.groupBy("anchor").agg(F.approx_count_distinct("stretch").alias("n")).where(F.col("n") > HOT)
+        hot = stored(per_anchor.select("anchor"))
+        # Classes of equal stretches: of these only the earliest document's is searched for, and what is found holds at all its places there; in the others every window has occurred.
+        usual = stretches.join(hot, "anchor", "left_anti").select("id", "places", "words", "stretch", "anchor", F.lit(False).alias("hot"))
+        cut_up = stretches.join(hot, "anchor", "left_semi").select("id", "places", "stretch").mapInArrow(single, "id long, places array<long>, words long, stretch string").withColumn("anchor", F.xxhash64("stretch")).withColumn("hot", F.lit(True))
+        parts = stored(usual.unionByName(cut_up).withColumn("h1", F.xxhash64("stretch")).withColumn("h2", F.xxhash64("stretch", F.lit(1))))
+        keep.append(parts)
     release(docs.sparkSession)
     key = ["h1", "h2", "hot"]
     classes = stored(parts.groupBy(*key).agg(F.min_by(F.struct("id", "places", "words", "anchor", "stretch"), F.struct("id", "places")).alias("own")).select(*key, "own.*"))
+    release(docs.sparkSession)
     later = parts.select("id", "places", "words", *key).join(classes.select(*key, F.col("id").alias("owner")), key).where("id > owner").select("id", "words", F.explode("places").alias("start")).select("id", "start", (F.col("start") + F.col("words")).alias("end"))
     asked = classes.where("not hot")
     total = asked.agg(F.sum("words").alias("n")).first()["n"] or 0
@@ -342,9 +346,12 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     new = [prefix + c for c in ("n_words", "n_removed", "kept_sha256", *(["text"] if full else []))]
     carried = [c for c in ([id_col] if carry is None else carry) if c not in new]
-    spans = stored(duplicate_spans(docs, id_col, text, window)).select(F.col("id").alias("_id"), "whole", "spans")
+    with scratch(docs.sparkSession) as keep:
+        found = stored(duplicate_spans(docs, id_col, text, window))
+        keep.append(found)
     release(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_own"), *[F.col(f"`{c}`").alias(f"_c_{c}") for c in carried])
+    spans = found.select(F.col("id").alias("_id"), "whole", "spans")
     rows = rows.join(spans, F.col("_own") == F.col("_id"), "left").select("_text", F.coalesce("whole", F.lit(False)).alias("_whole"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"), *[f"`_c_{c}`" for c in carried])
     schema = with_fields(docs.select(*[f"`{c}`" for c in carried]).schema, ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("long", "long", "string", "string"), strict=False)))
 
